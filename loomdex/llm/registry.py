@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from loomdex.llm import token_codes
+from loomdex.llm import chat_format, token_codes
 from loomdex.runtime import on_workers
 
 
 def queries() -> dict:
     found = {
         "op1_token_codes": token_codes.op1_token_codes,
+        "op2_chat_format": chat_format.op2_chat_format,
     }
     return {name: (lambda spark, sf_dir, f=f: f(on_workers(spark), sf_dir)) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_chat_format": chat_format.op2_sql(),
+    }
