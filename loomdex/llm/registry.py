@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdex.llm import chat_format, secrets, token_codes
+from loomdex.llm import chat_format, jaccard_join, secrets, token_codes
 from loomdex.runtime import on_workers
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_token_codes": token_codes.op1_token_codes,
         "op2_chat_format": chat_format.op2_chat_format,
         "op7_secret_ledger": secrets.op7_secret_ledger,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     }
     return {name: (lambda spark, sf_dir, f=f: f(on_workers(spark), sf_dir)) for name, f in found.items()}
 
