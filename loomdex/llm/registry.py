@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdex.llm import chat_format, jaccard_join, secrets, token_codes
+from loomdex.llm import chat_format, jaccard_join, secrets, token_codes, vector_topk
 from loomdex.runtime import on_workers
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_chat_format": chat_format.op2_chat_format,
         "op7_secret_ledger": secrets.op7_secret_ledger,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op10_vector_topk": vector_topk.op10_vector_topk,
     }
     return {name: (lambda spark, sf_dir, f=f: f(on_workers(spark), sf_dir)) for name, f in found.items()}
 
@@ -19,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat_format.op2_sql(),
+        "op10_vector_topk": vector_topk.op10_sql(),
     }
