@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdex.llm import chat_format, jaccard_join, secrets, token_codes, vector_topk
+from loomdex.llm import chat_format, jaccard_join, pii, secrets, token_codes, vector_topk
 from loomdex.runtime import on_workers
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     found = {
         "op1_token_codes": token_codes.op1_token_codes,
         "op2_chat_format": chat_format.op2_chat_format,
+        "op5_pii_boosting": pii.op5_pii_boosting,
         "op7_secret_ledger": secrets.op7_secret_ledger,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op10_vector_topk": vector_topk.op10_vector_topk,
