@@ -126,7 +126,7 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_ids(tok, words: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def word_ids(tok, words: list[str], at_once: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word, laid end to end, and their counts. Words are encoded many to a call with a mark between
     them; words that hold the mark, or a case in which the mark isn't one id, are encoded one by one."""
     mark = tok.encode(MARK, add_special_tokens=False).ids
@@ -160,13 +160,36 @@ def word_ids(tok, words: list[str], at_once: int = 2000) -> tuple[np.ndarray, np
     return np.concatenate(merged), whole
 
 
+def cut_tails(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Different words share their cores: after a letter, closing points start a piece of their own for the tokenizer's
+    splitter, and case of ASCII cores is dropped by its normaliser. Returns the pieces' texts without repeats and, for each
+    word, the places of its core and its tail (place 0: no tail)."""
+    place: dict[str, int] = {"": 0}
+    at = np.zeros((len(words), 2), np.int64)
+    for i, w in enumerate(words):
+        core = w.rstrip(".,;:!?")
+        if core and len(core) < len(w) and core[-1].isalpha():
+            tail = w[len(core) :]
+        else:
+            core, tail = w, ""
+        if core.isascii():
+            core = core.lower()
+        at[i, 0] = place.setdefault(core, len(place))
+        if tail:
+            at[i, 1] = place.setdefault(tail, len(place))
+    return list(place), at
+
+
 def encode_texts(tok, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, laid end to end, and each text's count. The tokenizer drops white space and never
     joins across it, so a text's ids are those of its words; each different word of the batch is encoded once."""
     words = pc.ascii_split_whitespace(texts)
     flat = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py())
     coded = flat.dictionary_encode()
-    pool, counts = word_ids(tok, coded.dictionary.to_pylist())
+    pieces, at = cut_tails(coded.dictionary.to_pylist())
+    pool, counts = word_ids(tok, pieces)
+    pool = pool[files.gather((np.cumsum(counts) - counts)[at].ravel(), counts[at].ravel())]
+    counts = counts[at].sum(axis=1)
     pool = np.append(pool, np.uint32(end_id or 0))
     index = np.asarray(coded.indices, dtype=np.int64)
     bounds = np.asarray(words.offsets, dtype=np.int64)
@@ -276,7 +299,8 @@ def read_digests(spark: SparkSession, folder: str, manifest: DataFrame) -> DataF
     """Per document, from the files: place of its first id among all ids, count, checksum, and its last id by random access."""
     order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     placed = manifest.select("name", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("start"))
-    return placed.repartition("name").mapInArrow(reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, last_token long")
+    n_files = max(1, manifest.count())
+    return placed.repartition(n_files, "name").mapInArrow(reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, last_token long")
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
