@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdex.llm import chat_format, jaccard_join, pii, secrets, token_codes, vector_topk
+from loomdex.llm import chat_format, jaccard_join, mixing, piece_codec, pii, secrets, token_codes, vector_topk
 from loomdex.runtime import on_workers
 
 
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op1_token_codes": token_codes.op1_token_codes,
         "op2_chat_format": chat_format.op2_chat_format,
         "op5_pii_boosting": pii.op5_pii_boosting,
+        "op6_temperature_mix": mixing.op6_temperature_mix,
         "op7_secret_ledger": secrets.op7_secret_ledger,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op9_piece_codec": piece_codec.op9_piece_codec,
         "op10_vector_topk": vector_topk.op10_vector_topk,
     }
     return {name: (lambda spark, sf_dir, f=f: f(on_workers(spark), sf_dir)) for name, f in found.items()}
