@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdex.llm import chat_format, jaccard_join, mixing, piece_codec, pii, quality, secrets, token_codes, vector_topk
+from loomdex.llm import chat_format, jaccard_join, media, mixing, piece_codec, pii, quality, secrets, token_codes, vector_topk
 from loomdex.runtime import on_workers
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     found = {
         "op1_token_codes": token_codes.op1_token_codes,
         "op2_chat_format": chat_format.op2_chat_format,
+        "op3_progressive_media": media.op3_progressive_media,
         "op4_quality": quality.op4_quality,
         "op5_pii_boosting": pii.op5_pii_boosting,
         "op6_temperature_mix": mixing.op6_temperature_mix,
