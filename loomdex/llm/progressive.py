@@ -147,10 +147,33 @@ def put_bits(value: np.ndarray, size: np.ndarray, segment_of: np.ndarray, segmen
     return words.astype(">u8").view(np.uint8)[:total], np.cumsum(whole)
 
 
+def paired(value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring tokens of a row as one, and again, as long as the longest fits a word."""
+    while value.shape[1] > 1 and 2 * int(size.max(initial=0)) <= 62:
+        if value.shape[1] % 2:
+            value, size = np.pad(value, ((0, 0), (0, 1))), np.pad(size, ((0, 0), (0, 1)))
+        right = size[:, 1::2]
+        value, size = (value[:, ::2] << right.astype(np.uint64)) | value[:, 1::2], size[:, ::2] + right
+    return value, size
+
+
+@lru_cache(maxsize=8)
+def dense_tokens(low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Value and size of the token of each coefficient from -1024 to 1023 that no zero stands before."""
+    code, length = codes(AC_COUNTS, AC_SYMBOLS)
+    raw = np.arange(-1024, 1024)
+    v = np.where(raw < 0, -((-raw) >> low), raw >> low)
+    size = magnitude(v)
+    return (code[size] << size) | extra_bits(v, size), length[size].astype(np.int64) + size.astype(np.int64)
+
+
 def first_tokens(blocks: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
     """A band's first pass: (blocks, band + 1) values and sizes; a coefficient's token holds its zero runs, the last slot the end of block."""
     code, length = codes(AC_COUNTS, AC_SYMBOLS)
     n, width = blocks.shape
+    if not ((np.abs(blocks) >> low) == 0).any():  # no runs and no ends of block
+        value, size = dense_tokens(low)
+        return paired(value[blocks + 1024], size[blocks + 1024])
     v = np.where(blocks < 0, -((-blocks) >> low), blocks >> low)
     on = v != 0
     place = np.arange(width)
@@ -166,7 +189,7 @@ def first_tokens(blocks: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
             value = np.where(far, value | (code[0xF0] << bits.astype(np.uint64)), value)
             bits = bits + np.where(far, length[0xF0], 0)
     end = last[:, -1:] < width - 1
-    return np.concatenate([np.where(on, value, 0), np.where(end, code[0], 0)], axis=1).astype(np.uint64), np.concatenate([np.where(on, bits, 0), np.where(end, length[0], 0)], axis=1)
+    return paired(np.concatenate([np.where(on, value, 0), np.where(end, code[0], 0)], axis=1).astype(np.uint64), np.concatenate([np.where(on, bits, 0), np.where(end, length[0], 0)], axis=1))
 
 
 def refining_tokens(blocks: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,8 +197,13 @@ def refining_tokens(blocks: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarra
     code, length = codes(AC_COUNTS, AC_SYMBOLS)
     size = np.abs(blocks) >> low
     old, new = size > 1, size == 1
-    bit = (size & 1).astype(np.uint64)
     n, width = blocks.shape
+    if old.all():  # end of block, then a bit for each
+        flags = np.zeros((n, 64), np.uint8)
+        flags[:, 64 - width :] = size & 1
+        value = np.stack([np.full(n, code[0]), np.packbits(flags, axis=1).view(">u8")[:, 0].astype(np.uint64)], axis=1)
+        return value.ravel(), np.tile(np.array([length[0], width], np.int64), n), np.repeat(np.arange(n), 2)
+    bit = (size & 1).astype(np.uint64)
     plain = ~new.any(axis=1)
     # Blocks without new coefficients: end of block, then a bit for each old one.
     values = np.concatenate([np.full((n, 1), code[0]), np.where(old, bit, 0)], axis=1).astype(np.uint64)
