@@ -6,6 +6,12 @@ from loomdex.llm import chat_format, jaccard_join, media, mixing, piece_codec, p
 from loomdex.runtime import on_workers
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     found = {
         "op1_token_codes": token_codes.op1_token_codes,
@@ -18,6 +24,7 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_piece_codec": piece_codec.op9_piece_codec,
         "op10_vector_topk": vector_topk.op10_vector_topk,
+        "pipeline": pipeline,
     }
     return {name: (lambda spark, sf_dir, f=f: f(on_workers(spark), sf_dir)) for name, f in found.items()}
 

@@ -48,38 +48,50 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", text: str = "text", rules: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(added, findings): the ledger rows this scan adds, written to the shared folder, and a row for each version:
-    path, blob, findings = array<struct<rule,start,end>> by start, then rule as listed."""
+def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(added, by_blob): the ledger rows this scan adds, written to the shared folder, and for each blob that the whole
+    ledger has findings of: blob, findings = array<struct<rule,start,end>> by start, then rule as listed."""
     rules = RULES if rules is None else rules
     spark = versions.sparkSession
-    ranks = list(rules)
-    rows = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = versions.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     blobs = rows.groupBy(address(F.col("text")).alias("blob")).agg(F.first("text").alias("text"))
-    todo = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version")) for r, (v, _) in rules.items()))
+    current = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version")) for r, (v, _) in rules.items()))
     if ledger is None:
-        work = blobs.withColumn("todo", todo)
+        work = blobs.withColumn("todo", current)
     else:
         done = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
-        work = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(todo, F.coalesce("done", F.array().cast("array<struct<rule:string,version:int>>")))).filter(F.size("todo") > 0)
+        work = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(current, F.coalesce("done", F.array().cast("array<struct<rule:string,version:int>>")))).filter(F.size("todo") > 0)
     due = lambda r, v: F.array_contains("todo", F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version")))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     each = [F.when(due(r, v), F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version"), bare(f(F.col("text"))).alias("findings"))) for r, (v, f) in rules.items()]
-    scanned = work.select("blob", F.filter(F.array(*each), lambda x: x.isNotNull()).alias("each"))
     folder = shared_path(spark, "secret-ledger")
-    # Blobs without findings are known as scanned by the rows of the ledger all the same: one row a blob and rule.
-    scanned.select("blob", F.inline("each")).write.parquet(folder)
+    # A blob without findings is known as scanned by its rows all the same: one a blob and rule.
+    work.select("blob", F.filter(F.array(*each), lambda x: x.isNotNull()).alias("each")).select("blob", F.inline("each")).write.parquet(folder)
     added = spark.read.schema(LEDGER).parquet(folder)
     known = added if ledger is None else ledger.select("blob", "rule", "version", "findings").unionByName(added)
-    current = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version")) for r, (v, _) in rules.items()))
     hits = known.filter((F.size("findings") > 0) & F.array_contains(current, F.struct(F.col("rule"), F.col("version"))))
-    rank = F.array_position(F.array(*map(F.lit, ranks)), F.col("rule"))
+    rank = F.array_position(F.array(*map(F.lit, rules)), F.col("rule"))
     flat = hits.select("blob", "rule", rank.alias("rank"), F.explode("findings").alias("f"))
     by_blob = flat.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct(F.col("f.start").alias("start"), F.col("rank"), F.col("f.end").alias("end"), F.col("rule")))).alias("findings"))
-    shape = F.transform("findings", lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
-    paths = rows.select("path", address(F.col("text")).alias("blob"))
-    back = paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce(shape, F.array().cast("array<struct<rule:string,start:int,end:int>>")).alias("findings"))
-    return added, back
+    return added, by_blob.select("blob", F.transform("findings", lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"))).alias("findings"))
+
+
+NONE = "array<struct<rule:string,start:int,end:int>>"
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", text: str = "text", rules: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(added, findings): the ledger rows this scan adds, and a row for each version: path, blob, findings."""
+    added, by_blob = scan_blobs(versions, ledger, text, rules)
+    paths = versions.select(F.col(path).alias("path"), address(F.col(text)).alias("blob"))
+    return added, paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(NONE)).alias("findings"))
+
+
+def redacted(text: Column, findings: Column, sign: str = "[SECRET]") -> Column:
+    """The text with each finding, or run of overlapping findings, replaced."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(sign))).otherwise(a["out"]).alias("out"))
+    done = F.aggregate(F.sort_array(F.transform(findings, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), zero, step)
+    return F.concat(done["out"], F.substr(text, done["at"] + 1))
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
