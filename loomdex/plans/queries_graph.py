@@ -1 +1,202 @@
+"""Graph queries over edges derived from the order tables: customers, suppliers and parts as files of two codebases."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomdex.operators import graph as G
+from loomdex.plans import search as S
+from loomdex.runtime import table
+
 QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: Parts of one supplier in a row: p(i) -> p(3i mod 997), and p(i) -> s(i mod 40), s(i) -> n(i mod 25), with types by number.
+def edges(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    kind = lambda n: F.element_at(F.array(*map(F.lit, ("calls", "import", "extends"))), (n % 3 + 1).cast("int"))
+    name = lambda x, n: F.concat(F.lit(x + "/"), n.cast("string"), F.lit(".java"))
+    a = p.filter("k <= 900").select(name("p", F.col("k")).alias("source_file"), name("p", F.col("k") * 3 % 997).alias("target_file"), kind(F.col("k")).alias("edge_type"), F.col("k").alias("id"))
+    b = p.select(name("p", F.col("k")).alias("source_file"), name("s", F.col("k") % 40).alias("target_file"), kind(F.col("k") + 1).alias("edge_type"), (F.col("k") + 100000).alias("id"))
+    c = table(spark, sf, "supplier").filter("s_suppkey < 40").select(name("s", F.col("s_suppkey")).alias("source_file"), name("n", F.col("s_nationkey")).alias("target_file"), F.lit("import").alias("edge_type"), (F.col("s_suppkey") + 200000).alias("id"))
+    return a.unionByName(b).unionByName(c).withColumns({"codebase": F.lit("repo"), "metadata": F.lit(None).cast("string"), "updated_at": F.col("id"), "confidence": F.lit(None).cast("double")})
+
+
+EDGES = """e AS (
+  SELECT 'p/' || p_partkey || '.java' AS s, 'p/' || (p_partkey * 3 % 997) || '.java' AS t, ['calls', 'import', 'extends'][p_partkey % 3 + 1] AS k, p_partkey AS id FROM part WHERE p_partkey <= 900
+  UNION ALL SELECT 'p/' || p_partkey || '.java', 's/' || (p_partkey % 40) || '.java', ['calls', 'import', 'extends'][(p_partkey + 1) % 3 + 1], p_partkey + 100000 FROM part
+  UNION ALL SELECT 's/' || s_suppkey || '.java', 'n/' || s_nationkey || '.java', 'import', s_suppkey + 200000 FROM supplier WHERE s_suppkey < 40)"""
+
+
+def symbols(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(F.concat(F.lit("repo:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("repo").alias("codebase"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("file_path"), F.col("p_name").alias("name"), F.lit("class").alias("kind"), F.col("p_size").alias("start_line"), (F.col("p_size") + 10).alias("end_line"), F.concat(F.lit('{"label":"'), F.col("p_brand"), F.lit('"}')).alias("metadata"))
+
+
+def start(spark, file):
+    return spark.range(1).select(F.lit("repo").alias("codebase"), F.lit(file).alias("file"))
+
+
+REACH = """WITH RECURSIVE %s, r(f, d) AS (
+  SELECT 'p/7.java', 0 UNION SELECT %s, d + 1 FROM r JOIN e ON %s = f %s WHERE d < 4)
+SELECT 'repo' AS codebase, f AS file, min(d)::INT AS depth FROM r WHERE f <> 'p/7.java' GROUP BY f"""
+
+
+@query(REACH % (EDGES, "t", "s", ""))
+def bfs_reach(spark, sf):
+    return G.reach(edges(spark, sf), start(spark, "p/7.java"), max_depth=4)
+
+
+@query(REACH % (EDGES, "s", "t", ""))
+def bfs_upstream(spark, sf):
+    return G.reach(edges(spark, sf), start(spark, "p/7.java"), "upstream", max_depth=4)
+
+
+@query(REACH % (EDGES, "t", "s", "AND k IN ('calls', 'import')"))
+def bfs_typed(spark, sf):
+    return G.reach(edges(spark, sf), start(spark, "p/7.java"), edge_types=["calls", "import"], max_depth=4)
+
+
+@query(f"""WITH RECURSIVE {EDGES}, r(f, p) AS (
+  SELECT 'p/7.java', ['p/7.java'] UNION ALL SELECT t, list_append(p, t) FROM r JOIN e ON s = f WHERE len(p) <= 4 AND NOT list_contains(p, t)),
+b AS (SELECT f, p, row_number() OVER (PARTITION BY f ORDER BY len(p), p) AS k FROM r WHERE len(p) > 1)
+SELECT f AS file, (len(p) - 1)::INT AS depth, array_to_string(p, '>') AS path FROM b WHERE k = 1""")
+def path_enum(spark, sf):
+    return G.paths(edges(spark, sf), "p/7.java", max_depth=4).select("file", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query()
+def graph_traverse(spark, sf):
+    first = table(spark, sf, "part").filter("p_partkey = 7").first()["p_name"]
+    return G.graph_traverse(edges(spark, sf), symbols(spark, sf), first, "repo", max_depth=3, include_paths=True)
+
+
+@query(f"WITH {EDGES} SELECT 'repo' AS codebase, f AS file, count(*) AS degree FROM (SELECT s AS f FROM e UNION ALL SELECT t FROM e WHERE t <> s) GROUP BY f")
+def degree(spark, sf):
+    return G.degree(edges(spark, sf))
+
+
+@query(f"""WITH {EDGES}, d AS (SELECT t, count(*) AS n FROM e GROUP BY t)
+SELECT 's/' || s_suppkey || '.java' AS file_path, coalesce(n, 0) AS in_degree, round((1.0 / (1 + s_suppkey)) * (1 + ln(1 + coalesce(n, 0)) * 0.1), 9) AS score FROM supplier LEFT JOIN d ON t = 's/' || s_suppkey || '.java'""")
+def indegree_rerank(spark, sf):
+    scored = table(spark, sf, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string"), F.lit(".java")).alias("file_path"), (1.0 / (1 + F.col("s_suppkey"))).alias("score"))
+    return G_boost(scored, edges(spark, sf))
+
+
+def G_boost(scored, e):
+    from loomdex.operators.retrieve import boost_by_degree
+
+    return boost_by_degree(scored, e).select("file_path", "in_degree", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {EDGES} SELECT s AS source_file, t AS target_file, k AS edge_type FROM e WHERE s = 'p/12.java' ORDER BY 1, 2, 3 LIMIT 50")
+def dep_imports(spark, sf):
+    return G.dependency_search(edges(spark, sf), "p/12.java", "repo").select("source_file", "target_file", "edge_type")
+
+
+@query(f"WITH {EDGES} SELECT s AS source_file, t AS target_file, k AS edge_type FROM e WHERE t = 's/12.java' AND k = 'import' ORDER BY 1, 2, 3 LIMIT 20")
+def dep_imported_by(spark, sf):
+    return G.dependency_search(edges(spark, sf), "s/12.java", "repo", "imported_by", "import", 20).select("source_file", "target_file", "edge_type")
+
+
+@query("SELECT p_partkey AS k, p_name AS name, p_brand AS label FROM part WHERE p_name ILIKE '%re%' ORDER BY 'p/' || p_partkey || '.java', p_size, p_name LIMIT 25")
+def symbol_like(spark, sf):
+    got = G.symbol_search(symbols(spark, sf), "%re%", "repo", "class", 25)
+    return got.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("k"), "name", "label")
+
+
+def regions(spark, sf):
+    """Communities by the region of a supplier's nation; parts go with their supplier."""
+    s = table(spark, sf, "supplier").filter("s_suppkey < 40").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    own = s.select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string"), F.lit(".java")).alias("file_path"), F.col("n_regionkey").alias("community_id"), F.col("s_suppkey"))
+    p = table(spark, sf, "part").join(own.select("s_suppkey", "community_id"), F.col("p_partkey") % 40 == F.col("s_suppkey"))
+    return own.select("file_path", "community_id").unionByName(p.select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("file_path"), "community_id")).withColumn("codebase", F.lit("repo"))
+
+
+REGIONS = """own AS (SELECT 's/' || s_suppkey || '.java' AS f, n_regionkey AS c, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 40),
+m AS (SELECT f, c FROM own UNION ALL SELECT 'p/' || p_partkey || '.java', c FROM part JOIN own ON p_partkey % 40 = s_suppkey)"""
+
+
+@query(f"WITH {EDGES}, {REGIONS} SELECT s AS source_file, t AS target_file, k AS edge_type, a.c AS source_community, b.c AS target_community FROM e JOIN m a ON a.f = s JOIN m b ON b.f = t WHERE a.c <> b.c ORDER BY 1, 2, 3 LIMIT 200")
+def community_bridges(spark, sf):
+    return G.bridges(edges(spark, sf), regions(spark, sf)).drop("codebase")
+
+
+@query(f"""WITH {EDGES}, {REGIONS}, d AS (SELECT f, count(*) AS n FROM (SELECT s AS f FROM e UNION ALL SELECT t FROM e WHERE t <> s) GROUP BY f),
+r AS (SELECT m.c, m.f, row_number() OVER (PARTITION BY m.c ORDER BY coalesce(n, 0) DESC, m.f) AS k FROM m LEFT JOIN d USING (f))
+SELECT m.c AS community_id, count(*) AS members, (SELECT array_to_string(list(f ORDER BY k), ',') FROM r WHERE r.c = m.c AND k <= 3) AS top_files FROM m GROUP BY m.c""")
+def community_top3(spark, sf):
+    return G.community_list(edges(spark, sf), regions(spark, sf)).select("community_id", "members", F.array_join("top_files", ",").alias("top_files"))
+
+
+@query()
+def louvain(spark, sf):
+    return G.communities(edges(spark, sf))
+
+
+@query()
+def label_propagation(spark, sf):
+    return G.label_propagation(edges(spark, sf), 4)
+
+
+@query(f"WITH {EDGES}, {REGIONS}, d AS (SELECT f, count(*) AS n FROM (SELECT s AS f FROM e UNION ALL SELECT t FROM e WHERE t <> s) GROUP BY f) SELECT m.c AS community_id, m.f AS file_path, coalesce(n, 0) AS degree FROM m LEFT JOIN d USING (f) WHERE m.c = (SELECT c FROM m WHERE f = 's/3.java')")
+def community_members(spark, sf):
+    return G.community_members(edges(spark, sf), regions(spark, sf), "repo", "s/3.java").drop("codebase")
+
+
+@query(f"WITH {EDGES} SELECT 'repo' AS codebase, abs(count(*) - 2500) / 2500.0 > 0.10 AS stale FROM e")
+def drift_check(spark, sf):
+    stored = spark.range(1).select(F.lit("repo").alias("codebase"), F.lit(2500).alias("edge_count"))
+    return G.drifted(stored, edges(spark, sf))
+
+
+@query(f"WITH {EDGES}, d AS (SELECT t, count(*) AS n FROM e GROUP BY t) SELECT 'repo:' || p_partkey AS id, n AS in_degree FROM part JOIN d ON t = 'p/' || p_partkey || '.java' WHERE n >= 1")
+def high_value_nodes(spark, sf):
+    return G.high_value(symbols(spark, sf), edges(spark, sf), "repo", 1).select("id", "in_degree")
+
+
+@query("""WITH n AS (SELECT lower(n_name) AS name FROM nation), w AS (SELECT DISTINCT lower(r_name) AS a FROM region UNION SELECT lower(left(n_name, 3)) FROM nation),
+b AS (SELECT a, name, row_number() OVER (PARTITION BY a ORDER BY (name <> a)::INT, -length(name), name) AS k FROM w JOIN n ON contains(name, a))
+SELECT a AS artifact, 'codebase:' || name || '/' AS target_file FROM b WHERE k = 1""")
+def cross_repo_resolve(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    names = r.select(F.lower("r_name").alias("a")).union(n.select(F.lower(F.substr("n_name", F.lit(1), F.lit(3))))).distinct()
+    wanted = names.select(F.xxhash64("a").alias("id"), F.lit("app").alias("codebase"), F.lit("pom.xml").alias("source_file"), F.lit("build_dependency").alias("edge_type"), F.concat(F.lit("org.x:"), "a", F.lit(":1.0")).alias("metadata"), F.lit(None).cast("string").alias("target_file"))
+    got = G.resolve_dependencies(wanted, n.select(F.lower("n_name").alias("codebase")))
+    return got.select(F.get(F.split("metadata", ":"), F.lit(1)).alias("artifact"), "target_file")
+
+
+@query("""SELECT 'p/' || p_partkey AS source_file, arg_min('n/' || n_nationkey || '.java', n_nationkey) AS target_file
+FROM part JOIN nation ON n_name = (SELECT n_name FROM nation x WHERE x.n_nationkey = p_partkey % 25) WHERE p_partkey <= 200 GROUP BY p_partkey""")
+def resolve_types(spark, sf):
+    n = table(spark, sf, "nation")
+    there = n.select(F.col("n_name").alias("name"), F.lit("lib").alias("codebase"), F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"), F.lit(".java")).alias("file_path"), F.lit(1).alias("start_line"))
+    p = table(spark, sf, "part").filter("p_partkey <= 200").join(n, F.col("p_partkey") % 25 == F.col("n_nationkey"))
+    e = p.select(F.col("p_partkey").alias("id"), F.lit("app").alias("codebase"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("source_file"), F.lit("extends").alias("edge_type"), F.concat(F.lit("com.x."), "n_name").alias("metadata"), F.lit(None).cast("string").alias("target_file"))
+    return G.resolve_types(e, there).select("source_file", "target_file")
+
+
+@query()
+def resolve_calls(spark, sf):
+    p = table(spark, sf, "part")
+    symbols_ = p.select(F.col("p_name").alias("short"), F.concat(F.lit("m"), (F.col("p_partkey") % 9).cast("string"), F.lit("/f"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("file_path"))
+    calls = p.select(F.col("p_partkey").alias("call_id"), F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string"), F.lit("/c.java")).alias("source_file"), F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("callee"), F.lit("").alias("receiver"))
+    imports = p.filter("p_partkey % 11 = 0").select(F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string"), F.lit("/c.java")).alias("source_file"), F.col("p_name").alias("name"), F.lit("lib/x.java").alias("target_file"))
+    return G.resolve_calls(calls, imports, symbols_)
+
+
+@query()
+def codebase_search(spark, sf):
+    d = table(spark, sf, "documents")
+    rows = d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("").alias("title"), F.concat(F.lit("codebase:repo/p/"), F.col("doc_id").cast("string"), F.lit(".java")).alias("file_path"))
+    return S.codebase_search(S.Catalog(rows, edges=edges(spark, sf), symbols=symbols(spark, sf)), "the render", "repo")
