@@ -87,10 +87,9 @@ def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return buckets.astype(np.int64), counts, rates, keys
 
 
-def context_vectors(buckets: np.ndarray, counts: np.ndarray, index: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Sums of the index vectors of the words around each bucket, at unit length times log frequency."""
+def add_contexts(total: np.ndarray, buckets: np.ndarray, counts: np.ndarray, index: np.ndarray, reach: int = 2) -> None:
+    """Adds, to each bucket's row, the index vectors of the words around it."""
     text = np.repeat(np.arange(len(counts)), counts)
-    total = np.zeros((BUCKETS, DIMS), np.float32)
     words = index[buckets[:, 0]]
     for step in range(1, reach + 1):
         inside = text[step:] == text[:-step]
@@ -101,12 +100,9 @@ def context_vectors(buckets: np.ndarray, counts: np.ndarray, index: np.ndarray,
                 if len(keys):
                     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                     total[keys[starts]] += np.add.reduceat(b[order], starts, axis=0)
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    often = np.bincount(buckets.ravel(), minlength=BUCKETS)
-    return (total / np.maximum(norm, 1e-9) * np.log1p(often)[:, None] / 4).astype(np.float32)
 
 
-def pooled(buckets: np.ndarray, counts: np.ndarray, rates: np.ndarray, table: np.ndarray, at_once: int = 60_000) -> np.ndarray:
+def pooled(buckets: np.ndarray, counts: np.ndarray, rates: np.ndarray, table: np.ndarray, at_once: int = 20_000) -> np.ndarray:
     """Mean vector of each text's features, for each of the three families, with the rates of form."""
     texts = len(counts)
     width = table.shape[1]
@@ -167,12 +163,19 @@ class Model:
         self.share = float(y.mean()) if len(y) else 0.5
         if len(y) < 20 or y.min() == y.max():
             return
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        buckets, counts, rates, _ = features(data, ends)
+        parts = []  # of bounded size, so that the driver holds little besides the texts
+        for a, b in files.slices(np.array([len(t) for t in texts]), 1 << 19):
+            some = texts[a:b]
+            buckets, counts, rates, _ = features(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]).astype(np.int64))
+            parts.append((buckets.astype(np.int16), counts, rates))
         index = index_vectors()
-        self.table = np.concatenate([context_vectors(buckets, counts, index), index / 4], axis=1).astype(np.float32)
-        self.network = Network(pooled(buckets, counts, rates, self.table), y)
+        total, often = np.zeros((BUCKETS, DIMS), np.float32), np.zeros(BUCKETS)
+        for buckets, counts, _ in parts:
+            add_contexts(total, buckets, counts, index)
+            often += np.bincount(buckets.ravel(), minlength=BUCKETS)
+        context = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) * np.log1p(often)[:, None] / 4
+        self.table = np.concatenate([context, index / 4], axis=1).astype(np.float32)
+        self.network = Network(np.concatenate([pooled(buckets, counts, rates, self.table) for buckets, counts, rates in parts]), y)
 
     def scores(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.network is None:
