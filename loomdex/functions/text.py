@@ -43,6 +43,11 @@ def chunk_id(path: Column, index: Column) -> Column:
     return F.concat_ws(":", path, index.cast("string"))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 # ---- display ------------------------------------------------------------------------------------
 
 
@@ -109,7 +114,7 @@ def title_tools(title: Column) -> Column:
 
 def extract_title(content: Column, path: Column) -> Column:
     """The first heading, else the file's stem."""
-    heading = F.trim(F.regexp_extract(content, r"(?m)^#+\s+(.+)$", 1))
+    heading = strip(F.regexp_extract(content, r"(?m)^#+\s+(.+)$", 1))
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
     return F.when(heading != "", heading).otherwise(stem)
 
@@ -233,12 +238,12 @@ def judge_score(text: Column) -> Column:
 
 
 def judge_feedback(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?is)FEEDBACK:\s*(.*)$", 1))
+    return strip(F.regexp_extract(text, r"(?is)FEEDBACK:\s*(.*)$", 1))
 
 
 def without_fences(text: Column) -> Column:
     inside = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
-    return F.trim(F.when(text.rlike("```"), F.when(inside != "", inside).otherwise(text)).otherwise(text))
+    return strip(F.when(text.rlike("```"), F.when(inside != "", inside).otherwise(text)).otherwise(text))
 
 
 def html_to_text(html: Column) -> Column:
@@ -254,11 +259,11 @@ def is_noise(user: Column, assistant: Column, prefixes: tuple[str, ...] = ("<com
     """A known opening, or no answer and a known part."""
     begins = F.lit(False)
     for p in prefixes:
-        begins = begins | F.trim(user).startswith(p)
+        begins = begins | strip(user).startswith(p)
     contains = F.lit(False)
     for h in holds:
         contains = contains | user.contains(h)
-    return begins | ((F.trim(F.coalesce(assistant, F.lit(""))) == "") & contains)
+    return begins | ((strip(F.coalesce(assistant, F.lit(""))) == "") & contains)
 
 
 def scip_edge_type(symbol: Column) -> Column:

@@ -80,7 +80,7 @@ def reference_files(spark: SparkSession, root: str) -> DataFrame:
 def summaries(spark: SparkSession, root: str) -> DataFrame:
     """<session>-summary.txt, trimmed; empty ones are null."""
     rows = as_text(files(spark, root, "*-summary.txt"))
-    return rows.select(F.regexp_extract("file_path", r"([^/]+)-summary\.txt$", 1).alias("session"), F.nullif(F.trim("content"), F.lit("")).alias("summary"))
+    return rows.select(F.regexp_extract("file_path", r"([^/]+)-summary\.txt$", 1).alias("session"), F.nullif(T.strip(F.col("content")), F.lit("")).alias("summary"))
 
 
 def eligible_repositories(listed: DataFrame, indexed: DataFrame, least: int, most: int, exclude: list[str]) -> DataFrame:
@@ -96,14 +96,14 @@ def eligible_repositories(listed: DataFrame, indexed: DataFrame, least: int, mos
 def records(rows: DataFrame) -> DataFrame:
     """(file_path, data) of JSONL files to records with their line number; malformed lines are dropped."""
     lines = as_text(rows).select("file_path", F.posexplode(F.split("content", "\n")).alias("line", "json"))
-    parsed = lines.filter(F.trim("json") != "").withColumn("r", F.from_json("json", "type string, sessionId string, cwd string, timestamp string, message struct<role:string,content:string>"))
+    parsed = lines.filter(T.strip(F.col("json")) != "").withColumn("r", F.from_json("json", "type string, sessionId string, cwd string, timestamp string, message struct<role:string,content:string>"))
     return parsed.filter(F.col("r").isNotNull() & F.col("r.type").isNotNull()).select("file_path", (F.col("line") + 1).alias("line"), F.col("r.type").alias("type"), F.col("r.sessionId").alias("session"), F.col("r.cwd").alias("cwd"), F.col("r.timestamp").alias("timestamp"), F.col("r.message.content").alias("content"))
 
 
 def message_text(content: Column) -> Column:
     """A plain string, or the text blocks of an array; tool and thinking blocks are no text."""
     blocks = F.from_json(content, schema.BLOCKS)
-    texts = F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), lambda t: F.trim(t) != "")
+    texts = F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), lambda t: T.strip(t) != "")
     return F.when(F.ltrim(content).startswith("["), F.coalesce(F.array_join(texts, "\n"), F.lit(""))).otherwise(F.coalesce(content, F.lit("")))
 
 
@@ -117,11 +117,11 @@ def exchanges(rows: DataFrame, first_answer_only: bool = False, most: int | None
     folder and time are the first that are told. `first_answer_only` and `most` cut as the validator's reader does."""
     r = rows.withColumns({"text": message_text(F.col("content")), "tools": message_tools(F.col("content"))})
     w = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    opens = (F.col("type") == "user") & (F.trim("text") != "")
+    opens = (F.col("type") == "user") & (T.strip(F.col("text")) != "")
     r = r.withColumn("exchange", F.sum(opens.cast("int")).over(w)).filter("exchange > 0")
     item = F.struct("line", "type", "text", "tools")
     got = r.groupBy("file_path", "exchange").agg(F.sort_array(F.collect_list(item)).alias("x"), F.min_by("session", F.when(F.col("session").isNotNull(), F.col("line"))).alias("session"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line"))).alias("cwd"), F.min_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("line"))).alias("timestamp"), F.min("line").alias("start_line"), F.max("line").alias("end_line"))
-    said = F.filter("x", lambda i: i["type"].isin("assistant", "summary") & (F.trim(i["text"]) != ""))
+    said = F.filter("x", lambda i: i["type"].isin("assistant", "summary") & (T.strip(i["text"]) != ""))
     if first_answer_only:
         said = F.slice(F.filter(said, lambda i: i["type"] == "assistant"), 1, 1)
     user = F.get(F.transform(F.filter("x", lambda i: i["type"] == "user"), lambda i: i["text"]), F.lit(0))
