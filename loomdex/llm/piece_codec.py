@@ -254,8 +254,10 @@ def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool):
                 ids, counts = own.encode(some)
                 raw = ids.astype("<u4").tobytes()
                 at = np.concatenate([[0], np.cumsum(counts)]).tolist()
-                back = own.decode(ids, counts)
-                same = [x == y for x, y in zip(back, some.cast(pa.binary()).to_pylist())]
+                raw_text, same = some.cast(pa.binary()), []
+                for c, d in files.slices(counts, 1 << 18):  # decoding holds a few words of memory for each byte
+                    back = own.decode(ids[at[c] : at[d]], counts[c:d])
+                    same += [x == y for x, y in zip(back, raw_text.slice(c, d - c).to_pylist())]
                 out = [c.slice(a, b - a) for c in others] + [pa.array(counts, pa.int64()), pa.array([zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(at[:-1], at[1:])], pa.int64()), pa.array(same)]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
@@ -265,7 +267,7 @@ def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool):
     return run
 
 
-def encode_docs(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", scores: str = "zipf", with_ids: bool = True, chunk_bytes: int = 16 << 20) -> DataFrame:
+def encode_docs(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", scores: str = "zipf", with_ids: bool = True, chunk_bytes: int = 8 << 20) -> DataFrame:
     """`keep` columns, n_tokens, ids_crc32, lossless (decoding gave the text back), and ids; a map without a shuffle."""
     on_workers(docs.sparkSession)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
