@@ -356,9 +356,10 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> D
     found = hit(s1, 1, F.lit(0.95), "import_exact").unionByName(hit(s2, 2, F.lit(0.85), "import_suffix")).unionByName(hit(s3, 3, F.lit(0.90), "same_module")).unionByName(hit(s4, 4, F.lit(0.75), "unique_name")).unionByName(hit(s5, 5, F.lit(0.55), "nearest"))
     best = found.groupBy("call_id").agg(F.min_by(F.struct("target_file", "confidence", "strategy"), "p").alias("b"))
     rest = c.join(best, "call_id", "left_anti")
-    unknown = rest.select("short").distinct().withColumn("n", F.explode(F.sequence(F.ceil(F.length("short") * 0.538), F.ceil(F.length("short") * 1.86))))
-    pool = named.groupBy(F.col("short").alias("other")).agg(F.min("target").alias("target")).withColumn("n", F.length("other").cast("long"))
-    similar = unknown.join(pool, "n").withColumn("ratio", _ratio("short", "other")).filter("ratio >= 0.7")
+    unknown = rest.select("short").distinct().withColumn("bag", _bag("short")).withColumn("n", F.explode(F.sequence(F.ceil(F.length("short") * 0.538), F.ceil(F.length("short") * 1.86))))
+    pool = named.groupBy(F.col("short").alias("other")).agg(F.min("target").alias("target")).withColumn("n", F.length("other").cast("long")).withColumn("other_bag", _bag("other"))
+    hopeful = 2 * F.size(F.array_intersect("bag", "other_bag")) >= 0.7 * (F.length("short") + F.col("n"))
+    similar = unknown.join(pool, "n").filter(hopeful).withColumn("ratio", _ratio("short", "other")).filter("ratio >= 0.7")
     fuzzy = similar.groupBy("short").agg(F.min_by(F.struct("target", "ratio"), F.struct(-F.col("ratio"), "other")).alias("f"))
     loose = rest.join(fuzzy, "short").select("call_id", F.struct(F.col("f.target").alias("target_file"), (0.30 + (F.col("f.ratio") - 0.7) / 3).alias("confidence"), F.lit("fuzzy").alias("strategy")).alias("b"))
     every = best.unionByName(loose)
@@ -366,6 +367,13 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> D
     return got.select("call_id", "source_file", "callee", F.col("b.target_file").alias("target_file"), F.col("b.confidence").alias("confidence"), F.coalesce("b.strategy", F.lit("none")).alias("strategy"), F.when(F.col("b.target_file").isNotNull(), "calls").otherwise("calls_unresolved").alias("edge_type"))
 
 
+def _bag(name: str) -> Column:
+    """A name's characters, repeats numbered: what two names share bounds how much of them can match."""
+    chars = F.split(F.lower(name), "")
+    nth = lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))
+    return F.transform(chars, lambda c, i: F.concat(c, nth(c, i).cast("string")))
+
+
 def _ratio(a: str, b: str) -> Column:
     """Similarity of two names by longest matching blocks; no built-in has this measure."""
 

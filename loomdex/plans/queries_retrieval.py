@@ -224,8 +224,9 @@ def search_session_cap(spark, sf):
     return got.orderBy(*R.fused_order()).limit(20).select("id", "file_path", "rank")
 
 
-@query(f"WITH {TALKS.replace('FROM t)', 'FROM t WHERE conv_id % 7 = 3 AND conv_id % 28 + 1 BETWEEN 5 AND 20)')}, {TALK_BM}, w AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY rank) AS k FROM r QUALIFY k <= 2) SELECT id, round(1.0 / (60 + rank), 9) AS score FROM w ORDER BY rank LIMIT 6")
+@query(f"WITH {TALKS.replace('FROM t)', 'FROM t WHERE conv_id % 7 = 3 AND conv_id % 28 + 1 BETWEEN 5 AND 20)')}, {TALK_BM.replace('len(t) AS dl', 'len(t) + 6 AS dl')}, w AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY rank) AS k FROM r QUALIFY k <= 2) SELECT id, round(1.0 / (60 + rank), 9) AS score FROM w ORDER BY rank LIMIT 6")
 def search_filters(spark, sf):
+    """Titles hold six tokens each, which count for length."""
     catalog = S.Catalog(talks(spark, sf).drop("title").withColumn("title", F.lit("")).join(talks(spark, sf).select("id", F.col("title").alias("meta")), "id"))
     catalog.chunks = catalog.chunks.withColumn("title", F.col("meta")).drop("meta")
     got = S.memory_search(catalog, "the", 6, after="2024-01-05", before="2024-01-20", project="proj3", source="conversations", use=("keyword",))
@@ -248,7 +249,7 @@ def deep_search(spark, sf):
     return S.memory_deep_search(catalog(spark, sf), "render on 2024-01-20", 10)
 
 
-@query("SELECT 'curated' AS source, count(*) AS chunks, count(DISTINCT doc_id) AS files, count(*) - (SELECT count(*) FROM embeddings) AS without_embedding FROM documents")
+@query("SELECT 'curated' AS source, count(*) AS chunks, count(DISTINCT doc_id) AS files, sum((doc_id NOT IN (SELECT vec_id FROM embeddings))::INT)::BIGINT AS without_embedding FROM documents")
 def store_status(spark, sf):
     return S.status(catalog(spark, sf))
 
