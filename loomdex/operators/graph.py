@@ -347,12 +347,15 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> D
     want = c.select("call_id", "source_file", F.posexplode(F.array_distinct(F.filter(F.array("base", "short"), lambda x: x.isNotNull() & (x != "")))).alias("at", "suffix"))
     s2 = want.join(suffix, ["source_file", "suffix"]).groupBy("call_id").agg(F.min_by("target", "at").alias("target"))
     named = symbols.select(F.col("short"), F.col("file_path").alias("target")).distinct()
-    near = c.join(named.withColumn("dir", T.directory(F.col("target"))), ["short", "dir"]).filter(F.col("target") != F.col("source_file"))
-    s3 = near.groupBy("call_id").agg(F.min("target").alias("target"))
+    placed = named.groupBy("short", T.directory(F.col("target")).alias("dir")).agg(F.slice(F.array_sort(F.collect_set("target")), 1, 2).alias("two"))
+    near = c.join(placed, ["short", "dir"]).select("call_id", F.get(F.filter("two", lambda t: t != F.col("source_file")), F.lit(0)).alias("target"))
+    s3 = near.filter("target is not null")
     only = named.groupBy("short").agg(F.count_distinct("target").alias("files"), F.min("target").alias("target")).filter("files = 1")
     s4 = c.join(only, "short").select("call_id", "target")
-    away = c.join(named, "short").withColumn("d", T.directory_distance(F.col("source_file"), F.col("target")))
-    s5 = away.groupBy("call_id").agg(F.min_by("target", F.struct("d", "target")).alias("target"))
+    # The distance is one of folders: it is taken for each pair of a name's folders, not of its files.
+    away = c.select("short", "dir").distinct().join(placed.select("short", F.col("dir").alias("there"), F.get("two", F.lit(0)).alias("target")), "short")
+    away = away.withColumn("d", T.directory_distance(F.concat("dir", F.lit("/x")), F.concat("there", F.lit("/x"))))
+    s5 = c.join(away.groupBy("short", "dir").agg(F.min_by("target", F.struct("d", "target")).alias("target")), ["short", "dir"]).select("call_id", "target")
     found = hit(s1, 1, F.lit(0.95), "import_exact").unionByName(hit(s2, 2, F.lit(0.85), "import_suffix")).unionByName(hit(s3, 3, F.lit(0.90), "same_module")).unionByName(hit(s4, 4, F.lit(0.75), "unique_name")).unionByName(hit(s5, 5, F.lit(0.55), "nearest"))
     best = found.groupBy("call_id").agg(F.min_by(F.struct("target_file", "confidence", "strategy"), "p").alias("b"))
     rest = c.join(best, "call_id", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as T
 from loomdex.functions import vectors as V
+from loomdex.runtime import materialise
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -44,7 +45,8 @@ def phrase_count(tokens: Column, parts: list[str]) -> Column:
 
 
 def bm25(rows: DataFrame, query: str, id_col: str = "id", columns: dict[str, float] | None = None) -> DataFrame:
-    """(id, score) of rows that hold any term. Two passes of the scan and one global aggregate; no shuffle of texts.
+    """(id, score) of rows that hold any term. One pass over the texts, whose counts (a few numbers a row) are written and read
+    again for the global aggregate and the scores; no shuffle.
 
     columns: text columns and their weights. A term that the query repeats counts again; length counts all columns' tokens."""
     columns = columns or {"content": 1.0}
@@ -54,11 +56,11 @@ def bm25(rows: DataFrame, query: str, id_col: str = "id", columns: dict[str, flo
         return rows.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     distinct = list(dict.fromkeys(map(tuple, phrases)))
     arrays = {c: T.tokens(F.col(c)) for c in columns}
-    length = reduce(lambda a, b: a + b, (F.size(a) for a in arrays.values()))
     base = rows.select(F.col(id_col).alias("id"), *(a.alias(f"_t{i}") for i, a in enumerate(arrays.values())))
     length = reduce(lambda a, b: a + b, (F.size(f"_t{i}") for i in range(len(arrays))))
     tf = lambda p, weighted: reduce(lambda a, b: a + b, (phrase_count(F.col(f"_t{i}"), list(p)) * (w if weighted else 1) for i, w in enumerate(columns.values())))
     counted = base.select("id", length.alias("dl"), *(tf(p, True).alias(f"tf{i}") for i, p in enumerate(distinct)))
+    counted = materialise(counted, "bm25")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct)))).first()
     total = F.lit(0.0)
     n, average = stats["n"], stats["avgdl"] or 1.0

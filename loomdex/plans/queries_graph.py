@@ -190,7 +190,7 @@ def resolve_types(spark, sf):
 def resolve_calls(spark, sf):
     p = table(spark, sf, "part")
     symbols_ = p.select(F.col("p_name").alias("short"), F.concat(F.lit("m"), (F.col("p_partkey") % 9).cast("string"), F.lit("/f"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("file_path"))
-    calls = p.select(F.col("p_partkey").alias("call_id"), F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string"), F.lit("/c.java")).alias("source_file"), F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("callee"), F.lit("").alias("receiver"))
+    calls = p.select(F.col("p_partkey").alias("call_id"), F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string"), F.lit("/c.java")).alias("source_file"), F.when(F.col("p_partkey") % 50 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("callee"), F.lit("").alias("receiver"))
     imports = p.filter("p_partkey % 11 = 0").select(F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string"), F.lit("/c.java")).alias("source_file"), F.col("p_name").alias("name"), F.lit("lib/x.java").alias("target_file"))
     return G.resolve_calls(calls, imports, symbols_)
 

@@ -10,7 +10,7 @@ from loomdex.functions import text as T
 from loomdex.functions import vectors as V
 from loomdex.operators import retrieve as R
 from loomdex.plans import search as S
-from loomdex.runtime import table
+from loomdex.runtime import materialise, table
 
 QUERIES, SQL = {}, {}
 WORDS = "the render of"
@@ -236,7 +236,7 @@ def search_filters(spark, sf):
 def catalog(spark, sf) -> S.Catalog:
     first = first_vector(spark, sf)
     rows = docs(spark, sf).join(vectors(spark, sf).select("id", "embedding"), "id", "left").withColumn("event_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")))
-    return S.Catalog(rows, entities=E.chunk_entities(rows, vocabulary=VOCABULARY), embed=lambda q: first, vocabulary=VOCABULARY)
+    return S.Catalog(rows, entities=materialise(E.chunk_entities(rows, vocabulary=VOCABULARY), "entities"), embed=lambda q: first, vocabulary=VOCABULARY)
 
 
 @query()
