@@ -59,11 +59,11 @@ def base_spans(text: Column) -> dict[str, Column]:
 def candidates(text: Column) -> Column:
     """array<struct<kind,start,end,features>> of all generators."""
     hints = {"email_spelled": r"(?:\[at\]|\(at\)|\{at\})", "phone_local": r"[0-9][ .-][0-9]{4}", "card_close": r"[0-9]{4}[ -]?[0-9]{4}", "social": r"[0-9]-[0-9]{2}-[0-9]", "account": r"[A-Z]{2}[0-9]{2}"}
-    every = []
-    for rank, (kind, pattern) in enumerate(GENERATORS.items()):
-        found = S.spans(text, pattern, hint=hints[kind])
 
-        def features(s: Column, rank: int = rank) -> Column:
+    def described(rank: int, found: Column) -> Column:
+        """Spans of one generator with their features."""
+
+        def features(s: Column) -> Column:
             got, number = s["text"], S.digits(s["text"])
             before = F.substr(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32)))
             after = F.substr(text, s["end"] + 1, F.lit(1))
@@ -85,7 +85,9 @@ def candidates(text: Column) -> Column:
             }
             return F.struct(F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()))
 
-        every.append(F.transform(found, features))
+        return F.transform(found, features)
+
+    every = [described(rank, S.spans(text, pattern, hint=hints[kind])) for rank, (kind, pattern) in enumerate(GENERATORS.items())]
     return F.concat(*every)
 
 
