@@ -30,7 +30,6 @@ empty result. Only the two named columns are read, so others may have any name.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +55,7 @@ def packed(*arrays: np.ndarray) -> bytes:
     out = [np.int64(len(arrays)).tobytes()]
     for a in arrays:
         planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if len(a) else b""
-        small = zlib.compress(planes, 1) if a.itemsize > 8 else None
-        body = small or pa.compress(planes, "zstd", asbytes=True)
+        body = pa.compress(planes, "zstd", asbytes=True)
         flag = len(body) < len(planes)
         body = body if flag else planes
         out += [np.array([len(a), len(planes), len(body), flag], np.int64).tobytes(), a.dtype.str.ljust(4).encode(), body]
@@ -115,10 +113,8 @@ def send_keys(bits: int, hot: int, block_bytes: int, slice_bytes: int):
         out = [(block % (1 << bits), block, DOCS, packed(np.asarray(doc.fill_null(0)), np.asarray(doc.is_valid()).astype(np.uint8), n.astype(np.uint32), sigs[0].view(np.int64), sigs[1].view(np.int64), first.astype(np.uint8)))]
         if many.any():
             out.append((block % (1 << bits), block, LISTS, packed(keys[whole])))
-        shift = np.uint64(64 - bits)
         edges = np.arange((1 << bits) + 1, dtype=object) << (64 - bits)
         bounds = lambda x: np.append(np.searchsorted(x, edges[:-1].astype(np.uint64)), len(x))
-        del shift
         at = bounds(cold)
         out += [(b, block, COLD, packed(cold[at[b] : at[b + 1]])) for b in np.flatnonzero(np.diff(at)).tolist()]
         heads, counts = keys[starts[many]], lengths[many].astype(np.uint32)
@@ -330,7 +326,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 24 << 20, slice_bytes: int = 3 << 20, unit_sets: int = 1500, unit_bytes: int = 24 << 20) -> DataFrame:
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 1500, unit_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; see the module. Bounds are of memory alone: no pair is lost to them."""
     spark = on_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
