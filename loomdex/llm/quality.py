@@ -181,7 +181,7 @@ class Model:
         if self.network is None:
             return np.full(len(ends) - 1, self.share)
         buckets, counts, rates, _ = features(data, ends)
-        return self.network.scores(pooled(buckets, counts, rates, self.table))
+        return np.round(self.network.scores(pooled(buckets, counts, rates, self.table)), 9)  # equal texts, equal scores in any batch
 
 
 def in_training(doc_id: Column) -> Column:
@@ -211,7 +211,7 @@ def score_rows(model, slice_bytes: int):
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", slice_bytes: int = 1 << 19) -> DataFrame:
     """`keep` columns and score."""
     spark = on_workers(docs.sparkSession)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
