@@ -267,7 +267,7 @@ def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool):
     return run
 
 
-def encode_docs(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", scores: str = "zipf", with_ids: bool = True, chunk_bytes: int = 8 << 20) -> DataFrame:
+def encode_docs(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", scores: str = "zipf", with_ids: bool = True, chunk_bytes: int = 4 << 20) -> DataFrame:
     """`keep` columns, n_tokens, ids_crc32, lossless (decoding gave the text back), and ids; a map without a shuffle."""
     on_workers(docs.sparkSession)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
