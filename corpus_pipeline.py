@@ -13,7 +13,7 @@ from loomdex.llm import jaccard_join, mixing, piece_codec, quality, secrets
 from loomdex.runtime import materialise, on_workers, shared_path
 
 #: Up to so many rows of a fixed width are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def _small(df: DataFrame) -> DataFrame:
