@@ -360,3 +360,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_sql() -> str:
+    return r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS c FROM k a JOIN k b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c WHERE 100 * c >= 75 * (an + bn - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY ALL"""

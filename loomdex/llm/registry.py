@@ -32,5 +32,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat_format.op2_sql(),
+        "op8_jaccard_join": jaccard_join.op8_sql(),
         "op10_vector_topk": vector_topk.op10_sql(),
     }
