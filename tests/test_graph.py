@@ -55,10 +55,10 @@ def test_communities(spark):
 
 
 def test_cross_repository(spark):
-    e = edges(spark, [("build.gradle", None, "build_dependency", "com.toast:toast-common:1.0"), ("X.java", None, "extends", "com.unknown.NoSuchClass"), ("Y.java", None, "extends", "com.x.Known"), ("pom.xml", None, "build_dependency", "g::1")])
-    names = spark.createDataFrame([("toast-common",), ("toast-common-extra",)], "codebase string")
+    e = edges(spark, [("build.gradle", None, "build_dependency", "com.acme:acme-common:1.0"), ("X.java", None, "extends", "com.unknown.NoSuchClass"), ("Y.java", None, "extends", "com.x.Known"), ("pom.xml", None, "build_dependency", "g::1")])
+    names = spark.createDataFrame([("acme-common",), ("acme-common-extra",)], "codebase string")
     got = G.resolve_dependencies(e, names).collect()
-    assert [(r["source_file"], r["target_file"]) for r in got] == [("build.gradle", "codebase:toast-common/")]
+    assert [(r["source_file"], r["target_file"]) for r in got] == [("build.gradle", "codebase:acme-common/")]
     symbols = spark.createDataFrame([("lib", "k/Known.java", "Known", 1), ("repo", "own/Known.java", "Known", 1)], "codebase string, file_path string, name string, start_line int")
     assert [(r["source_file"], r["target_file"], r["target_codebase"]) for r in G.resolve_types(e, symbols).collect()] == [("Y.java", "k/Known.java", "lib")]
     assert [(r["source_file"], r["target_file"]) for r in G.resolve_hierarchy(e, symbols).collect()] == [("Y.java", "own/Known.java")]

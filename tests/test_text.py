@@ -37,8 +37,8 @@ def test_query_date(spark, q, expected):
 
 
 def test_titles(spark):
-    t = F.lit("toast-analytics | 2025-01-15 | Tools: Read, Write")
-    assert one(spark, T.title_project(t)) == "toast-analytics"
+    t = F.lit("acme-analytics | 2025-01-15 | Tools: Read, Write")
+    assert one(spark, T.title_project(t)) == "acme-analytics"
     assert one(spark, T.title_date(t)) == "2025-01-15"
     assert one(spark, T.title_tools(t)) == ["Read", "Write"]
     assert one(spark, T.normalize_project(F.lit("-Users-ann-lee-My-App"), "ann.lee")) == "my-app"
@@ -78,7 +78,7 @@ def test_small_functions(spark):
 def test_entities(spark):
     get = lambda content, title="": {tuple(x) for x in one(spark, E.entities(F.lit(content), F.lit(title)))}
     assert {("tool", "slack"), ("tool", "jira")} <= get("We use Slack and Jira for work")
-    assert ("project", "toast-analytics") in get("x", "toast-analytics | 2025-01-15 | Tools: Read, Write")
+    assert ("project", "acme-analytics") in get("x", "acme-analytics | 2025-01-15 | Tools: Read, Write")
     assert ("person", "ann lee") in get("met Ann Lee today")
     assert not [e for e in get("Monday Tuesday") if e[0] == "person"]
 
