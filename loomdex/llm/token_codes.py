@@ -180,15 +180,48 @@ def cut_tails(words: list[str]) -> tuple[list[str], np.ndarray]:
     return list(place), at
 
 
-def encode_texts(tok, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+class Pieces:
+    """Ids of pieces of words, kept over a worker's batches up to a bound; the rest are encoded again when they come again."""
+
+    def __init__(self, tok, most: int = 250_000):
+        self.tok, self.most = tok, most
+        self.place: dict[str, int] = {}
+        self.pool, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and each piece's start and count in it."""
+        get = self.place.get
+        at = np.array([get(p, -1) for p in pieces], np.int64)
+        missing = np.flatnonzero(at < 0)
+        new = [pieces[i] for i in missing.tolist()]
+        pool, counts = word_ids(self.tok, new)
+        at[missing] = len(self.starts) + np.arange(len(new))
+        starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
+        pool, counts = np.concatenate([self.pool, pool]), np.concatenate([self.counts, counts])
+        room = self.most - len(self.place)
+        if room > 0:
+            kept = new[:room]
+            self.place.update(zip(kept, range(len(self.starts), len(self.starts) + len(kept))))
+            n = len(self.starts) + len(kept)
+            self.starts, self.counts = starts[:n].copy(), counts[:n].copy()
+            self.pool = pool[: int(starts[n - 1] + counts[n - 1]) if n else 0].copy()
+        return pool, starts[at], counts[at]
+
+
+@lru_cache(maxsize=2)
+def worker_pieces(path: str) -> Pieces:
+    return Pieces(tokenizer(path))
+
+
+def encode_texts(known: Pieces, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, laid end to end, and each text's count. The tokenizer drops white space and never
     joins across it, so a text's ids are those of its words; each different word of the batch is encoded once."""
     words = pc.ascii_split_whitespace(texts)
     flat = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py())
     coded = flat.dictionary_encode()
     pieces, at = cut_tails(coded.dictionary.to_pylist())
-    pool, counts = word_ids(tok, pieces)
-    pool = pool[files.gather((np.cumsum(counts) - counts)[at].ravel(), counts[at].ravel())]
+    pool, first, counts = known.ids(pieces)
+    pool = pool[files.gather(first[at].ravel(), counts[at].ravel())]
     counts = counts[at].sum(axis=1)
     pool = np.append(pool, np.uint32(end_id or 0))
     index = np.asarray(coded.indices, dtype=np.int64)
@@ -211,12 +244,12 @@ def encoder(path: str, end_id: int | None, cuts: list[int], chunk_bytes: int):
     cut = np.array(cuts, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok, known = tokenizer(path), worker_pieces(path)
         small = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
         for batch in batches:
             text = files.plain(batch.column(1), pa.string())
             for a, b in files.slices(np.diff(files.buffers(text)[1]), chunk_bytes):
-                ids, counts = encode_texts(tok, text.slice(a, b - a), end_id)
+                ids, counts = encode_texts(known, text.slice(a, b - a), end_id)
                 doc = batch.column(0).slice(a, b - a)
                 shard = np.searchsorted(cut, np.asarray(doc.fill_null(-(1 << 63))), side="right").astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum(counts)])
@@ -259,7 +292,7 @@ def writer(folder: str, width: int, item: int, file_tokens: int):
     return run
 
 
-def write_codes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, width: int = 8, docs_per_shard: int = 4096, file_tokens: int = 1 << 24, chunk_bytes: int = 32 << 20) -> tuple[str, DataFrame]:
+def write_codes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, width: int = 8, docs_per_shard: int = 4096, file_tokens: int = 1 << 24, chunk_bytes: int = 16 << 20) -> tuple[str, DataFrame]:
     """Write the ids of all texts in ascending id order; returns the folder and its manifest (shard, part, name, n_docs, n_tokens).
 
     The id range is cut at quantiles (read from the id column alone, `docs_per_shard` rows a shard), so the one
