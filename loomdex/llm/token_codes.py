@@ -306,7 +306,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     coded = rows.mapInArrow(run, "shard int, doc_id long, n_tokens long, ids binary")
     folder = shared_path(spark, "token-codes")
     item = 2 if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
-    dealt = coded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "ids")
+    dealt = coded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "ids")
     manifest = dealt.mapInArrow(writer(folder, width, item, file_tokens), "shard int, part int, name string, n_docs long, n_tokens long")
     return folder, materialise(manifest, "token-manifest")
 
