@@ -161,18 +161,19 @@ def word_ids(tok, words: list[str], at_once: int = 500) -> tuple[np.ndarray, np.
 
 
 def cut_tails(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Different words share their cores: after a letter, closing points start a piece of their own for the tokenizer's
-    splitter, and case of ASCII cores is dropped by its normaliser. Returns the pieces' texts without repeats and, for each
-    word, the places of its core and its tail (place 0: no tail)."""
+    """Different words share their cores: after an ASCII letter, closing points start a piece of their own for the tokenizer's
+    splitter (the normaliser may end any other letter in a combining mark, which joins the points), and case of ASCII cores is
+    dropped by its normaliser, but for a special token's text, which is looked for before. Returns the pieces' texts without
+    repeats and, for each word, the places of its core and its tail (place 0: no tail)."""
     place: dict[str, int] = {"": 0}
     at = np.zeros((len(words), 2), np.int64)
     for i, w in enumerate(words):
         core = w.rstrip(".,;:!?")
-        if core and len(core) < len(w) and core[-1].isalpha():
+        if core and len(core) < len(w) and core[-1].isascii() and core[-1].isalpha():
             tail = w[len(core) :]
         else:
             core, tail = w, ""
-        if core.isascii():
+        if core.isascii() and "<|" not in core:
             core = core.lower()
         at[i, 0] = place.setdefault(core, len(place))
         if tail:

@@ -48,3 +48,17 @@ def test_split_files_null_ids_and_empty(spark, docs, odd):
     assert got == brute(odd, [None, *range(1, len(odd))])
     folder, manifest = T.write_codes(docs([]), PATH)
     assert T.read_digests(spark, folder, manifest).count() == 0
+
+
+#: The normaliser ends the last letter in a combining mark, or a special token's text is spelled in another case.
+MARKED = ["ŞİRKETİ. x", "হয়, x", "पहाड़, x", "\ufb2a. x", "a<|ENDOFTEXT|> <|StartOfText|>. X", "<|endoftext|>! END.", "ÉTÉ. Слово, WORD? don'T! it'S."]
+
+
+def test_marks_and_special_tokens_equal_whole_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    ids, counts = T.encode_texts(T.Pieces(tok), pa.array(MARKED), None)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in MARKED]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
