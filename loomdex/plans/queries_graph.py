@@ -26,9 +26,9 @@ def edges(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     kind = lambda n: F.element_at(F.array(*map(F.lit, ("calls", "import", "extends"))), (n % 3 + 1).cast("int"))
     name = lambda x, n: F.concat(F.lit(x + "/"), n.cast("string"), F.lit(".java"))
-    a = p.filter("k <= 900").select(name("p", F.col("k")).alias("source_file"), name("p", F.col("k") * 3 % 997).alias("target_file"), kind(F.col("k")).alias("edge_type"), F.col("k").alias("id"))
+    a = p.select(name("p", F.col("k")).alias("source_file"), name("p", F.col("k") * 3 % 997).alias("target_file"), kind(F.col("k")).alias("edge_type"), F.col("k").alias("id"))
     b = p.select(name("p", F.col("k")).alias("source_file"), name("s", F.col("k") % 40).alias("target_file"), kind(F.col("k") + 1).alias("edge_type"), (F.col("k") + 100000).alias("id"))
-    c = table(spark, sf, "supplier").filter("s_suppkey < 40").select(name("s", F.col("s_suppkey")).alias("source_file"), name("n", F.col("s_nationkey")).alias("target_file"), F.lit("import").alias("edge_type"), (F.col("s_suppkey") + 200000).alias("id"))
+    c = table(spark, sf, "supplier").select(name("s", F.col("s_suppkey")).alias("source_file"), name("n", F.col("s_nationkey")).alias("target_file"), F.lit("import").alias("edge_type"), (F.col("s_suppkey") + 200000).alias("id"))
     return a.unionByName(b).unionByName(c).withColumns({"codebase": F.lit("repo"), "metadata": F.lit(None).cast("string"), "updated_at": F.col("id"), "confidence": F.lit(None).cast("double")})
 
 
@@ -117,7 +117,7 @@ def symbol_like(spark, sf):
 
 def regions(spark, sf):
     """Communities by the region of a supplier's nation; parts go with their supplier."""
-    s = table(spark, sf, "supplier").filter("s_suppkey < 40").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     own = s.select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string"), F.lit(".java")).alias("file_path"), F.col("n_regionkey").alias("community_id"), F.col("s_suppkey"))
     p = table(spark, sf, "part").join(own.select("s_suppkey", "community_id"), F.col("p_partkey") % 40 == F.col("s_suppkey"))
     return own.select("file_path", "community_id").unionByName(p.select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("file_path"), "community_id")).withColumn("codebase", F.lit("repo"))
