@@ -181,7 +181,7 @@ FROM part JOIN nation ON n_name = (SELECT n_name FROM nation x WHERE x.n_nationk
 def resolve_types(spark, sf):
     n = table(spark, sf, "nation")
     there = n.select(F.col("n_name").alias("name"), F.lit("lib").alias("codebase"), F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"), F.lit(".java")).alias("file_path"), F.lit(1).alias("start_line"))
-    p = table(spark, sf, "part").filter("p_partkey <= 200").join(n, F.col("p_partkey") % 25 == F.col("n_nationkey"))
+    p = table(spark, sf, "part").join(n, F.col("p_partkey") % 25 == F.col("n_nationkey"))
     e = p.select(F.col("p_partkey").alias("id"), F.lit("app").alias("codebase"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("source_file"), F.lit("extends").alias("edge_type"), F.concat(F.lit("com.x."), "n_name").alias("metadata"), F.lit(None).cast("string").alias("target_file"))
     return G.resolve_types(e, there).select("source_file", "target_file")
 

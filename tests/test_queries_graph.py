@@ -51,3 +51,8 @@ def test_regions_of_all_rows(spark, large):
     got = {r["file_path"]: r["community_id"] for r in Q.regions(spark, large).collect()}
     own = {f"s/{k}.java": k % 25 % 5 for k in range(SUPPLIERS)}
     assert got == own | {f"p/{k}.java": own[f"s/{k % 40}.java"] for k in range(PARTS)}
+
+
+def test_types_of_all_parts(spark, large):
+    got = {r["source_file"]: r["target_file"] for r in Q.resolve_types(spark, large).collect()}
+    assert got == {f"p/{k}": f"n/{k % 25}.java" for k in range(PARTS)}
