@@ -23,7 +23,16 @@ from loomdex.runtime import shared_path
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+KEY_HEAD = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: The key with its body: up to the END line, over all that isn't another block's line; where END is missing, header fields and
+#: then base64 runs of 16 or more, with line breaks (also as escapes), quotes and line marks between them, and a short last run
+#: that is padded or ends the text. Possessive throughout: each place is read once.
+KEY_GAP = r"""(?:\\[nr]|[\s"',;>#*|+])*+"""
+KEY_BLOCK = (
+    KEY_HEAD
+    + r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    + rf"|(?:{KEY_GAP}(?:Proc-Type|DEK-Info): [^\n\\]*+)*+(?:{KEY_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:{KEY_GAP}[A-Za-z0-9+/]++(?:={{1,2}}+|(?=\s*+\z)))?+)"
+)
 WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
 
 
@@ -37,7 +46,7 @@ RULES = {
     "assign": (1, _assign),
     "access": (1, lambda t: S.spans(t, ACCESS)),
     "hex": (1, lambda t: S.spans(t, HEX)),
-    "key_block": (1, lambda t: S.spans(t, KEY_BLOCK)),
+    "key_block": (2, lambda t: S.spans(t, KEY_BLOCK, hint=KEY_HEAD)),
     "web_token": (1, lambda t: S.spans(t, WEB_TOKEN)),
 }
 BASE = ("assign", "access", "hex")

@@ -45,3 +45,27 @@ def test_redaction(spark, docs):
     _, found = S.scan_blobs(docs([t]))
     got = docs([t]).withColumn("blob", S.address(F.col("text"))).join(found, "blob").select(S.redacted(F.col("text"), F.col("findings")).alias("x")).first()["x"]
     assert got == "a [SECRET] b [SECRET] c"
+
+
+def pem(rng, kind="RSA ", lines=12, sep="\n", last="QmFzZQ=="):
+    body = ["".join(rng.choice("ABCXYZabcxyz0189+/") for _ in range(64)) for _ in range(lines)]
+    return [f"-----BEGIN {kind}PRIVATE KEY-----", *body, last], f"-----END {kind}PRIVATE KEY-----", sep
+
+
+def test_whole_keys_go(spark, docs):
+    import corpus_pipeline as P
+
+    rng = random.Random(7)
+    texts, want = [], []
+    for kind, lines, sep in [("RSA ", 12, "\n"), ("", 1, "\r\n"), ("EC ", 4, "\\n"), ("OPENSSH ", 2000, "\n  "), ("ENCRYPTED ", 3, "\n> ")]:
+        parts, end, _ = pem(rng, kind, lines, sep)
+        texts += [f"before {sep.join([*parts, end])} after it", f"before {sep.join(parts)}\nafter it, more"]
+        want += ["before [SECRET] after it", "before [SECRET]\nafter it, more"]
+    parts, end, _ = pem(rng)
+    parts.insert(1, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n")
+    whole = "\n".join([*parts, end])
+    texts += [f"{whole}\n{whole}", "\n".join(parts) + f"\n{whole} z", "say -----BEGIN PRIVATE KEY----- and go on, no key here", "\n".join([*parts[:-1], "QmFz"]), "\n".join("-" + x for x in [*parts, end])]
+    want += ["[SECRET]\n[SECRET]", "[SECRET]\n[SECRET] z", "say [SECRET] and go on, no key here", "[SECRET]", "-[SECRET]"]
+    out = {r["doc_id"]: r["text"] for r in P.without_secrets(spark, docs(texts), "").collect()}
+    assert [out[i] for i in range(len(texts))] == want
+    assert S.RULES["key_block"][0] == 2
