@@ -46,7 +46,7 @@ def pack(ids: np.ndarray, width: int = 8) -> list[dict]:
         if not on.any():
             return levels
         level["bits"] = np.packbits(on, bitorder="little")
-        ones = np.add.reduceat(on.astype(np.int64), np.arange(0, len(on), BLOCK))
+        ones = np.add.reduceat(on, np.arange(0, len(on), BLOCK), dtype=np.int64)
         level["rank"] = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype(np.uint32 if len(on) < 1 << 32 else np.uint64)
         rest = more[on]
 
@@ -126,76 +126,136 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_ids(tok, words: list[str], at_once: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each word, laid end to end, and their counts. Words are encoded many to a call with a mark between
-    them; words that hold the mark, or a case in which the mark isn't one id, are encoded one by one."""
-    mark = tok.encode(MARK, add_special_tokens=False).ids
-    apart = [i for i, w in enumerate(words) if MARK in w] if len(mark) == 1 else range(len(words))
-    own = {i: tok.encode(words[i], add_special_tokens=False).ids for i in apart}
-    rest = [w for i, w in enumerate(words) if i not in own]
-    flat: list[np.ndarray] = []
-    counts = np.zeros(len(rest), np.int64)
-    for first in range(0, len(rest), at_once):
-        some = rest[first : first + at_once]
-        ids = np.array(tok.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, np.uint32)
-        cut = np.flatnonzero(ids == mark[0])
-        if len(cut) != len(some) - 1:  # a word gave the mark's id itself
-            each = [np.array(tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in some]
-            counts[first : first + len(some)] = [len(x) for x in each]
-            flat += each
-            continue
-        counts[first : first + len(some)] = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
-        flat.append(np.delete(ids, cut))
-    pool = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    if not own:
-        return pool, counts
-    merged, whole, at, k = [], np.zeros(len(words), np.int64), 0, 0
-    for i in range(len(words)):
-        if i in own:
-            merged.append(np.array(own[i], np.uint32))
-        else:
-            merged.append(pool[at : at + counts[k]])
-            at, k = at + counts[k], k + 1
-        whole[i] = len(merged[-1])
-    return np.concatenate(merged), whole
-
-
-def cut_tails(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Different words share their cores: after an ASCII letter, closing points start a piece of their own for the tokenizer's
-    splitter (the normaliser may end any other letter in a combining mark, which joins the points), and case of ASCII cores is
-    dropped by its normaliser, but for a special token's text, which is looked for before. Returns the pieces' texts without
-    repeats and, for each word, the places of its core and its tail (place 0: no tail)."""
-    place: dict[str, int] = {"": 0}
-    at = np.zeros((len(words), 2), np.int64)
-    for i, w in enumerate(words):
-        core = w.rstrip(".,;:!?")
-        if core and len(core) < len(w) and core[-1].isascii() and core[-1].isalpha():
-            tail = w[len(core) :]
-        else:
-            core, tail = w, ""
-        if core.isascii() and "<|" not in core:
-            core = core.lower()
-        at[i, 0] = place.setdefault(core, len(place))
-        if tail:
-            at[i, 1] = place.setdefault(tail, len(place))
-    return list(place), at
-
-
-class Pieces:
-    """Ids of pieces of words, kept over a worker's batches up to a bound; the rest are encoded again when they come again."""
-
-    def __init__(self, tok, most: int = 250_000):
-        self.tok, self.most = tok, most
+#: Kinds of printable ASCII for the splitter: 1 letter, 2 digit, 3 any other sign; 0 for an apostrophe (it may begin a piece with letters
+#: after it), for control signs and for bytes beyond ASCII.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+_KIND[0x27] = 0
+
+
+def piece_counts(words: list[str]) -> np.ndarray:
+    """How many pieces the splitter cuts each word into: a run of letters is one, a digit is one, a run of other signs is one. 0 where a
+    word is empty, holds a byte of kind 0, or might hold an added token."""
+    raw = [w.encode() for w in words]
+    size = np.array([len(r) for r in raw], np.int64)
+    kind = _KIND[np.frombuffer(b"".join(raw), np.uint8)]
+    full = np.flatnonzero(size)
+    starts = (np.cumsum(size) - size)[full]
+    count = np.zeros(len(words), np.int64)
+    if len(full):
+        new = kind == 2
+        new[1:] |= kind[1:] != kind[:-1]
+        new[starts] = True
+        count[full] = np.where(np.minimum.reduceat(kind, starts) == 0, 0, np.add.reduceat(new, starts, dtype=np.int64))
+    count[[i for i, r in enumerate(raw) if b"<|" in r]] = 0
+    return count
+
+
+class Encoder:
+    """Ids of words (without white space), many to a call. Where pieces end in a suffix, a printable ASCII word's ids end at
+    its last piece's end, by the known number of its pieces. Other words stand between marks; where that isn't clear, each is encoded alone."""
+
+    def __init__(self, tok, suffix: str | None, at_once: int = 500):
+        self.tok, self.at_once = tok, at_once
+        mark = tok.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.closes = np.zeros(tok.get_vocab_size() if suffix else 0, bool)
+        if suffix:
+            self.closes[[i for t, i in tok.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def alone(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        each = [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return each, np.array([len(x) for x in each], np.int64)
+
+    def groups(self, words: list[str], by: str, cut) -> tuple[np.ndarray, np.ndarray]:
+        """Words joined by `by`; `cut(ids, first, last)` gives the ids and the counts of words first to last - 1, or None."""
+        flat, counts = [], []
+        bounds = [(a, min(a + self.at_once, len(words))) for a in range(0, len(words), self.at_once)]
+        got = self.tok.encode_batch_fast([by.join(words[a:b]) for a, b in bounds], add_special_tokens=False)
+        for (a, b), x in zip(bounds, got):
+            ids = np.array(x.ids, np.uint32)
+            ids, n = cut(ids, a, b) or self.alone(words[a:b])
+            flat += ids if isinstance(ids, list) else [ids]
+            counts.append(n)
+        return (np.concatenate(flat), np.concatenate(counts)) if counts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, laid end to end, and their counts."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        pieces = piece_counts(words) if len(self.closes) else np.zeros(len(words), np.int64)
+        plain = np.flatnonzero(pieces)
+        upto = np.concatenate([[0], np.cumsum(pieces[plain])])
+
+        def by_ends(ids: np.ndarray, a: int, b: int):
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != upto[b] - upto[a]:
+                return None
+            return ids, np.diff(np.concatenate([[0], ends[upto[a + 1 : b + 1] - upto[a] - 1]]))
+
+        def by_marks(ids: np.ndarray, a: int, b: int):
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) != b - a - 1:  # a word gave the mark's id itself
+                return None
+            return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+
+        odd = np.flatnonzero(pieces == 0)
+        marked = [i for i in odd.tolist() if MARK not in words[i]] if self.mark is not None else []
+        alone = np.setdiff1d(odd, marked)
+        apart, n_apart = self.alone([words[i] for i in alone.tolist()]) if len(alone) else ([], np.zeros(0, np.int64))
+        parts = [self.groups([words[i] for i in plain.tolist()], " ", by_ends), self.groups([words[i] for i in marked], f" {MARK} ", by_marks), (np.concatenate(apart) if apart else np.zeros(0, np.uint32), n_apart)]
+        pool = np.concatenate([p for p, _ in parts])
+        at, counts = np.concatenate([plain, np.array(marked, np.int64), alone]), np.zeros(len(words), np.int64)
+        n = np.concatenate([c for _, c in parts])
+        counts[at] = n
+        starts = np.zeros(len(words), np.int64)
+        starts[at] = np.cumsum(n) - n
+        return pool[files.gather(starts, counts)], counts
+
+
+#: Split patterns none of whose matches holds or looks at white space. Fixed values, as tokenizer files write them.
+WORD_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+#: Normalisers that work on each side of white space alone: it takes part in no canonical composition or reordering, and case is mapped
+#: code point by code point.
+LOCAL = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+
+
+@lru_cache(maxsize=2)
+def words_apart(path: str) -> bool:
+    """Whether a text's ids are those of its words, laid end to end: the file's normalisers are local, its first splitter keeps only
+    matches that hold no white space, its model is plain BPE, and no added token touches white space. Any other file's texts are
+    encoded whole."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    split = (steps(spec["pre_tokenizer"], "pretokenizers") or [{}])[0]
+    return (
+        all(n in LOCAL for n in steps(spec["normalizer"], "normalizers"))
+        and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and split["pattern"].get("Regex") in WORD_PATTERNS
+        and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+        and not spec["truncation"] and not spec["padding"] and spec["post_processor"] is None
+        and all(t["content"] and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    )
+
+
+class Words:
+    """Ids of words, kept over a worker's batches up to a bound; the rest are encoded again when they come again."""
+
+    def __init__(self, tok, apart: bool, most: int = 400_000):
+        self.tok, self.apart, self.most = tok, apart, most
+        self.encode = Encoder(tok, getattr(tok.model, "end_of_word_suffix", None)) if apart else None
         self.place: dict[str, int] = {}
         self.pool, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A pool of ids, and each piece's start and count in it."""
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and each word's start and count in it."""
         get = self.place.get
-        at = np.array([get(p, -1) for p in pieces], np.int64)
+        at = np.array([get(w, -1) for w in words], np.int64)
         missing = np.flatnonzero(at < 0)
-        new = [pieces[i] for i in missing.tolist()]
-        pool, counts = word_ids(self.tok, new)
+        new = [words[i] for i in missing.tolist()]
+        pool, counts = self.encode(new)
         at[missing] = len(self.starts) + np.arange(len(new))
         starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
         pool, counts = np.concatenate([self.pool, pool]), np.concatenate([self.counts, counts])
@@ -210,27 +270,30 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def worker_pieces(path: str) -> Pieces:
-    return Pieces(tokenizer(path))
+def worker_words(path: str) -> Words:
+    return Words(tokenizer(path), words_apart(path))
 
 
-def encode_texts(known: Pieces, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of whole texts, laid end to end, and each text's count. The tokenizer drops white space and never
-    joins across it, so a text's ids are those of its words; each different word of the batch is encoded once."""
+def encode_whole(tok, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts, laid end to end, and each text's count."""
+    end = [] if end_id is None else [end_id]
+    each = [np.array([*x.ids, *end], np.uint32) for x in tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+    return np.concatenate(each) if each else np.zeros(0, np.uint32), np.array([len(x) for x in each], np.int64)
+
+
+def encode_texts(known: Words, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same ids as `encode_whole`; where words are encoded apart by the file's own rules, each different word once."""
+    if not known.apart:
+        return encode_whole(known.tok, texts, end_id)
     words = pc.ascii_split_whitespace(texts)
-    flat = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py())
-    coded = flat.dictionary_encode()
-    pieces, at = cut_tails(coded.dictionary.to_pylist())
-    pool, first, counts = known.ids(pieces)
-    pool = pool[files.gather(first[at].ravel(), counts[at].ravel())]
-    counts = counts[at].sum(axis=1)
-    pool = np.append(pool, np.uint32(end_id or 0))
+    first, last = words.offsets[0].as_py(), words.offsets[-1].as_py()
+    coded = words.values.slice(first, last - first).dictionary_encode()
+    pool, starts, counts = known.ids(coded.dictionary.to_pylist())
     index = np.asarray(coded.indices, dtype=np.int64)
-    bounds = np.asarray(words.offsets, dtype=np.int64)
-    bounds = bounds - bounds[0]
-    first = np.cumsum(counts) - counts
-    starts, lengths = first[index], counts[index]
+    starts, lengths = starts[index], counts[index]
+    bounds = np.asarray(words.offsets, dtype=np.int64) - first
     if end_id is not None:  # an end after each text
+        pool = np.append(pool, np.uint32(end_id))
         starts = np.insert(starts, bounds[1:], len(pool) - 1)
         lengths = np.insert(lengths, bounds[1:], 1)
         bounds = bounds + np.arange(len(bounds))
@@ -245,7 +308,7 @@ def encoder(path: str, end_id: int | None, cuts: list[int], chunk_bytes: int):
     cut = np.array(cuts, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known = tokenizer(path), worker_pieces(path)
+        tok, known = tokenizer(path), worker_words(path)
         small = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
         for batch in batches:
             text = files.plain(batch.column(1), pa.string())
@@ -257,7 +320,7 @@ def encoder(path: str, end_id: int | None, cuts: list[int], chunk_bytes: int):
                 raw, size = ids.astype(small).tobytes(), np.dtype(small).itemsize
                 yield pa.RecordBatch.from_arrays([pa.array(shard), doc.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([raw[s * size : e * size] for s, e in zip(ends[:-1], ends[1:])], pa.binary())], schema=ENCODED)
 
-    return run, None
+    return run
 
 
 MANIFEST = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -293,7 +356,7 @@ def writer(folder: str, width: int, item: int, file_tokens: int):
     return run
 
 
-def write_codes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, width: int = 8, docs_per_shard: int = 4096, file_tokens: int = 1 << 24, chunk_bytes: int = 16 << 20) -> tuple[str, DataFrame]:
+def write_codes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, width: int = 8, docs_per_shard: int = 4096, file_tokens: int = 1 << 21, chunk_bytes: int = 6 << 20) -> tuple[str, DataFrame]:
     """Write the ids of all texts in ascending id order; returns the folder and its manifest (shard, part, name, n_docs, n_tokens).
 
     The id range is cut at quantiles (read from the id column alone, `docs_per_shard` rows a shard), so the one
@@ -303,7 +366,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     n = rows.count()
     shards = max(1, -(-n // docs_per_shard))
     cuts = sorted(set(map(int, rows.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards)))) if shards > 1 else []
-    run, _ = encoder(tokenizer_path, end_id, cuts, chunk_bytes)
+    run = encoder(tokenizer_path, end_id, cuts, chunk_bytes)
     coded = rows.mapInArrow(run, "shard int, doc_id long, n_tokens long, ids binary")
     folder = shared_path(spark, "token-codes")
     item = 2 if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
