@@ -2,8 +2,8 @@
 
 A set links with another when 100 * |intersection| >= 75 * |union|. The plan:
 
-1. One pass over the texts. Each block (an Arrow batch's rows) turns its texts to sorted 48-bit shingle keys, keeps one of
-   each group of equal sets, and sends keys to buckets by their leading bits, byte-packed.
+1. One pass over the texts. Each block (an Arrow batch's rows) turns its texts to sorted 64-bit shingle keys, keeps one of
+   each group of equal sets, and sends keys, with their sets' places beside them, to buckets by their leading bits, byte-packed.
 2. A bucket counts each key. Keys of one set alone can't make a pair; for the others it answers every block with
    (key, frequency, leader), the leader being the smallest set that holds the key.
 3. A block orders each set's keys by (frequency, key). Linked sets share a key among the first n - ceil(0.75 n) + 1, and
@@ -43,10 +43,8 @@ from loomdex.llm.shingles import mixed, shingle_keys
 from loomdex.runtime import materialise, on_workers
 
 COLD, HOT, DOCS, LISTS = 0, 1, 2, 3
-LOW = np.uint64(0xFFFF)
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("dk", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("leaders", pa.list_(pa.int64())), ("keys", pa.binary())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -74,6 +72,11 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def bucket_of(keys, bits: int):
+    """The leading bits."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal values."""
     starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -82,17 +85,21 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- 1: texts to keys
 def send_keys(bits: int, hot: int, block_bytes: int, slice_bytes: int):
-    def block_rows(doc: pa.Array, text: pa.Array, block: int) -> list[tuple]:
+    def block_rows(batch: pa.RecordBatch, text: pa.Array, block: int) -> list[tuple]:
         rows = len(text)
-        parts = []
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint16))]
         for a, b in files.slices(np.diff(files.buffers(text)[1]), slice_bytes):
             keys, owner = shingle_keys(*files.buffers(text.slice(a, b - a)))
-            parts.append((keys & ~LOW) | (owner + a).astype(np.uint64))
-        keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-        owner = (keys & LOW).astype(np.uint16)
+            order = np.argsort(keys, kind="stable")  # owners rise already: by key, then owner
+            keys, owner = keys[order], (owner[order] + a).astype(np.uint16)
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            parts.append((keys[new], owner[new]))
+        keys, owner = map(np.concatenate, zip(*parts))
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
         n = np.bincount(owner, minlength=rows)
-        by_doc = (keys >> np.uint64(16))[np.argsort(owner, kind="stable")]
+        by_doc = keys[np.argsort(owner, kind="stable")]
         full = np.flatnonzero(n)
         at = (np.cumsum(n) - n)[full]
         sigs = np.zeros((2, rows), np.uint64)
@@ -104,33 +111,29 @@ def send_keys(bits: int, hot: int, block_bytes: int, slice_bytes: int):
         new[1:] = (np.diff(n[order]) != 0) | (np.diff(sigs[0][order]) != 0) | (np.diff(sigs[1][order]) != 0)
         first = np.zeros(rows, bool)
         first[order[new]] = True
-        keys = keys[first[owner]]
-        token = keys >> np.uint64(16)
-        starts, lengths = runs(token)
+        kept = first[owner]
+        keys, owner = keys[kept], owner[kept]
+        starts, lengths = runs(keys)
         many = lengths >= hot
         whole = np.repeat(many, lengths)
-        cold = keys[~whole]
-        out = [(block % (1 << bits), block, DOCS, packed(np.asarray(doc.fill_null(0)), np.asarray(doc.is_valid()).astype(np.uint8), n.astype(np.uint32), sigs[0].view(np.int64), sigs[1].view(np.int64), first.astype(np.uint8)))]
+        passed = [x for c in batch.columns[:-1] for x in (np.asarray(c.fill_null(0)), np.asarray(c.is_valid()).astype(np.uint8))]
+        home = bucket_of(np.uint64(mixed(np.array([block], np.uint64))[0]), bits)
+        out = [(int(home), block, DOCS, packed(n.astype(np.uint32), sigs[0].view(np.int64), sigs[1].view(np.int64), *passed))]
         if many.any():
-            out.append((block % (1 << bits), block, LISTS, packed(keys[whole])))
-        edges = np.arange((1 << bits) + 1, dtype=object) << (64 - bits)
-        bounds = lambda x: np.append(np.searchsorted(x, edges[:-1].astype(np.uint64)), len(x))
-        at = bounds(cold)
-        out += [(b, block, COLD, packed(cold[at[b] : at[b + 1]])) for b in np.flatnonzero(np.diff(at)).tolist()]
-        heads, counts = keys[starts[many]], lengths[many].astype(np.uint32)
-        at = bounds(heads)
-        out += [(b, block, HOT, packed(heads[at[b] : at[b + 1]], counts[at[b] : at[b + 1]])) for b in np.flatnonzero(np.diff(at)).tolist()]
+            out.append((int(home), block, LISTS, packed(keys[whole], owner[whole])))
+        for kind, columns in ((COLD, (keys[~whole], owner[~whole])), (HOT, (keys[starts[many]], owner[starts[many]], lengths[many].astype(np.uint32)))):
+            at, size = runs(bucket_of(columns[0], bits))
+            out += [(int(bucket_of(columns[0][s], bits)), block, kind, packed(*(c[s : s + k] for c in columns))) for s, k in zip(at.tolist(), size.tolist())]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 20
         for batch in batches:
-            text = files.plain(batch.column(1))
-            doc = batch.column(0)
+            text = files.plain(batch.column(batch.num_columns - 1))
             for a, b in files.slices(np.diff(files.buffers(text)[1]), block_bytes):
                 for c in range(a, b, 1 << 16):
                     size = min(1 << 16, b - c)
-                    rows = block_rows(doc.slice(c, size), text.slice(c, size), block)
+                    rows = block_rows(batch.slice(c, size), text.slice(c, size), block)
                     block += 1
                     for r in range(0, len(rows), 512):
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[r : r + 512]), SENT)], schema=SENT)
@@ -146,9 +149,9 @@ def answer_bucket(table: pa.Table) -> pa.Table:
         if kind in (DOCS, LISTS):
             out.append((block, kind, payload))
             continue
-        keys, *rest = unpacked(payload)
-        tokens.append(keys >> np.uint64(16))
-        sets.append((keys & LOW).astype(np.int64) + (block << 16))
+        keys, owner, *rest = unpacked(payload)
+        tokens.append(keys)
+        sets.append(owner.astype(np.int64) + (block << 16))
         weights.append(rest[0].astype(np.int64) if rest else np.ones(len(keys), np.int64))
     if tokens:
         token, dk, weight = map(np.concatenate, (tokens, sets, weights))
@@ -166,49 +169,52 @@ def answer_bucket(table: pa.Table) -> pa.Table:
         starts, lengths = runs(dk >> 16)
         for s, k in zip(starts.tolist(), lengths.tolist()):
             some = slice(s, s + k)
-            out.append((int(dk[s] >> 16), COLD, packed((token[some] << np.uint64(16)) | (dk[some] & 0xFFFF).astype(np.uint64), np.minimum(count[some], (1 << 32) - 1).astype(np.uint32), leader[some])))
+            out.append((int(dk[s] >> 16), COLD, packed(token[some], (dk[some] & 0xFFFF).astype(np.uint16), np.minimum(count[some], (1 << 32) - 1).astype(np.uint32), leader[some])))
     return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ANSWER)], schema=ANSWER)
 
 
 # ---------------------------------------------------------------- 3: a block's prefixes
-def settle_block(table: pa.Table) -> pa.Table:
-    docs, lists, parts = None, np.zeros(0, np.uint64), []
-    block = table.column("block")[0].as_py()
-    for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
-        if kind == DOCS:
-            docs = unpacked(payload)
-        elif kind == LISTS:
-            lists = unpacked(payload)[0]
-        else:
-            parts.append(unpacked(payload))
-    ids, known, n, sig_a, sig_b, _ = docs
-    n = n.astype(np.int64)
-    rows = len(n)
-    keys, count, leader = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    token = keys >> np.uint64(16)
-    if len(lists):  # a key that stands for a whole list of this block's sets
-        heads = lists >> np.uint64(16)
-        a, b = np.searchsorted(heads, token), np.searchsorted(heads, token, side="right")
-        one = a == b
-        spread = np.repeat(np.flatnonzero(~one), (b - a)[~one])
-        keys = np.concatenate([keys[one], lists[files.gather(a[~one], (b - a)[~one])]])
-        count, leader = (np.concatenate([x[one], x[spread]]) for x in (count, leader))
-        token = keys >> np.uint64(16)
-    owner = (keys & LOW).astype(np.int64)
-    order = np.lexsort((token, count, owner))
-    token, count, leader, owner = token[order], count[order], leader[order], owner[order]
-    shared = np.bincount(owner, minlength=rows)
-    prefix = n - (3 * n + 3) // 4 + 1
-    need = np.where(n > 0, prefix - (n - shared), 0)
-    starts = np.cumsum(shared) - shared
-    inside = np.arange(len(owner)) - starts[owner] < need[owner]
-    pairs = np.unique(np.stack([owner[inside], leader[inside]]), axis=1) if inside.any() else np.zeros((2, 0), np.int64)
-    has = np.bincount(pairs[0], minlength=rows)
-    at = np.cumsum(has) - has
-    leaders = [pairs[1, a : a + k].tolist() if k else None for a, k in zip(at.tolist(), has.tolist())]
-    sent = [np.sort(token[s : s + k]).tobytes() if h else None for s, k, h in zip(starts.tolist(), shared.tolist(), has.tolist())]
-    got = [pa.array(ids, mask=known == 0), pa.array(n), pa.array(np.arange(rows) + (block << 16)), pa.array(sig_a), pa.array(sig_b), pa.array(leaders, pa.list_(pa.int64())), pa.array(sent, pa.binary())]
-    return pa.Table.from_arrays(got, schema=SETS)
+def settle_block(carried: int):
+    def run(table: pa.Table) -> pa.Table:
+        docs, parts = None, []
+        lists, owners = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        block = table.column("block")[0].as_py()
+        for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
+            if kind == DOCS:
+                docs = unpacked(payload)
+            elif kind == LISTS:
+                lists, owners = unpacked(payload)
+            else:
+                parts.append(unpacked(payload))
+        n, sig_a, sig_b, *passed = docs
+        n = n.astype(np.int64)
+        rows = len(n)
+        token, owner, count, leader = (np.concatenate([p[i] for p in parts]) for i in range(4)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if len(lists):  # a key that stands for a whole list of this block's sets
+            a, b = np.searchsorted(lists, token), np.searchsorted(lists, token, side="right")
+            one = a == b
+            spread = np.repeat(np.flatnonzero(~one), (b - a)[~one])
+            at = files.gather(a[~one], (b - a)[~one])
+            token, owner = np.concatenate([token[one], lists[at]]), np.concatenate([owner[one], owners[at]])
+            count, leader = (np.concatenate([x[one], x[spread]]) for x in (count, leader))
+        owner = owner.astype(np.int64)
+        order = np.lexsort((token, count, owner))
+        token, count, leader, owner = token[order], count[order], leader[order], owner[order]
+        shared = np.bincount(owner, minlength=rows)
+        prefix = n - (3 * n + 3) // 4 + 1
+        need = np.where(n > 0, prefix - (n - shared), 0)
+        starts = np.cumsum(shared) - shared
+        inside = np.arange(len(owner)) - starts[owner] < need[owner]
+        pairs = np.unique(np.stack([owner[inside], leader[inside]]), axis=1) if inside.any() else np.zeros((2, 0), np.int64)
+        has = np.bincount(pairs[0], minlength=rows)
+        at = np.cumsum(has) - has
+        leaders = [pairs[1, a : a + k].tolist() if k else None for a, k in zip(at.tolist(), has.tolist())]
+        sent = [np.sort(token[s : s + k]).tobytes() if h else None for s, k, h in zip(starts.tolist(), shared.tolist(), has.tolist())]
+        got = [pa.array(n), pa.array(np.arange(rows) + (block << 16)), pa.array(sig_a), pa.array(sig_b), pa.array(leaders, pa.list_(pa.int64())), pa.array(sent, pa.binary())]
+        got += [pa.array(passed[2 * i], pa.int64(), mask=passed[2 * i + 1] == 0) for i in range(carried)]
+        return pa.Table.from_arrays(got, names=["n", "dk", "sig_a", "sig_b", "leaders", "keys", *(f"p{i}" for i in range(carried))])
+
+    return run
 
 
 # ---------------------------------------------------------------- 5: inside a unit
@@ -326,17 +332,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 1500, unit_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row; see the module. Bounds are of memory alone: no pair is lost to them."""
-    spark = on_workers(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bits = min(20, max(4, (-(-rows.count() // rows_per_bucket) - 1).bit_length()))
-    sent = rows.mapInArrow(send_keys(bits, hot, block_bytes, slice_bytes), "bucket int, block long, kind int, payload binary")
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row; see the module."""
+    rows = docs.select(F.col(files.quoted(id_col)).cast("long").alias("doc_id"), F.col(files.quoted(text_col)).cast("string").alias("text"))
+    return set_classes(rows, ["doc_id"], **bounds).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 1500, unit_bytes: int = 24 << 20) -> DataFrame:
+    """The `passed` columns (whole numbers), n (set size), class (a number of the row's class of links, null without a set) and
+    least (the class's smallest value of the first passed column), for every row. Bounds are of memory alone: no pair is lost to them."""
+    spark = on_workers(rows.sparkSession)
+    rows = rows.select(*(F.col(c).cast("long").alias(f"p{i}") for i, c in enumerate(passed)), F.col(text_col).alias("text"))
+    carried = [f"p{i}" for i in range(len(passed))]
+    bits = max(4, (-(-rows.count() // rows_per_bucket) - 1).bit_length())
+    sent = rows.mapInArrow(send_keys(bits, hot, block_bytes, slice_bytes), "bucket long, block long, kind int, payload binary")
     answered = sent.groupBy("bucket").applyInArrow(answer_bucket, "block long, kind int, payload binary")
-    sets = materialise(answered.groupBy("block").applyInArrow(settle_block, "doc_id long, n long, dk long, sig_a long, sig_b long, leaders array<long>, keys binary"), "sets")
+    kinds = "n long, dk long, sig_a long, sig_b long, leaders array<long>, keys binary, " + ", ".join(f"{c} long" for c in carried)
+    sets = materialise(answered.groupBy("block").applyInArrow(settle_block(len(passed)), kinds), "sets")
 
     full = sets.filter("n > 0")
-    classes = full.groupBy("sig_a", "sig_b", "n").agg(F.min(F.when(F.col("leaders").isNotNull(), F.col("dk"))).alias("dk"), F.min("doc_id").alias("least_id"), F.min("dk").alias("any_dk"))
+    classes = full.groupBy("sig_a", "sig_b", "n").agg(F.min(F.when(F.col("leaders").isNotNull(), F.col("dk"))).alias("dk"), F.min("p0").alias("least_id"), F.min("dk").alias("any_dk"))
     classes = materialise(classes.select("sig_a", "sig_b", "n", F.coalesce("dk", "any_dk").alias("dk"), "least_id"), "classes")
     found = sets.filter("leaders is not null").select("dk", "leaders", F.octet_length("keys").alias("w")).join(classes.select("dk"), "dk", "left_semi")
     member = found.select("dk", "w", F.explode("leaders").alias("leader"))
@@ -350,12 +365,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(edges)
 
     placed = classes.join(roots.select(F.col("u").alias("dk"), F.col("v").alias("root")), "dk", "left").select("sig_a", "sig_b", "n", "least_id", F.coalesce("root", "dk").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_set = placed.join(least, "root").select("sig_a", "sig_b", "n", "component_id")
-    keyed = sets.select("doc_id", "n", "sig_a", "sig_b")
-    some = keyed.filter("n > 0").join(by_set, ["sig_a", "sig_b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = keyed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    least = placed.groupBy("root").agg(F.min("least_id").alias("least"))
+    by_set = placed.join(least, "root").select("sig_a", "sig_b", "n", F.col("root").alias("class"), "least")
+    keyed = sets.select(*carried, "n", "sig_a", "sig_b")
+    some = keyed.filter("n > 0").join(by_set, ["sig_a", "sig_b", "n"], "left").select(*carried, "n", "class", "least")
+    none = keyed.filter("n = 0").select(*carried, "n", F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("least"))
+    return some.unionByName(none).select(*(F.col(p).alias(c) for p, c in zip(carried, passed)), "n", "class", "least")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
