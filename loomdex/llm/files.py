@@ -31,6 +31,19 @@ def get(uri: str, name: str) -> bytes:
         return f.read()
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it in either case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def plain(column: pa.Array | pa.ChunkedArray, kind: pa.DataType = pa.binary()) -> pa.Array:
     """One chunk of the given kind with 64-bit offsets folded away; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,12 +12,14 @@ Scores: "model" are the file's own (right for a unigram file). A merge-ranked fi
 log-probabilities; "zipf", the default, takes rank r to -log(r + 2.7) less the log of their sum (the rank-frequency law).
 
 Cases. Null text counts as empty; empty text has no ids. A text's own U+2581 signs go by their bytes, so decoding gives each
-text back exactly. Repeated rows give equal rows. Very long texts and words are read whole. An empty table gives an empty
-result. Other columns are not read.
+text back exactly. Repeated rows give equal rows. Very long texts are read whole; strings of over 1000 characters without a cut
+are walked one by one, in time in proportion to their length. An empty table gives an empty result. Kept columns are passed on by
+place, whatever their names; others are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,14 +29,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from loomdex.llm import files
 from loomdex.runtime import on_workers
 
-SPACE, OWN = "▁", "\U0010fffd"  # a text's own sign stands in as a character that no piece holds
+SPACE, OWN = "▁", "\ud800"  # a text's own sign goes as a lone surrogate inside the encoder: no text, being UTF-8, can hold one
 PENALTY = 10.0
 
 
+def marked(text: str) -> str:
+    """Spaces as the pieces write them."""
+    return text.replace(SPACE, OWN).replace(" ", SPACE)
+
+
+def spelt(point: int) -> bytes:
+    """A character's UTF-8, for the fallback."""
+    return (chr(point) if point != ord(OWN) else SPACE).encode("utf-8", "surrogatepass")
+
+
 class Automaton:
     """Pieces as a trie with failure and output links, in flat arrays."""
 
@@ -75,6 +88,7 @@ class Automaton:
         self.byte_ids = np.array(byte_ids, np.int32)
         self.fallback = min(scores, default=0.0) - PENALTY
         self.first = np.where(self.at_end, np.arange(n), self.link)  # the first state of the output chain
+        self._steps = None
         top = max((ord(c) for c in chars), default=0)
         self.lookup = np.zeros(top + 2, np.int32)
         for c, i in self.code.items():
@@ -94,11 +108,13 @@ class Automaton:
             todo, state = todo[on], self.fail[state[on]].astype(np.int64)
         return out
 
-    def encode(self, strings: list[str], at_once: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each string, laid end to end, and their counts."""
-        pools, counts = [], []
+    def encode(self, strings: list[str], at_once: int = 40_000, long: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each string, laid end to end, and their counts. Strings of more than `long` characters go one by one."""
         order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
-        for a in range(0, len(order), at_once):
+        n_long = next((k for k, i in enumerate(order) if len(strings[i]) <= long), len(order))
+        pools = [self.walk(strings[i]) for i in order[:n_long]]
+        counts = [np.array([len(p) for p in pools], np.int64)]
+        for a in range(n_long, len(order), at_once):
             got, n = self._advance([strings[i] for i in order[a : a + at_once]])
             pools.append(got)
             counts.append(n)
@@ -110,6 +126,59 @@ class Automaton:
         starts = np.cumsum(n) - n
         return pool[files.gather(starts[back], n[back])], n[back]
 
+    def steps(self) -> tuple[dict, list, list, list, list]:
+        """The automaton for one string at a time: edges by state and code (moves found by failure links are added, up to a bound),
+        failure links, output chains, lengths and scores as plain lists."""
+        if self._steps is None:
+            chains = [[] for _ in self.first]
+            for s in np.argsort(self.length, kind="stable").tolist():
+                link = int(self.link[s])
+                chains[s] = ([s] if self.at_end[s] else []) + (chains[link] if link else [])
+            self._steps = (dict(zip(self.keys.tolist(), self.next.tolist())), self.fail.tolist(), chains, self.length.tolist(), self.score.tolist())
+        return self._steps
+
+    def walk(self, string: str) -> np.ndarray:
+        """Ids of one string: the same path as `_advance`, in time in proportion to its length."""
+        edges, fail, chains, length, score = self.steps()
+        text = np.frombuffer(string.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = self.lookup[np.minimum(text, len(self.lookup) - 1)].tolist()
+        width, fallback, room = self.width, self.fallback, 4 * len(self.keys)
+        best, by, state = [0.0] * (len(code) + 1), [0] * (len(code) + 1), 0
+        for at, c in enumerate(code, 1):
+            if c:
+                to = edges.get(state * width + c)
+                if to is None:
+                    s = state
+                    while to is None and s:
+                        s = fail[s]
+                        to = edges.get(s * width + c)
+                    to = to or 0
+                    if len(edges) < room:
+                        edges[state * width + c] = to
+                state = to
+            else:
+                state = 0
+            top, how, single = -math.inf, 0, False
+            for s in chains[state]:
+                n = length[s]
+                value = best[at - n] + score[s]
+                if value > top:
+                    top, how = value, s
+                single = single or n == 1
+            if not single and best[at - 1] + fallback > top:
+                top, how = best[at - 1] + fallback, 0
+            best[at], by[at] = top, how
+        out, at = [], len(code)
+        while at:
+            s = by[at]
+            if s:
+                out.append((int(self.id[s]),))
+                at -= length[s]
+            else:
+                at -= 1
+                out.append(tuple(self.byte_ids[b] for b in spelt(int(text[at]))))
+        return np.array([i for ids in reversed(out) for i in ids], np.int32)
+
     def _advance(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Strings come longest first, so those still open are a prefix."""
         size = np.array([len(s) for s in strings], np.int64)
@@ -163,7 +232,7 @@ class Automaton:
         raw = char >= 0
         points = text[char[raw]]
         sizes = np.ones(len(where), np.int64)
-        utf = [bytes(chr(p) if p != ord(OWN) else SPACE, "utf-8", "surrogatepass") for p in points.tolist()]
+        utf = [spelt(p) for p in points.tolist()]
         sizes[raw] = [len(u) for u in utf]
         ids = np.empty(int(sizes.sum()), np.int32)
         place = np.cumsum(sizes) - sizes
@@ -206,8 +275,6 @@ class Codec:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts (no nulls), laid end to end, and their counts."""
-        if pc.any(pc.match_substring(texts, SPACE)).as_py():
-            texts = pc.replace_substring(texts, SPACE, OWN)
         if pc.any(pc.match_substring(texts, "\x00")).as_py():
             return self._apart(texts)
         spaced = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, ""))
@@ -216,7 +283,7 @@ class Codec:
         parts = pc.split_pattern(cut, "\x00")
         first, last = parts.offsets[0].as_py(), parts.offsets[-1].as_py()
         coded = parts.values.slice(first, last - first).dictionary_encode()
-        pool, counts = self.automaton.encode([s.replace(" ", SPACE) for s in coded.dictionary.to_pylist()])
+        pool, counts = self.automaton.encode([marked(s) for s in coded.dictionary.to_pylist()])
         starts = np.cumsum(counts) - counts
         index = np.asarray(coded.indices, np.int64)
         bounds = np.asarray(parts.offsets, np.int64) - first
@@ -225,7 +292,7 @@ class Codec:
 
     def _apart(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Texts that hold the cut's own sign: each as one string."""
-        return self.automaton.encode([(SPACE + s.replace(" ", SPACE)) if s else "" for s in texts.to_pylist()])
+        return self.automaton.encode([marked(" " + s) if s else "" for s in texts.to_pylist()])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of each text; the leading space that encoding adds goes."""
@@ -241,7 +308,7 @@ def codec(path: str, scores: str = "zipf") -> Codec:
     return Codec(path, scores)
 
 
-def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool):
+def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool, names: list[str]):
     """(row columns..., text last) to the row columns, n_tokens, a checksum, whether decoding gives the text back, and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +328,6 @@ def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool):
                 out = [c.slice(a, b - a) for c in others] + [pa.array(counts, pa.int64()), pa.array([zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(at[:-1], at[1:])], pa.int64()), pa.array(same)]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
-                names = [*batch.schema.names[:-1], "n_tokens", "ids_crc32", "lossless", *(["ids"] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
@@ -270,9 +336,11 @@ def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool):
 def encode_docs(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", scores: str = "zipf", with_ids: bool = True, chunk_bytes: int = 4 << 20) -> DataFrame:
     """`keep` columns, n_tokens, ids_crc32, lossless (decoding gave the text back), and ids; a map without a shuffle."""
     on_workers(docs.sparkSession)
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(encode_rows(path, scores, chunk_bytes, with_ids), f"{kinds}, n_tokens long, ids_crc32 long, lossless boolean" + (", ids array<int>" if with_ids else ""))
+    held = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(files.quoted(c)).alias(n) for c, n in zip(keep, held)), F.col(files.quoted(text_col)).cast("string").alias("t"))
+    got = [K.StructField("n", K.LongType()), K.StructField("crc", K.LongType()), K.StructField("same", K.BooleanType()), *([K.StructField("ids", K.ArrayType(K.IntegerType()))] if with_ids else [])]
+    schema = K.StructType([*(K.StructField(n, rows.schema[n].dataType) for n in held), *got])
+    return rows.mapInArrow(encode_rows(path, scores, chunk_bytes, with_ids, schema.names), schema).toDF(*keep, "n_tokens", "ids_crc32", "lossless", *(["ids"] if with_ids else []))
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def score_of(codec, ids):
 def test_best_score_and_round_trip(odd):
     codec = C.codec(PATH)
     rng = random.Random(2)
-    texts = [t or "" for t in odd if not t or len(t) < 4000] + ["".join(rng.choice(["the", " ", "  ", "er", "x", "é", "\n", "日", "ing", "▁", "A", "9", "\t"]) for _ in range(30)) for _ in range(60)]
+    texts = [t or "" for t in odd if not t or len(t) < 4000] + ["".join(rng.choice(["the", " ", "  ", "er", "x", "é", "\n", "日", "ing", "▁", "A", "9", "\t", "\U0010fffd"]) for _ in range(30)) for _ in range(60)]
     ids, counts = codec.encode(pa.array(texts))
     at = np.concatenate([[0], np.cumsum(counts)])
     assert codec.decode(ids, counts) == [t.encode() for t in texts]
@@ -55,6 +55,15 @@ def test_best_score_and_round_trip(odd):
         assert abs(score_of(codec, ids[a:b]) - plain_best(codec, t)) < 1e-6
 
 
+def test_long_strings_walk_the_same_path():
+    a, rng = C.codec(PATH).automaton, random.Random(6)
+    strings = ["".join(rng.choice(["the", "er", "x", "é", "日", "ing", C.SPACE, C.OWN, "A", "\U0010fffd", "9"]) for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    (one, n), (other, m) = a.encode(strings, long=0), a.encode(strings, long=10**6)
+    assert n.tolist() == m.tolist() and one.tolist() == other.tolist()
+    ids, counts = C.codec(PATH).encode(pa.array(["z" * 300_000, "日\U0010fffd▁" * 20_000, " "]))
+    assert C.codec(PATH).decode(ids, counts) == [("z" * 300_000).encode(), ("日\U0010fffd▁" * 20_000).encode(), b" "]
+
+
 def test_equals_library_on_a_unigram_model(tmp_path):
     """The same file with its type set to unigram: the library's own search gives these pieces, or a path that scores less."""
     spm = pytest.importorskip("sentencepiece")
