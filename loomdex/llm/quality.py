@@ -3,33 +3,38 @@
 Each feature bucket (of words, word ends, word shapes and repeats, all hashed) has a sparse random index vector. A bucket's
 context vector is the sum of the index vectors around it, over the training texts, scaled by log frequency: random
 indexing. A document is the mean of its features' context and index vectors, besides a few rates of form. A two-layer
-network scores it, and a temperature, fitted on training rows that the network didn't see, calibrates its odds.
-
-Fitting is on the driver over at most `fit_rows` labelled rows of the training part (the smallest of a hash of doc_id; texts over
-`fit_chars` characters are left out of the fit alone): a fixed bound, and the tables that are broadcast have a fixed
-size (`BUCKETS` x `DIMS` floats). Scoring is one map over whole texts, without a shuffle. Labels, lang, source and doc_id are
-never inputs of a score.
-
-Cases. Null and empty texts and texts without words have the features of an empty document and get its score. Repeated
-rows get equal scores. Very long texts are read whole, in slices of bounded memory. Without labels of both kinds
-every score is the share of label 1 among the training labels, or 0.5 without any. An empty table gives an empty
-result. Columns that are not named are passed by.
+network scores it; a temperature, fitted on training rows that the network didn't see, calibrates its odds, and the shares of
+the labels among all training rows correct them for the equal numbers it is fitted on.
+
+Fitting takes at most `fit_rows` labelled rows of the training part (the smallest of a hash of doc_id) with their whole texts,
+of any length. Executors read them: each task sends a table of context sums of fixed size (whole numbers, so their order does
+not matter), then each text's pooled vector; the driver holds `FIT_TASKS` tables and `fit_rows` vectors, whatever the texts. The
+tables that are broadcast have a fixed size (`BUCKETS` x `DIMS` floats). Scoring is one map over whole texts, without a shuffle.
+Labels, lang, source and doc_id are never inputs of a score.
+
+Cases. Null and empty texts and texts without words have the features of an empty document and get its score. Equal
+texts get equal scores, bit for bit, wherever they stand: sums run over a text's own words from its start, and each row's
+arithmetic is apart. Very long texts are read whole, in slices of bounded memory. Without labels of both kinds
+every score is the share of label 1 among the training labels, or 0.5 without any. A label repeated for a doc_id counts once (the
+smallest), a null one never; of rows that share a labelled doc_id the smallest text is fitted. An empty table gives an empty
+result. Columns that are kept may have any name: they are passed on by place.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from loomdex.llm import files
 from loomdex.llm.shingles import _SPACE, mixed, word_keys
-from loomdex.runtime import on_workers
+from loomdex.runtime import materialise, on_workers
 
+FIT_TASKS = 8
 BUCKETS, DIMS, NONZERO, RATES = 1 << 14, 48, 6, 10
 _KIND = np.zeros(256, np.uint8)  # of bytes: 1 small letter, 2 capital, 3 digit, 4 sign, 5 beyond ASCII
 _KIND[33:127] = 4
@@ -90,7 +95,7 @@ def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def add_contexts(total: np.ndarray, buckets: np.ndarray, counts: np.ndarray, index: np.ndarray, reach: int = 2) -> None:
     """Adds, to each bucket's row, the index vectors of the words around it."""
     text = np.repeat(np.arange(len(counts)), counts)
-    words = index[buckets[:, 0]]
+    words = index[buckets[:, 0]].astype(np.int32)
     for step in range(1, reach + 1):
         inside = text[step:] == text[:-step]
         for a, b in ((buckets[step:][inside], words[:-step][inside]), (buckets[:-step][inside], words[step:][inside])):
@@ -102,20 +107,33 @@ def add_contexts(total: np.ndarray, buckets: np.ndarray, counts: np.ndarray, ind
                     total[keys[starts]] += np.add.reduceat(b[order], starts, axis=0)
 
 
-def pooled(buckets: np.ndarray, counts: np.ndarray, rates: np.ndarray, table: np.ndarray, at_once: int = 20_000) -> np.ndarray:
-    """Mean vector of each text's features, for each of the three families, with the rates of form."""
+def pooled(buckets: np.ndarray, counts: np.ndarray, rates: np.ndarray, table: np.ndarray, piece: int = 4096, at_once: int = 16_384) -> np.ndarray:
+    """Mean vector of each text's features, for each of the three families, with the rates of form. A text is summed in pieces of
+    `piece` words from its own start, so its sums do not depend on its neighbours."""
     texts = len(counts)
     width = table.shape[1]
     out = np.zeros((texts, 3 * width), np.float64)
-    text = np.repeat(np.arange(texts), counts)
-    for a in range(0, len(buckets), at_once):
-        some = text[a : a + at_once]
-        starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+    pieces = -(-counts // piece)
+    owner = np.repeat(np.arange(texts), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = (np.cumsum(counts) - counts)[owner] + nth * piece
+    ends = np.append(starts[1:], len(buckets))
+    for a, b in files.slices(ends - starts, at_once):
+        rows = slice(starts[a], ends[b - 1])
         for k in range(3):
-            out[some[starts], k * width : (k + 1) * width] += np.add.reduceat(table[buckets[a : a + at_once, k]], starts, axis=0)
+            sums = np.add.reduceat(table[buckets[rows, k]], starts[a:b] - starts[a], axis=0)
+            np.add.at(out[:, k * width : (k + 1) * width], owner[a:b], sums)
     return np.concatenate([out / np.maximum(counts, 1)[:, None], rates], axis=1).astype(np.float32)
 
 
+def by_rows(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """x @ weights, each element summed in one order: a row's result is the same in any batch."""
+    out = np.zeros((len(x), weights.shape[1]))
+    for j in range(weights.shape[0]):
+        out += x[:, j, None] * weights[j]
+    return out
+
+
 class Network:
     """Two layers in numpy, trained by Adam on weighted log loss; odds are divided by a temperature."""
 
@@ -149,39 +167,23 @@ class Network:
         self.temperature = best[1]
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return (np.tanh((x - self.mean) / self.scale @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3])[:, 0]
+        return (by_rows(np.tanh(by_rows((x - self.mean) / self.scale, self.p[0]) + self.p[1]), self.p[2]) + self.p[3])[:, 0]
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.odds(x) / self.temperature, -30, 30)))
+    def scores(self, x: np.ndarray, shift: float = 0.0) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.odds(x) / self.temperature + shift, -30, 30)))
 
 
 class Model:
     """The table of vectors and the network, or one share for all."""
 
-    def __init__(self, texts: list[bytes], y: np.ndarray):
-        self.table = self.network = None
-        self.share = float(y.mean()) if len(y) else 0.5
-        if len(y) < 20 or y.min() == y.max():
-            return
-        parts = []  # of bounded size, so that the driver holds little besides the texts
-        for a, b in files.slices(np.array([len(t) for t in texts]), 1 << 19):
-            some = texts[a:b]
-            buckets, counts, rates, _ = features(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]).astype(np.int64))
-            parts.append((buckets.astype(np.int16), counts, rates))
-        index = index_vectors()
-        total, often = np.zeros((BUCKETS, DIMS), np.float32), np.zeros(BUCKETS)
-        for buckets, counts, _ in parts:
-            add_contexts(total, buckets, counts, index)
-            often += np.bincount(buckets.ravel(), minlength=BUCKETS)
-        context = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) * np.log1p(often)[:, None] / 4
-        self.table = np.concatenate([context, index / 4], axis=1).astype(np.float32)
-        self.network = Network(np.concatenate([pooled(buckets, counts, rates, self.table) for buckets, counts, rates in parts]), y)
+    def __init__(self, share: float = 0.5, shift: float = 0.0, table: np.ndarray | None = None, network: Network | None = None):
+        self.share, self.shift, self.table, self.network = share, shift, table, network
 
     def scores(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.network is None:
             return np.full(len(ends) - 1, self.share)
         buckets, counts, rates, _ = features(data, ends)
-        return np.round(self.network.scores(pooled(buckets, counts, rates, self.table)), 9)  # equal texts, equal scores in any batch
+        return self.network.scores(pooled(buckets, counts, rates, self.table), self.shift)
 
 
 def in_training(doc_id: Column) -> Column:
@@ -189,35 +191,80 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = 4000, fit_chars: int = 20_000) -> Model:
+def context_sums(slice_bytes: int):
+    """A task's sums of index vectors around each bucket, and how often it came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, total, often = index_vectors(), np.zeros((BUCKETS, DIMS), np.int32), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            text = files.plain(batch.column(2))
+            for a, b in files.slices(np.diff(files.buffers(text)[1]), slice_bytes):
+                buckets, counts, _, _ = features(*files.buffers(text.slice(a, b - a)))
+                add_contexts(total, buckets, counts, index)
+                often += np.bincount(buckets.ravel(), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary())], names=["total", "often"])
+
+    return run
+
+
+def fit_vectors(table, slice_bytes: int):
+    """doc_id, y and the pooled vector of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, out = files.plain(batch.column(2)), []
+            for a, b in files.slices(np.diff(files.buffers(text)[1]), slice_bytes):
+                out += [x.tobytes() for x in pooled(*features(*files.buffers(text.slice(a, b - a)))[:3], table.value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "y", "x"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = 4000, slice_bytes: int = 1 << 19) -> Model:
     """At most `fit_rows` training rows; equal numbers of both labels where there are enough."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & in_training(F.col("doc_id"))).select("doc_id", F.col(label_col).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    spark = on_workers(docs.sparkSession)
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & in_training(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    n1, n = known.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    share = n1 / n if n else 0.5
     order = (F.xxhash64(F.lit(11), "doc_id"), "doc_id")
     some = known.filter("y = 0").orderBy(*order).limit(fit_rows // 2).unionByName(known.filter("y = 1").orderBy(*order).limit(fit_rows // 2))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= fit_chars))
-    rows = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text").collect()  # fit_rows at most
-    rows.sort(key=lambda r: (zlib.crc32(b"%d" % r["doc_id"]), r["doc_id"]))
-    return Model([r["text"].encode() for r in rows], np.array([r["y"] for r in rows], np.float64))
-
-
-def score_rows(model, slice_bytes: int):
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    chosen = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))  # fit_rows at most
+    rows = materialise(chosen.repartition(FIT_TASKS, "doc_id"), "fit-rows")
+    f1, f = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    if f < 20 or f1 in (0, f):
+        return Model(share)
+    total, often = np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)
+    for r in rows.coalesce(FIT_TASKS).mapInArrow(context_sums(slice_bytes), "total binary, often binary").toLocalIterator():
+        total += np.frombuffer(r["total"], np.int32).reshape(BUCKETS, DIMS)
+        often += np.frombuffer(r["often"], np.int64)
+    context = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) * np.log1p(often)[:, None] / 4
+    table = np.concatenate([context, index_vectors() / 4], axis=1).astype(np.float32)
+    got = rows.mapInArrow(fit_vectors(spark.sparkContext.broadcast(table), slice_bytes), "doc_id long, y int, x binary")
+    got = got.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").collect()  # fit_rows vectors of fixed length
+    network = Network(np.stack([np.frombuffer(r["x"], np.float32) for r in got]), np.array([r["y"] for r in got], np.float64))
+    return Model(share, float(np.log(n1 / (n - n1)) - np.log(f1 / (f - f1))), table, network)
+
+
+def score_rows(model, names: list[str], slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
             text = files.plain(batch.column(batch.num_columns - 1))
             scores = [own.scores(*files.buffers(text.slice(a, b - a))) for a, b in files.slices(np.diff(files.buffers(text)[1]), slice_bytes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=names)
 
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", slice_bytes: int = 1 << 19) -> DataFrame:
-    """`keep` columns and score."""
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: str = "score", slice_bytes: int = 1 << 19) -> DataFrame:
+    """`keep` columns and `out`, the score; a kept column of that name stays beside it."""
     spark = on_workers(docs.sparkSession)
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(files.quoted(c)).alias(n) for c, n in zip(keep, names)), F.col(files.quoted(text_col)).cast("string").alias("t"))
+    schema = K.StructType([*(K.StructField(n, rows.schema[n].dataType) for n in names), K.StructField("s", K.DoubleType())])
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x 2 DIMS floats, whatever the corpus
-    return rows.mapInArrow(score_rows(shared, slice_bytes), f"{kinds}, score double")
+    return rows.mapInArrow(score_rows(shared, [*names, "s"], slice_bytes), schema).toDF(*keep, out)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
@@ -31,3 +33,61 @@ def test_stages(spark, sf, tmp_path):
             assert docs.select("doc_id").distinct().count() == before.count()
             assert docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert docs.count() == before.count() and docs.filter("not lossless").count() == 0
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars int, score double, `_score` string, blob string, findings int, key_id int, a int, b int, `class` int, epoch int, block_order int, t int, s int, `od``d. name` string"
+
+
+def table(spark, rows):
+    """Rows of (doc_id, text), with columns whose names the stages use themselves."""
+    return spark.createDataFrame([(i, t, "en", "x", len(t or ""), 0.5, "u", "v", 1, 2, 3, 4, 5, 6, 7, 8, 9, "w") for i, t in rows], CLASH)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+
+
+def test_clashing_names_repeated_and_null_ids_and_empty_tables(spark, sf, tmp_path):
+    rng = random.Random(1)
+    one, two, three = (words(rng, 60) for _ in range(3))
+    near = two.rsplit(" ", 2)[0] + " xx yy"
+    rows = [(3, one), (5, one), (5, two), (7, near), (7, near), (None, one), (None, three), (None, three), (9, ""), (9, ""), (9, None), (1, " \n"), (5, "password=12345678 " + words(rng, 20))]
+    docs = table(spark, rows)
+    for name, stage in P.STAGES[1:]:
+        for d in (docs, docs.limit(0)):
+            out = stage(spark, d, sf)
+            out.write.mode("overwrite").parquet(f"file://{tmp_path}/{name}")
+            if name != "pieces":
+                assert out.columns == docs.columns
+            if d is not docs:
+                assert out.count() == 0
+    kept = sorted(((r["doc_id"], r["text"]) for r in P.one_of_each(spark, docs, sf).collect()), key=repr)
+    assert kept == sorted([(3, one), (5, two), (None, three), (9, ""), (9, ""), (9, None), (1, " \n"), rows[-1]], key=repr)
+    clean = {r["text"]: r["n_chars"] for r in P.without_secrets(spark, docs, sf).collect()}
+    assert rows[-1][1] not in clean and all(n == len(t or "") for t, n in clean.items()) and len(P.mixed(spark, docs, sf).collect()) >= len(rows)
+    documents = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"score": F.lit("mine"), "_score": F.lit(1), "c0": F.lit(2)})
+    got = P.good_quality(spark, documents, sf)
+    assert got.columns == documents.columns and got.filter("score = 'mine'").count() == got.count() > 0
+    assert P.good_quality(spark, documents.limit(0), sf).count() == 0
+
+
+def test_one_of_each_equals_brute_force(spark, sf):
+    """Ids and texts repeat at will; classes by plain comparison of shingle sets."""
+    from test_jaccard_join import brute, corpus
+
+    rng = random.Random(3)
+    texts = corpus(rng)
+    texts += rng.choices(texts, k=60)
+    ids = [rng.choice([None, *range(40)]) for _ in texts]
+    classes = [c for _, c in brute(texts)]
+    sizes = [n for n, _ in brute(texts)]
+    got = P.one_of_each(spark, table(spark, list(zip(ids, texts))).repartition(3), sf).collect()
+    plain = sorted((repr((i, t)) for i, t, n in zip(ids, texts, sizes) if not n))
+    assert sorted(repr((r["doc_id"], r["text"])) for r in got if not (r["text"] or "").strip()) == plain
+    of_text = dict(zip(texts, classes))
+    kept = [(of_text[r["text"]], r["doc_id"]) for r in got if (r["text"] or "").strip()]
+    least = {}
+    for i, c, n in zip(ids, classes, sizes):
+        if n:
+            least.setdefault(c, []).append(i)
+    assert sorted(map(repr, kept)) == sorted(repr((c, min((i for i in x if i is not None), default=None))) for c, x in least.items())
