@@ -10,8 +10,10 @@ A set links with another when 100 * |intersection| >= 75 * |union|. The plan:
    private keys come first, so a set whose private keys fill that prefix links with nothing and is done. Passages that
    many documents share therefore cost nothing. The leaders of the prefix's shared keys are the set's groups: linked
    sets share a prefix key, hence a leader, hence a group.
-4. Equal sets of different blocks fall to one. Each group gets its sets' shared keys; groups beyond a bound are cut in parts,
-   and pairs of parts are the tasks' units, so memory is bounded and no pair is emitted.
+4. Equal sets of different blocks fall to one. Each group gets its sets' shared keys; groups beyond a bound are cut in parts by a
+   hash, and by another hash again, and a part is a task's unit, so memory is bounded and no pair is emitted. The classes found so far
+   then spare work: of a large group only the sets outside its main class meet all others, in units of a part of these and a part of
+   those. A large group of near copies is one class by then; sets that merely share a passage's key still meet in pairs of parts.
 5. Inside a unit, set relations save work at two levels. Sets are numbered by size, and an index list is entered by a
    search for the position where sizes start to fit, past all before (index-level skipping). A set's
    counts are derived from those of its most similar answered set by walking only the lists of keys in which
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm import files
@@ -235,14 +237,15 @@ def linked(common: np.ndarray, n: int | np.ndarray, sizes: np.ndarray) -> np.nda
     return (175 * common >= 75 * (n + sizes)) & (common > 0)
 
 
-def unit_forest(dk: np.ndarray, n: np.ndarray, keys: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among a unit's sets; with sides, pairs of different sides are enough."""
+def unit_forest(dk: np.ndarray, n: np.ndarray, keys: list[np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among a unit's sets. Sets of one `label` are known to be of one class."""
     k = len(dk)
+    label = dk if label is None else label
     if k == 2:
         common = len(np.intersect1d(keys[0], keys[1], assume_unique=True))
-        return [(int(dk.max()), int(dk.min()))] if linked(np.array([common]), int(n[0]), n[1:])[0] else []
+        return [(int(dk.max()), int(dk.min()))] if label[0] != label[1] and linked(np.array([common]), int(n[0]), n[1:])[0] else []
     order = np.lexsort((dk, n))
-    dk, n, keys = dk[order], n[order].astype(np.int64), [keys[i] for i in order]
+    dk, n, keys, label = dk[order], n[order].astype(np.int64), [keys[i] for i in order], label[order]
     token = np.concatenate(keys)
     owner = np.repeat(np.arange(k), [len(x) for x in keys])
     _, token = np.unique(token, return_inverse=True)
@@ -259,12 +262,14 @@ def unit_forest(dk: np.ndarray, n: np.ndarray, keys: list[np.ndarray], side: np.
         return np.bincount(entries[files.gather(s, e - s)] % k - a, minlength=b - a) if b > a else np.zeros(0, np.int64)
 
     labels = Labels(k)
+    _, labels.of, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    main = int(np.flatnonzero(labels.of == sizes.argmax())[-1]) if sizes.max() > 1 else k - 1
     answers: dict[int, np.ndarray] = {}
     best = np.zeros(k, np.int64)
     parent = np.full(k, -1)
     room = 40_000_000 // max(1, k)
     for y in range(k - 1, -1, -1):
-        if labels.of[y] == labels.of[k - 1] and y != k - 1:
+        if labels.of[y] == labels.of[main] and (y != main or sizes.max() > 1):
             continue  # of the main class: whoever is outside looks at it
         a, b = int(low[y]), int(high[y])
         x = int(parent[y])
@@ -296,14 +301,14 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         if len(held) > 1:
-            out.extend(unit_forest(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held]))
+            out.extend(unit_forest(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held], np.array([h[3] for h in held])))
 
     for batch in batches:
-        for leader, i, j, dk, n, keys in zip(*(c.to_pylist() for c in batch.columns)):
+        for leader, i, j, dk, label, n, keys in zip(*(c.to_pylist() for c in batch.columns)):
             if key != (leader, i, j):
                 close()
                 key, held = (leader, i, j), []
-            held.append((dk, n, keys))
+            held.append((dk, n, keys, label))
         if len(out) >= 10_000:
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], schema=EDGES)
             out = []
@@ -332,13 +337,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def across(large: DataFrame, roots: DataFrame, forest, fits: Column, part) -> DataFrame:
+    """Components once the sets of large groups have met beyond their parts: all but those whose class, so far, is the group's main one
+    meet each other and the main ones. Members of the main class need not meet each other, so a group of near copies costs
+    no more than its rows."""
+    known = large.join(roots.select(F.col("u").alias("dk"), F.col("v").alias("root")), "dk", "left").select("leader", "dk", "w", "parts", F.coalesce("root", "dk").alias("label"))
+    sizes = known.groupBy("leader", "label").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("leader").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    known = materialise(known.join(main, "leader"), "labelled")
+    rest, rows = known.filter("label <> main"), known.filter("label = main")
+    others = materialise(rest.groupBy("leader").agg(fits.alias("others")), "others")
+    if others.isEmpty():
+        return roots
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = rest.join(others, "leader").withColumn("own", part(F.col("others"), 2))
+    pairs = rest.select("*", each("others").alias("o")).select("leader", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "dk", "label")
+    out = rest.select("*", each("parts").alias("p")).select("leader", F.col("own").alias("i"), (-1 - F.col("p")).alias("j"), "dk", "label")
+    back = rows.join(others, "leader").select("*", each("others").alias("i")).select("leader", "i", (-1 - part(F.col("parts"))).alias("j"), "dk", "label")
+    return components(roots.unionByName(forest(pairs.unionByName(out).unionByName(back))))
+
+
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; see the module."""
     rows = docs.select(F.col(files.quoted(id_col)).cast("long").alias("doc_id"), F.col(files.quoted(text_col)).cast("string").alias("text"))
     return set_classes(rows, ["doc_id"], **bounds).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 1500, unit_bytes: int = 24 << 20) -> DataFrame:
+def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 256, unit_bytes: int = 8 << 20) -> DataFrame:
     """The `passed` columns (whole numbers), n (set size), class (a number of the row's class of links, null without a set) and
     least (the class's smallest value of the first passed column), for every row. Bounds are of memory alone: no pair is lost to them."""
     spark = on_workers(rows.sparkSession)
@@ -355,14 +380,23 @@ def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows
     classes = materialise(classes.select("sig_a", "sig_b", "n", F.coalesce("dk", "any_dk").alias("dk"), "least_id"), "classes")
     found = sets.filter("leaders is not null").select("dk", "leaders", F.octet_length("keys").alias("w")).join(classes.select("dk"), "dk", "left_semi")
     member = found.select("dk", "w", F.explode("leaders").alias("leader"))
-    parts = F.greatest(F.ceil(F.count("*") / unit_sets), F.ceil(F.sum("w") / unit_bytes)).cast("int").alias("parts")
-    groups = member.groupBy("leader").agg(F.count("*").alias("k"), parts).filter("k > 1").select("leader", "parts")
-    own = F.pmod(F.xxhash64("dk"), F.col("parts")).cast("int")
-    dealt = member.join(groups, "leader").select("leader", "dk", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("leader", "dk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    units_in = dealt.join(sets.filter("leaders is not null").select("dk", "n", "keys"), "dk").select("leader", "i", "j", "dk", "n", "keys")
-    edges = units_in.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "dk").mapInArrow(units, "u long, v long")
-    roots = components(edges)
+    fits = F.greatest(F.ceil(F.count("*") / unit_sets), F.ceil(F.sum("w") / unit_bytes)).cast("int")
+    groups = member.groupBy("leader").agg(F.count("*").alias("k"), fits.alias("parts")).filter("k > 1").select("leader", "parts")
+    member = materialise(member.join(groups, "leader"), "members")
+    part = lambda n, salt=0: F.pmod(F.xxhash64("dk", F.lit(salt)), n).cast("int")
+    every = F.lit(0).alias("j")
+
+    def forest(dealt: DataFrame) -> DataFrame:
+        """The edges that the units find; `dealt` has leader, i, j, dk, label."""
+        got = dealt.select("leader", "i", "j", "dk", "label").join(sets.filter("leaders is not null").select("dk", "n", "keys"), "dk").select("leader", "i", "j", "dk", "label", "n", "keys")
+        return got.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "dk").mapInArrow(units, "u long, v long")
+
+    large = member.filter("parts > 1")
+    whole = member.select("leader", part(F.col("parts")).alias("i"), every, "dk", F.col("dk").alias("label"))
+    again = large.select("leader", part(F.col("parts"), 1).alias("i"), F.lit(1).alias("j"), "dk", F.col("dk").alias("label"))
+    roots = components(forest(whole.unionByName(again)))
+    if not large.isEmpty():
+        roots = across(large, roots, forest, fits, part)
 
     placed = classes.join(roots.select(F.col("u").alias("dk"), F.col("v").alias("root")), "dk", "left").select("sig_a", "sig_b", "n", "least_id", F.coalesce("root", "dk").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("least"))

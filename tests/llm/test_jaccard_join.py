@@ -50,7 +50,7 @@ def corpus(rng, groups=6, copies=14):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 4, "unit_sets": 5, "block_bytes": 4000, "slice_bytes": 900}, {"rows_per_bucket": 3, "hot": 2}])
+@pytest.mark.parametrize("options", [{}, {"hot": 4, "unit_sets": 5, "block_bytes": 4000, "slice_bytes": 900}, {"unit_sets": 2}, {"rows_per_bucket": 3, "hot": 2}])
 def test_classes_equal_brute_force(spark, docs, options):
     for seed in range(2):
         texts = corpus(random.Random(seed))
@@ -86,6 +86,9 @@ def test_unit_forest():
                     label = [a if v == b else v for v in label]
         found = {int(u): int(v) for u, v in J.unit_forest(np.arange(len(keys)), n, keys)}
         assert [found.get(i, i) for i in range(len(keys))] == label
+        some = np.array([c if rng.rand() < 0.6 else i + 1000 for i, c in enumerate(label)])  # classes known in part
+        known = {int(u): int(v) for u, v in J.unit_forest(np.arange(len(keys)), n, keys, some)}
+        assert [known.get(i, i) for i in range(len(keys))] == label
 
 
 def test_components(spark):
