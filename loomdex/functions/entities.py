@@ -9,19 +9,22 @@ from loomdex.functions import text as T
 
 # Tool vocabulary.
 TOOLS = (
-    "claude slack jira github datadog splunk sourcegraph grafana terraform docker kubernetes aws gcp azure redis postgres postgresql mysql mongodb dynamodb "
-    "elasticsearch kibana jenkins circleci buildkite confluence notion linear figma vercel netlify heroku flyio render supabase firebase stripe twilio sendgrid "
-    "openai anthropic bedrock sagemaker databricks snowflake bigquery airflow dagster dbt spark kafka rabbitmq nginx caddy traefik python typescript javascript "
-    "rust golang java ruby react nextjs django flask fastapi rails springboot zeppelin datahub artifactory gradle maven npm yarn pnpm pip poetry conda"
-).split()
+    "claude", "slack", "jira", "github", "datadog", "splunk", "sourcegraph", "grafana", "terraform", "docker", "kubernetes", "aws", "gcp", "azure", "redis", "postgres",
+    "postgresql", "mysql", "mongodb", "dynamodb", "elasticsearch", "kibana", "jenkins", "circleci", "buildkite", "confluence", "notion", "linear", "figma", "vercel",
+    "netlify", "heroku", "flyio", "render", "supabase", "firebase", "stripe", "twilio", "sendgrid", "openai", "anthropic", "bedrock", "sagemaker", "databricks",
+    "snowflake", "bigquery", "airflow", "dagster", "dbt", "spark", "kafka", "rabbitmq", "nginx", "caddy", "traefik", "python", "typescript", "javascript", "rust",
+    "golang", "java", "ruby", "react", "nextjs", "django", "flask", "fastapi", "rails", "springboot", "zeppelin", "datahub", "artifactory", "gradle", "maven", "npm",
+    "yarn", "pnpm", "pip", "poetry", "conda",
+)
 
 # Capitalised words that are no names.
 NO_NAMES = (
-    "the this that with from into have been will when what where which there their these those about after before between could would should also just then than "
-    "some other more most only very each every both either neither here over under again once much many monday tuesday wednesday thursday friday saturday sunday "
-    "january february march april may june july august september october november december todo note update error warning info debug test tests testing setup "
-    "config step"
-).split()
+    "the", "this", "that", "with", "from", "into", "have", "been", "will", "when", "what", "where", "which", "there", "their", "these", "those", "about", "after",
+    "before", "between", "could", "would", "should", "also", "just", "then", "than", "some", "other", "more", "most", "only", "very", "each", "every", "both", "either",
+    "neither", "here", "over", "under", "again", "once", "much", "many", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january",
+    "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "todo", "note", "update", "error", "warning", "info",
+    "debug", "test", "tests", "testing", "setup", "config", "step",
+)
 
 PERSON = r"(?<![\p{L}\p{N}_])([A-Z][a-z]+\s+[A-Z][a-z]+)(?![\p{L}\p{N}_])"
 ENTITY = "array<struct<entity_type:string,entity_value:string>>"

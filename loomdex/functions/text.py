@@ -158,6 +158,7 @@ def indexable(path: Column, extensions: tuple[str, ...] = (".py", ".java", ".kt"
 
 # ---- dates --------------------------------------------------------------------------------------
 
+# Month names.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 ISO = r"(?<![\p{L}\p{N}_])(\d{4}-\d{2}-\d{2})(?![\p{L}\p{N}_])"
 ENGLISH = rf"(?i)(?<![\p{{L}}\p{{N}}_])((?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}})(?![\p{{L}}\p{{N}}_])"
@@ -255,15 +256,20 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def is_noise(user: Column, assistant: Column, prefixes: tuple[str, ...] = ("<command-name>", "<local-command", "[Request interrupted", "Caveat:", "<system-reminder>"), holds: tuple[str, ...] = ("<command-message>", "tool_result")) -> Column:
-    """A known opening, or no answer and a known part."""
-    begins = F.lit(False)
-    for p in prefixes:
-        begins = begins | strip(user).startswith(p)
-    contains = F.lit(False)
-    for h in holds:
-        contains = contains | user.contains(h)
-    return begins | ((strip(F.coalesce(assistant, F.lit(""))) == "") & contains)
+# What an exchange without content begins with, and what it holds where nobody answers.
+NOISE_OPENINGS = ("Edit operation feedback", "Write operation feedback")
+NOISE_PARTS = ("Base directory for this skill", "local-command-caveat", "PreToolUse")
+
+
+def is_noise(user: Column, assistant: Column, openings: tuple[str, ...] = NOISE_OPENINGS, parts: tuple[str, ...] = NOISE_PARTS) -> Column:
+    """The user's text, as it is, begins with a known opening; or the answer is blank and the text holds a known part."""
+    said, unanswered = F.coalesce(user, F.lit("")), strip(F.coalesce(assistant, F.lit(""))) == ""
+    opens, holds = F.lit(False), F.lit(False)
+    for x in openings:
+        opens = opens | said.startswith(x)
+    for x in parts:
+        holds = holds | said.contains(x)
+    return opens | (unanswered & holds)
 
 
 def scip_edge_type(symbol: Column) -> Column:

@@ -197,6 +197,7 @@ def calls_of(source: str, path: str) -> Iterator[tuple]:
 
 # ---- build files --------------------------------------------------------------------------------
 
+# Words that declare a dependency.
 SCOPES = ("testRuntimeOnly", "testImplementation", "runtimeOnly", "compileOnly", "annotationProcessor", "kapt", "api", "implementation")
 SCOPE = r"\b(" + "|".join(SCOPES) + r")"
 REQUIREMENT = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(.*)$")

@@ -45,20 +45,20 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", ed
     return got.orderBy("depth", "file", "codebase").limit(clamp(max_results, 1, 500)) if max_results else got
 
 
-def paths(edges: DataFrame, start: str, direction: str = "downstream", edge_types: list[str] | None = None, codebase: str | None = None, max_depth: int = 5) -> DataFrame:
-    """(codebase, file, depth, path): a shortest path to each file, the least of equals; no file twice on a path."""
+def paths(edges: DataFrame, start: str | DataFrame, direction: str = "downstream", edge_types: list[str] | None = None, codebase: str | None = None, max_depth: int = 5) -> DataFrame:
+    """(codebase, file, depth, path): a shortest path to each file from any start, the least of equals; no file twice on a path.
+    `start`: a file, or any number of starts (codebase, file), which are all the first frontier's seed."""
     steps = directed(edges, direction, edge_types, codebase).select("codebase", "a", "b").distinct()
-    level = steps.filter(F.col("a") == start).select("codebase", F.col("b").alias("file"), F.array("a", "b").alias("path")).filter(F.col("file") != start)
-    level = materialise(level.groupBy("codebase", "file").agg(F.min("path").alias("path")), "paths")
-    best = level
-    for _ in range(clamp(max_depth, 1, 10) - 1):
+    starts = steps.filter(F.col("a") == start).select("codebase", F.col("a").alias("file")) if isinstance(start, str) else start.select("codebase", "file")
+    level = best = materialise(starts.distinct().withColumn("path", F.array("file")), "paths")
+    for _ in range(clamp(max_depth, 1, 10)):
         nxt = level.join(steps, (steps["codebase"] == level["codebase"]) & (steps["a"] == level["file"]) & ~F.array_contains(level["path"], steps["b"]))
         nxt = nxt.select(steps["codebase"], F.col("b").alias("file"), F.array_append("path", F.col("b")).alias("path")).groupBy("codebase", "file").agg(F.min("path").alias("path"))
         level = materialise(nxt.join(best, ["codebase", "file"], "left_anti"), "paths")
         if level.isEmpty():
             break
         best = best.unionByName(level)
-    return best.select("codebase", "file", (F.size("path") - 1).alias("depth"), "path")
+    return best.filter(F.size("path") > 1).select("codebase", "file", (F.size("path") - 1).alias("depth"), "path")
 
 
 def resolve_start(symbols: DataFrame, start: str, codebase: str | None = None) -> DataFrame:
@@ -77,13 +77,7 @@ def graph_traverse(edges: DataFrame, symbols: DataFrame, start_node: str, codeba
     starts = resolve_start(symbols, start_node, codebase)
     got = reach(edges, starts, direction, edge_types, codebase, max_depth)
     if include_paths:
-        ways = [paths(edges, r["file"], direction, edge_types, codebase, max_depth) for r in starts.select("file").distinct().orderBy("file").limit(20).collect()]
-        if ways:
-            every = ways[0]
-            for w in ways[1:]:
-                every = every.unionByName(w)
-            best = every.groupBy("codebase", "file").agg(F.min(F.struct(F.size("path"), "path")).alias("p")).select("codebase", "file", F.col("p.path").alias("path"))
-            got = got.join(best, ["codebase", "file"], "left")
+        got = got.join(paths(edges, starts, direction, edge_types, codebase, max_depth).select("codebase", "file", "path"), ["codebase", "file"], "left")
     return got.orderBy("depth", "file", "codebase").limit(clamp(max_results, 1, 500))
 
 
@@ -282,10 +276,14 @@ def resolve_dependencies(edges: DataFrame, codebases: DataFrame) -> DataFrame:
     artifact, then by name; an empty artifact never fits."""
     artifact = F.lower(F.coalesce(F.get(F.split("metadata", ":"), F.lit(1)), F.lit("")))
     open_ = edges.filter((F.col("edge_type") == "build_dependency") & F.col("target_file").isNull()).withColumn("artifact", artifact).filter("artifact <> ''")
-    names = codebases.select(F.col("codebase").alias("name")).distinct()  # a row a repository
-    wanted = open_.select("artifact").distinct()
-    fits = F.contains(F.lower("name"), F.col("artifact"))
-    best = wanted.join(F.broadcast(names), fits).groupBy("artifact").agg(F.min_by("name", F.struct((F.lower("name") != F.col("artifact")).cast("int"), -F.length("name"), "name")).alias("name"))
+    # An artifact is looked for only in names that hold its first three letters (all of it where it has fewer): an equi-join.
+    names = codebases.select(F.col("codebase").alias("name")).distinct()
+    low = F.lower("name")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    held = names.select("name", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+    wanted = open_.select("artifact").distinct().withColumn("gram", F.substr("artifact", F.lit(1), F.lit(3)))
+    fits = F.contains(low, F.col("artifact"))
+    best = wanted.join(held, "gram").filter(fits).groupBy("artifact").agg(F.min_by("name", F.struct((low != F.col("artifact")).cast("int"), -F.length("name"), "name")).alias("name"))
     return open_.join(best, "artifact").filter(F.col("name") != F.col("codebase")).select("id", "codebase", "source_file", "metadata", F.concat(F.lit("codebase:"), "name", F.lit("/")).alias("target_file"), F.col("name").alias("target_codebase"))
 
 
@@ -334,7 +332,7 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> D
 
     The first strategy that hits: imported name .95, import suffix .85, same folder .90, unique name .75, nearest folder .55,
     similar name .30 to .40; else unresolved. Each is an equi-join; only names that nothing else finds are compared for
-    similarity, within a window of lengths that the ratio allows."""
+    similarity, with those that share two of the rare letters that any name so similar must share."""
     base = F.regexp_extract("receiver", r"^([^.]+)", 1)
     short = F.regexp_extract("callee", r"([^.]+)$", 1)
     c = calls.withColumns({"base": base, "short": short, "dir": T.directory(F.col("source_file"))})
@@ -352,17 +350,22 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> D
     s3 = near.filter("target is not null")
     only = named.groupBy("short").agg(F.count_distinct("target").alias("files"), F.min("target").alias("target")).filter("files = 1")
     s4 = c.join(only, "short").select("call_id", "target")
-    # The distance is one of folders: it is taken for each pair of a name's folders, not of its files.
-    away = c.select("short", "dir").distinct().join(placed.select("short", F.col("dir").alias("there"), F.get("two", F.lit(0)).alias("target")), "short")
-    away = away.withColumn("d", T.directory_distance(F.concat("dir", F.lit("/x")), F.concat("there", F.lit("/x"))))
-    s5 = c.join(away.groupBy("short", "dir").agg(F.min_by("target", F.struct("d", "target")).alias("target")), ["short", "dir"]).select("call_id", "target")
+    # Two folders' distance runs over a folder above both: each name keeps, for every folder above its definitions, the one least deep;
+    # a call looks up the folders above its own. A folder above the lowest common one only gives more.
+    there = placed.select("short", F.get("two", F.lit(0)).alias("target"), _folders("dir").alias("parts"))
+    above = there.select("short", F.struct(F.size("parts").alias("deep"), "target").alias("b"), F.explode(_prefixes("parts")).alias("folder")).groupBy("short", "folder").agg(F.min("b").alias("b"))
+    asking = c.select("short", "dir").distinct().withColumn("parts", _folders("dir"))
+    asking = asking.select("short", "dir", F.size("parts").alias("size"), F.posexplode(_prefixes("parts")).alias("common", "folder"))
+    way = F.struct((F.col("size") + F.col("b.deep") - 2 * F.col("common")).alias("d"), F.col("b.target").alias("target"))
+    s5 = c.join(asking.join(above, ["short", "folder"]).groupBy("short", "dir").agg(F.min(way).alias("w")), ["short", "dir"]).select("call_id", F.col("w.target").alias("target"))
     found = hit(s1, 1, F.lit(0.95), "import_exact").unionByName(hit(s2, 2, F.lit(0.85), "import_suffix")).unionByName(hit(s3, 3, F.lit(0.90), "same_module")).unionByName(hit(s4, 4, F.lit(0.75), "unique_name")).unionByName(hit(s5, 5, F.lit(0.55), "nearest"))
     best = found.groupBy("call_id").agg(F.min_by(F.struct("target_file", "confidence", "strategy"), "p").alias("b"))
     rest = c.join(best, "call_id", "left_anti")
-    unknown = rest.select("short").distinct().withColumn("bag", _bag("short")).withColumn("n", F.explode(F.sequence(F.ceil(F.length("short") * 0.538), F.ceil(F.length("short") * 1.86))))
-    pool = named.groupBy(F.col("short").alias("other")).agg(F.min("target").alias("target")).withColumn("n", F.length("other").cast("long")).withColumn("other_bag", _bag("other"))
-    hopeful = 2 * F.size(F.array_intersect("bag", "other_bag")) >= 0.7 * (F.length("short") + F.col("n"))
-    similar = unknown.join(pool, "n").filter(hopeful).withColumn("ratio", _ratio("short", "other")).filter("ratio >= 0.7")
+    unknown = rest.select("short").distinct().withColumn("bag", _bag("short")).withColumn("key", F.explode(_pair_keys("bag")))
+    pool = named.groupBy(F.col("short").alias("other")).agg(F.min("target").alias("target")).withColumn("other_bag", _bag("other")).withColumn("key", F.explode(_pair_keys("other_bag")))
+    hopeful = 2 * F.size(F.array_intersect("bag", "other_bag")) >= 0.7 * (F.size("bag") + F.size("other_bag"))
+    met = unknown.join(pool, "key").filter(hopeful).groupBy("short", "other").agg(F.first("target").alias("target"))
+    similar = met.withColumn("ratio", _ratio("short", "other")).filter("ratio >= 0.7")
     fuzzy = similar.groupBy("short").agg(F.min_by(F.struct("target", "ratio"), F.struct(-F.col("ratio"), "other")).alias("f"))
     loose = rest.join(fuzzy, "short").select("call_id", F.struct(F.col("f.target").alias("target_file"), (0.30 + (F.col("f.ratio") - 0.7) / 3).alias("confidence"), F.lit("fuzzy").alias("strategy")).alias("b"))
     every = best.unionByName(loose)
@@ -370,6 +373,31 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> D
     return got.select("call_id", "source_file", "callee", F.col("b.target_file").alias("target_file"), F.col("b.confidence").alias("confidence"), F.coalesce("b.strategy", F.lit("none")).alias("strategy"), F.when(F.col("b.target_file").isNotNull(), "calls").otherwise("calls_unresolved").alias("edge_type"))
 
 
+def _folders(path: str) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def _prefixes(parts: str) -> Column:
+    """The folder's own path and all above it, from the top."""
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(F.col(parts), 1, n), "/"))
+
+
+#: Letters by how common they are in names; only the order in which a bag's letters are compared hangs on it.
+COMMON = "etaoinsrlcdumpgfhybvkwxjqz"
+
+
+def _pair_keys(bag: str) -> Column:
+    """Of a bag of n letters, pairs of the first n - ceil(.35 (n + .538 n)) + 2, rare ones first: a name at a ratio of .7 or more shares at
+    least that many letters, two or more, so two stand in both names' heads. A bag of one letter has that letter."""
+    letters = F.col(bag)
+    place = lambda x: F.struct((-F.coalesce(F.nullif(F.instr(F.lit(COMMON), F.substr(x, F.lit(1), F.lit(1))), F.lit(0)), F.lit(99))).alias("p"), x.alias("x"))
+    ordered = F.transform(F.sort_array(F.transform(letters, place)), lambda y: y["x"])
+    n = F.size(letters)
+    head = F.slice(ordered, 1, F.greatest(F.lit(1), F.least(n, n - F.ceil(n * 0.5382).cast("int") + 2)))
+    pairs = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.concat_ws("|", x, y))))
+    return F.when(n == 1, letters).otherwise(pairs)
+
+
 def _bag(name: str) -> Column:
     """A name's characters, repeats numbered: what two names share bounds how much of them can match."""
     chars = F.split(F.lower(name), "")

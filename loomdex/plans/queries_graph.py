@@ -21,21 +21,27 @@ def query(sql: str | None = None):
     return add
 
 
-#: Parts of one supplier in a row: p(i) -> p(3i mod 997), and p(i) -> s(i mod 40), s(i) -> n(i mod 25), with types by number.
+def _largest(spark, sf, name, key):
+    return table(spark, sf, name).agg(F.coalesce(F.max(key), F.lit(1)).cast("long")).first()[0]
+
+
 def edges(spark, sf):
+    """All parts and suppliers: p(i) -> p(3i mod P + 1), p(i) -> s(i mod S + 1), s(i) -> n(its nation), P and S the largest keys,
+    with types by number."""
+    parts, suppliers = _largest(spark, sf, "part", "p_partkey"), _largest(spark, sf, "supplier", "s_suppkey")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     kind = lambda n: F.element_at(F.array(*map(F.lit, ("calls", "import", "extends"))), (n % 3 + 1).cast("int"))
     name = lambda x, n: F.concat(F.lit(x + "/"), n.cast("string"), F.lit(".java"))
-    a = p.select(name("p", F.col("k")).alias("source_file"), name("p", F.col("k") * 3 % 997).alias("target_file"), kind(F.col("k")).alias("edge_type"), F.col("k").alias("id"))
-    b = p.select(name("p", F.col("k")).alias("source_file"), name("s", F.col("k") % 40).alias("target_file"), kind(F.col("k") + 1).alias("edge_type"), (F.col("k") + 100000).alias("id"))
-    c = table(spark, sf, "supplier").select(name("s", F.col("s_suppkey")).alias("source_file"), name("n", F.col("s_nationkey")).alias("target_file"), F.lit("import").alias("edge_type"), (F.col("s_suppkey") + 200000).alias("id"))
+    a = p.select(name("p", F.col("k")).alias("source_file"), name("p", F.col("k") * 3 % parts + 1).alias("target_file"), kind(F.col("k")).alias("edge_type"), (F.col("k") * 4).alias("id"))
+    b = p.select(name("p", F.col("k")).alias("source_file"), name("s", F.col("k") % suppliers + 1).alias("target_file"), kind(F.col("k") + 1).alias("edge_type"), (F.col("k") * 4 + 1).alias("id"))
+    c = table(spark, sf, "supplier").select(name("s", F.col("s_suppkey")).alias("source_file"), name("n", F.col("s_nationkey")).alias("target_file"), F.lit("import").alias("edge_type"), (F.col("s_suppkey") * 4 + 2).alias("id"))
     return a.unionByName(b).unionByName(c).withColumns({"codebase": F.lit("repo"), "metadata": F.lit(None).cast("string"), "updated_at": F.col("id"), "confidence": F.lit(None).cast("double")})
 
 
 EDGES = """e AS (
-  SELECT 'p/' || p_partkey || '.java' AS s, 'p/' || (p_partkey * 3 % 997) || '.java' AS t, ['calls', 'import', 'extends'][p_partkey % 3 + 1] AS k, p_partkey AS id FROM part WHERE p_partkey <= 900
-  UNION ALL SELECT 'p/' || p_partkey || '.java', 's/' || (p_partkey % 40) || '.java', ['calls', 'import', 'extends'][(p_partkey + 1) % 3 + 1], p_partkey + 100000 FROM part
-  UNION ALL SELECT 's/' || s_suppkey || '.java', 'n/' || s_nationkey || '.java', 'import', s_suppkey + 200000 FROM supplier WHERE s_suppkey < 40)"""
+  SELECT 'p/' || p_partkey || '.java' AS s, 'p/' || (p_partkey * 3 % (SELECT max(p_partkey) FROM part) + 1) || '.java' AS t, ['calls', 'import', 'extends'][p_partkey % 3 + 1] AS k, p_partkey * 4 AS id FROM part
+  UNION ALL SELECT 'p/' || p_partkey || '.java', 's/' || (p_partkey % (SELECT max(s_suppkey) FROM supplier) + 1) || '.java', ['calls', 'import', 'extends'][(p_partkey + 1) % 3 + 1], p_partkey * 4 + 1 FROM part
+  UNION ALL SELECT 's/' || s_suppkey || '.java', 'n/' || s_nationkey || '.java', 'import', s_suppkey * 4 + 2 FROM supplier)"""
 
 
 def symbols(spark, sf):
@@ -119,12 +125,12 @@ def regions(spark, sf):
     """Communities by the region of a supplier's nation; parts go with their supplier."""
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     own = s.select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string"), F.lit(".java")).alias("file_path"), F.col("n_regionkey").alias("community_id"), F.col("s_suppkey"))
-    p = table(spark, sf, "part").join(own.select("s_suppkey", "community_id"), F.col("p_partkey") % 40 == F.col("s_suppkey"))
+    p = table(spark, sf, "part").join(own.select("s_suppkey", "community_id"), F.col("p_partkey") % _largest(spark, sf, "supplier", "s_suppkey") + 1 == F.col("s_suppkey"))
     return own.select("file_path", "community_id").unionByName(p.select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("file_path"), "community_id")).withColumn("codebase", F.lit("repo"))
 
 
-REGIONS = """own AS (SELECT 's/' || s_suppkey || '.java' AS f, n_regionkey AS c, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 40),
-m AS (SELECT f, c FROM own UNION ALL SELECT 'p/' || p_partkey || '.java', c FROM part JOIN own ON p_partkey % 40 = s_suppkey)"""
+REGIONS = """own AS (SELECT 's/' || s_suppkey || '.java' AS f, n_regionkey AS c, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+m AS (SELECT f, c FROM own UNION ALL SELECT 'p/' || p_partkey || '.java', c FROM part JOIN own ON p_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 = s_suppkey)"""
 
 
 @query(f"WITH {EDGES}, {REGIONS} SELECT s AS source_file, t AS target_file, k AS edge_type, a.c AS source_community, b.c AS target_community FROM e JOIN m a ON a.f = s JOIN m b ON b.f = t WHERE a.c <> b.c ORDER BY 1, 2, 3 LIMIT 200")
@@ -177,7 +183,7 @@ def cross_repo_resolve(spark, sf):
 
 
 @query("""SELECT 'p/' || p_partkey AS source_file, arg_min('n/' || n_nationkey || '.java', n_nationkey) AS target_file
-FROM part JOIN nation ON n_name = (SELECT n_name FROM nation x WHERE x.n_nationkey = p_partkey % 25) WHERE p_partkey <= 200 GROUP BY p_partkey""")
+FROM part JOIN nation ON n_name = (SELECT n_name FROM nation x WHERE x.n_nationkey = p_partkey % 25) GROUP BY p_partkey""")
 def resolve_types(spark, sf):
     n = table(spark, sf, "nation")
     there = n.select(F.col("n_name").alias("name"), F.lit("lib").alias("codebase"), F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"), F.lit(".java")).alias("file_path"), F.lit(1).alias("start_line"))

@@ -118,9 +118,9 @@ def test_build_files():
 
 
 def test_tool_modes_and_boundary_signals(spark):
-    modes = [("Read", "read"), ("Edit", "write"), ("x__y__memory_search", "read"), ("x__memory_write", "write"), ("Other", "none")]
+    modes = [("Read", "read"), ("Edit", "write"), ("own__search", "read"), ("own__write", "write"), ("other__write", "none"), ("Other", "none")]
     rows = spark.createDataFrame([(i, [t]) for i, (t, _) in enumerate(modes)] + [(9, ["Read", "Write"]), (10, None)], "id long, tools array<string>")
-    got = {r["id"]: r["m"] for r in rows.select("id", S.tool_mode(F.col("tools")).alias("m")).collect()}
+    got = {r["id"]: r["m"] for r in rows.select("id", S.tool_mode(F.col("tools"), (*S.READ_TOOLS, "own__search"), (*S.WRITE_TOOLS, "own__write")).alias("m")).collect()}
     assert [got[i] for i in range(len(modes))] == [m for _, m in modes] and got[9] == "mixed" and got[10] == "none"
     x = spark.createDataFrame([(1, 1, "look at /a/b/c.py", "", ["Read"], "2025-01-01 00:00:00"), (1, 2, "fix /d/e/f.py", "", ["Edit"], "2025-01-01 00:02:00"), (1, 3, "really?", "", [], "2025-01-01 00:02:10"), (1, 4, "now let's switch to x", "", [], "2025-01-01 01:00:00")], "conv_id long, exchange long, user string, assistant string, tools array<string>, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert [r["score"] for r in S.boundary_scores(x).orderBy("exchange").collect()] == [2.5, 0.25, 2.5]
