@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from loomdex.llm import files
 from loomdex.runtime import materialise
 
-LEVELS, ROUNDS = 4, 14
+LEVELS, ROUNDS = 4, 11
+#: Rows of the table of sources to a file; a pass over it has so few tasks.
+SOURCES_A_FILE = 100_000
 NAMES = ("epoch", "block_order", "row_order")
 
 
@@ -94,9 +96,9 @@ def mix(docs: DataFrame, budget: float | str = "all", repeat_limit: float | None
     by_block = materialise(narrow.groupBy("s", "b").agg(F.sum("t").alias("t")), "mix-blocks")
 
     sources = by_block.groupBy("s").agg(F.sum("t").alias("held"))
-    total = sources.agg(F.sum("held")).first()[0] or 0
+    total, n = sources.agg(F.coalesce(F.sum("held"), F.lit(0)), F.count("*")).first()
     log_share = F.when(F.col("held") > 0, F.log(F.col("held") / F.lit(float(max(total, 1)))))
-    sources = materialise(sources.withColumn("lp", log_share), "mix-sources")
+    sources = materialise(sources.withColumn("lp", log_share).coalesce(max(1, n // SOURCES_A_FILE)), "mix-sources")
     near = 1e-9
     if total:
         shares = sources.filter("lp is not null").select("lp")
