@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import lru_cache
 
@@ -170,6 +171,30 @@ def dequantize(code: Column, dims: int, bits: int = 4, seed: int = 42) -> Column
     return run(code)
 
 
+def any_encoding(blob: Column, dims: int, bits: int = 4, seed: int = 42) -> Column:
+    """Unit vectors from stored bytes: float32 or packed codes, told apart by their exact length, or JSON numbers; null for anything else."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        q, out = Quantizer(dims, bits, seed), []
+        for x in s:
+            v = None
+            if x is not None and len(x) == 4 * dims:
+                v = np.frombuffer(x, "<f4").astype(np.float64)
+            elif x is not None and len(x) == packed_size(dims, bits):
+                v = q.decode(np.frombuffer(x, np.uint8)[None])[0]
+            elif x is not None and x[:1] == b"[":
+                try:
+                    v = np.array(json.loads(x), np.float64)
+                except (ValueError, TypeError):
+                    v = None
+            size = np.linalg.norm(v) if v is not None and v.shape == (dims,) and np.isfinite(v).all() else 0
+            out.append((v / size).tolist() if size > 0 else None)
+        return pd.Series(out, dtype=object)
+
+    return run(blob)
+
+
 def code_dot(code: Column, query: list[float], bits: int = 4, seed: int = 42) -> Column:
     dims = len(query)
 

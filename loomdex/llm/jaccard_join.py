@@ -341,7 +341,7 @@ def across(large: DataFrame, roots: DataFrame, forest, fits: Column, part) -> Da
     """Components once the sets of large groups have met beyond their parts: all but those whose class, so far, is the group's main one
     meet each other and the main ones. Members of the main class need not meet each other, so a group of near copies costs
     no more than its rows."""
-    known = large.join(roots.select(F.col("u").alias("dk"), F.col("v").alias("root")), "dk", "left").select("leader", "dk", "w", "parts", F.coalesce("root", "dk").alias("label"))
+    known = large.join(roots.select(F.col("u").alias("dk"), F.col("v").alias("root")), "dk", "left").select("leader", "dk", "w", F.coalesce("root", "dk").alias("label"))
     sizes = known.groupBy("leader", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("leader").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     known = materialise(known.join(main, "leader"), "labelled")
@@ -349,11 +349,12 @@ def across(large: DataFrame, roots: DataFrame, forest, fits: Column, part) -> Da
     others = materialise(rest.groupBy("leader").agg(fits.alias("others")), "others")
     if others.isEmpty():
         return roots
+    others = others.join(rows.groupBy("leader").agg(fits.alias("rows")), "leader")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rest = rest.join(others, "leader").withColumn("own", part(F.col("others"), 2))
     pairs = rest.select("*", each("others").alias("o")).select("leader", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "dk", "label")
-    out = rest.select("*", each("parts").alias("p")).select("leader", F.col("own").alias("i"), (-1 - F.col("p")).alias("j"), "dk", "label")
-    back = rows.join(others, "leader").select("*", each("others").alias("i")).select("leader", "i", (-1 - part(F.col("parts"))).alias("j"), "dk", "label")
+    out = rest.select("*", each("rows").alias("p")).select("leader", F.col("own").alias("i"), (-1 - F.col("p")).alias("j"), "dk", "label")
+    back = rows.join(others, "leader").select("*", each("others").alias("i")).select("leader", "i", (-1 - part(F.col("rows"))).alias("j"), "dk", "label")
     return components(roots.unionByName(forest(pairs.unionByName(out).unionByName(back))))
 
 
@@ -363,7 +364,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return set_classes(rows, ["doc_id"], **bounds).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 256, unit_bytes: int = 8 << 20) -> DataFrame:
+def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 256, unit_bytes: int = 8 << 20, meet_sets: int = 1500, meet_bytes: int = 16 << 20) -> DataFrame:
     """The `passed` columns (whole numbers), n (set size), class (a number of the row's class of links, null without a set) and
     least (the class's smallest value of the first passed column), for every row. Bounds are of memory alone: no pair is lost to them."""
     spark = on_workers(rows.sparkSession)
@@ -380,8 +381,8 @@ def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows
     classes = materialise(classes.select("sig_a", "sig_b", "n", F.coalesce("dk", "any_dk").alias("dk"), "least_id"), "classes")
     found = sets.filter("leaders is not null").select("dk", "leaders", F.octet_length("keys").alias("w")).join(classes.select("dk"), "dk", "left_semi")
     member = found.select("dk", "w", F.explode("leaders").alias("leader"))
-    fits = F.greatest(F.ceil(F.count("*") / unit_sets), F.ceil(F.sum("w") / unit_bytes)).cast("int")
-    groups = member.groupBy("leader").agg(F.count("*").alias("k"), fits.alias("parts")).filter("k > 1").select("leader", "parts")
+    fits = lambda n, size: F.greatest(F.ceil(F.count("*") / n), F.ceil(F.sum("w") / size)).cast("int")
+    groups = member.groupBy("leader").agg(F.count("*").alias("k"), fits(unit_sets, unit_bytes).alias("parts")).filter("k > 1").select("leader", "parts")
     member = materialise(member.join(groups, "leader"), "members")
     part = lambda n, salt=0: F.pmod(F.xxhash64("dk", F.lit(salt)), n).cast("int")
     every = F.lit(0).alias("j")
@@ -396,7 +397,7 @@ def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows
     again = large.select("leader", part(F.col("parts"), 1).alias("i"), F.lit(1).alias("j"), "dk", F.col("dk").alias("label"))
     roots = components(forest(whole.unionByName(again)))
     if not large.isEmpty():
-        roots = across(large, roots, forest, fits, part)
+        roots = across(large, roots, forest, fits(meet_sets, meet_bytes), part)
 
     placed = classes.join(roots.select(F.col("u").alias("dk"), F.col("v").alias("root")), "dk", "left").select("sig_a", "sig_b", "n", "least_id", F.coalesce("root", "dk").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("least"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as T
+from loomdex.operators import segment as S
 from loomdex.runtime import materialise
 
 
@@ -39,3 +40,21 @@ def refined(rows: DataFrame, summarise: Callable[[Column], Column], judge: Calla
         better = low & (F.coalesce("new_score", F.lit(-1.0)) > F.coalesce("score", F.lit(-1.0)))
         x = materialise(y.select(*rows.columns, F.when(better, F.col("new")).otherwise(F.col("summary")).alias("summary"), F.when(better, F.col("new_verdict")).otherwise(F.col("verdict")).alias("verdict"), F.when(better, F.col("new_score")).otherwise(F.col("score")).alias("score"), F.when(low, F.lit(i)).otherwise(F.col("rounds")).alias("rounds")), "summaries")
     return x.drop("verdict")
+
+
+def scored_window(rows: DataFrame, scorer: Callable[[list[str]], list[float] | None], window: int = 16, least: int = 3) -> DataFrame:
+    """The scorer's check: each conversation's first window of exchanges, scored once: (conv_id, boundary from 0, score, label, preview).
+    Conversations of fewer than `least` exchanges have no rows; a window without scores has zeros."""
+    w = Window.partitionBy("conv_id")
+    first = rows.withColumns({"n": F.count("*").over(w), "at": F.row_number().over(w.orderBy("exchange"))}).filter(F.col("n").between(least, 1 << 30) & (F.col("at") <= window))
+    numbered = first.select("conv_id", F.col("at").cast("long").alias("exchange"), "user", "assistant")
+    got = S.window_scores(numbered, scorer, (window,)).join(numbered, ["conv_id", "exchange"])
+    score = F.coalesce("score", F.lit(0.0))
+    names = F.array(*map(F.lit, ("no break", "weak", "moderate", "strong")))
+    return got.select("conv_id", (F.col("exchange") - 2).alias("boundary"), score.alias("score"), F.get(names, F.bround(score).cast("int")).alias("label"), F.substr("user", F.lit(1), F.lit(60)).alias("preview"))
+
+
+def score_summary(scored: DataFrame) -> DataFrame:
+    """Mean score, and how many breaks are strong (2.5 or more), moderate (1.5), weak (.5) or none."""
+    s = F.col("score")
+    return scored.groupBy("conv_id").agg(F.round(F.avg(s), 2).alias("mean"), F.count_if(s >= 2.5).alias("strong"), F.count_if((s >= 1.5) & (s < 2.5)).alias("moderate"), F.count_if((s >= 0.5) & (s < 1.5)).alias("weak"), F.count_if(s < 0.5).alias("none"))

@@ -259,6 +259,16 @@ def dependency_search(edges: DataFrame, file_path: str, codebase: str | None = N
     return rows.select("codebase", "source_file", "target_file", "edge_type", "metadata").orderBy("codebase", "source_file", "target_file", "edge_type").limit(max_results)
 
 
+def repo_dependencies(edges: DataFrame) -> DataFrame:
+    """(codebase, edge_count) of repositories' dependencies, the most first."""
+    return edges.filter("edge_type = 'repo_dependency'").groupBy("codebase").agg(F.count("*").alias("edge_count")).orderBy(F.desc("edge_count"), "codebase")
+
+
+def without_dependencies(edges: DataFrame, codebase: str, edge_type: str = "repo_dependency") -> DataFrame:
+    """All edges but one repository's dependencies."""
+    return edges.filter(~((F.col("edge_type") == edge_type) & (F.col("codebase") == codebase)))
+
+
 def high_value(symbols: DataFrame, edges: DataFrame, codebase: str, least: int = 5) -> DataFrame:
     """Symbols of files with enough incoming edges, or of entry points."""
     own = symbols.filter(F.col("codebase") == codebase)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,15 +76,32 @@ def bm25(rows: DataFrame, query: str, id_col: str = "id", columns: dict[str, flo
     return counted.filter(some).select("id", total.alias("score"))
 
 
-def postings(rows: DataFrame, id_col: str = "id", column: str = "content") -> DataFrame:
-    """The inverted index (term, id, tf, dl), for tables that are searched often; write it bucketed by term."""
-    t = rows.select(F.col(id_col).alias("id"), T.tokens(F.col(column)).alias("t"))
-    return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def _all_tokens(columns: tuple[str, ...]) -> Column:
+    return F.concat(*(T.tokens(F.col(c)) for c in columns))
+
+
+def postings(rows: DataFrame, id_col: str = "id", columns: tuple[str, ...] = ("content",)) -> DataFrame:
+    """The inverted index (term, id, tf, dl), for tables that are searched often; write it sorted by term. A text's terms are counted in its
+    own row, so nothing is shuffled."""
+    t = rows.select(F.col(id_col).alias("id"), F.array_sort(_all_tokens(columns)).alias("t"))
+    # Of a sorted array, a term's count is the distance between the starts of its run and the next.
+    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    t = t.filter(F.size("t") > 0).select("id", F.size("t").alias("dl"), "t", starts.alias("s"))
+    runs = F.transform("s", lambda i, k: F.struct(F.element_at("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl") + 1) - i).cast("long").alias("tf")))
+    return t.select("id", "dl", F.inline(runs)).select("term", "id", "tf", "dl")
+
+
+def lengths(rows: DataFrame, columns: tuple[str, ...] = ("content",)) -> tuple[int, float]:
+    """Number of rows and mean number of tokens: what an index needs besides its postings."""
+    n, average = rows.agg(F.count("*"), F.avg(F.size(_all_tokens(columns)))).first()
+    return n, average or 1.0
 
 
 def bm25_indexed(index: DataFrame, stats: tuple[int, float], query: str) -> DataFrame:
-    """The same score from an index: the filter on term prunes the scan to the query's lists."""
+    """The same score from an index: the filter on term prunes the scan to the query's lists. A term with underscores counts as its parts."""
     terms = [p for t in query_terms(query) for p in re.split("_+", t.lower()) if p]
+    if not terms:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
     n, average = stats
     weight = F.element_at(F.create_map(*(x for t in set(terms) for x in (F.lit(t), F.lit(terms.count(t))))), F.col("term"))
     hits = index.filter(F.col("term").isin(*set(terms)))
@@ -112,6 +131,21 @@ def cosine_scores(rows: DataFrame, query: list[float], id_col: str = "id", vec_c
     return rows.select(F.col(id_col).alias("id"), score.alias("score")).filter("score > 0")
 
 
+def distance_scores(rows: DataFrame, query: list[float], id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """(id, score): 1 - Euclidean distance."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    rows = rows.filter(F.col(vec_col).isNotNull() & (F.size(vec_col) == len(query)))
+    gap = F.zip_with(F.col(vec_col), q, lambda a, b: a.cast("double") - b)
+    return rows.select(F.col(id_col).alias("id"), (1 - V.norm(gap)).alias("score"))
+
+
+def code_scores(codes: DataFrame, query: list[float], k: int, bits: int = 4) -> DataFrame:
+    """(id, score) of stored codes (id, code4): inner products over all, then cosine of the best max(30, 3k) decoded."""
+    few = top(codes.select("id", "code4", V.code_dot(F.col("code4"), query, bits).alias("score")), max(30, 3 * k))
+    q = F.array(*(F.lit(float(x)) for x in query))
+    return few.select("id", V.cosine(V.dequantize(F.col("code4"), len(query), bits), q).alias("score")).filter("score > 0")
+
+
 def hamming_scores(rows: DataFrame, query: list[float], id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(id, distance) over sign codes; Spark's own bit operations."""
     q = V.sign_code(F.array(*(F.lit(float(x)) for x in query)))
@@ -119,13 +153,10 @@ def hamming_scores(rows: DataFrame, query: list[float], id_col: str = "id", vec_
 
 
 def two_stage(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding", bits: int = 4) -> DataFrame:
-    """4-bit inner products over all rows, then cosine of the decoded best max(30, 3k)."""
-    dims = len(query)
-    coded = rows.select(F.col(id_col).alias("id"), V.quantize(F.col(vec_col), dims, bits).alias("code"))
-    first = coded.select("id", "code", V.code_dot(F.col("code"), query, bits).alias("score"))
-    few = top(first, max(30, 3 * k))
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return top(few.select("id", V.cosine(V.dequantize(F.col("code"), dims, bits), q).alias("score")), k)
+    """4-bit inner products over all rows, then cosine of the decoded best max(30, 3k). Codes are made on the way; a store that is searched
+    often keeps them (`plans.jobs.quantized`) and asks `code_scores`."""
+    coded = rows.select(F.col(id_col).alias("id"), V.quantize(F.col(vec_col), len(query), bits).alias("code4"))
+    return top(code_scores(coded, query, k, bits), k)
 
 
 def three_stage(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding", coarse: int = 1000, middle: int = 50, bits: int = 4) -> DataFrame:
@@ -138,6 +169,35 @@ def three_stage(rows: DataFrame, query: list[float], k: int, id_col: str = "id",
     return top(fewer.select("id", V.cosine(F.col("v"), q).alias("score")).filter("score > 0"), k)
 
 
+def top_k_many(rows: DataFrame, queries: DataFrame, k: int, dims: int, query_rows: int = 2048, part_rows: int = 16_384) -> DataFrame:
+    """(query_id, id, score, rank): each query's k highest inner products among rows (id, embedding) of other ids, ties to the smaller id.
+
+    Blocks of queries meet parts of rows, both of bounded size, and a meeting leaves k rows a query; a last group limit merges them."""
+    blocks = max(1, -(-queries.count() // query_rows))
+    parts = max(1, -(-rows.count() // part_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"))
+    v = rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.array([np.asarray(x, np.float64) for x in s]).reshape(len(s), dims) for s in (left["q"], right["embedding"]))
+        ids, out = right["id"].to_numpy(), []
+        for at in range(0, len(a), 64):
+            some = a[at : at + 64]
+            s = np.zeros((len(some), len(b)))
+            for d in range(dims):  # in one order, so that equal vectors tie
+                s += some[:, d, None] * b[None, :, d]
+            s[left["query_id"].to_numpy()[at : at + 64, None] == ids[None, :]] = -np.inf
+            best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k] if len(b) else np.zeros((len(some), 0), int)
+            for i, own in enumerate(best):
+                out += [(left["query_id"].iloc[at + i], ids[j], s[i, j]) for j in own if s[i, j] > -np.inf]
+        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    hits = q.groupBy("block", "part").cogroup(v.groupBy("block", "part")).applyInPandas(meet, "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def temporal_scores(rows: DataFrame, query_day: str, limit: int, id_col: str = "id", date_col: str = "event_date") -> DataFrame:
     """exp(-d^2 / 98) over the 3 x limit nearest days, kept at 0.01 or more."""
     d = F.abs(F.datediff(F.col(date_col), F.lit(query_day).cast("date")))

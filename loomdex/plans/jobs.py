@@ -48,7 +48,7 @@ def index_curated(spark: SparkSession, root: str, store: J.Versioned, **options)
     seen = scan.curated(spark, root).withColumn("hash", T.content_hash(F.col("content")))
     old = store.read()
     if old is None:
-        return store.write(as_chunks(S.markdown_chunks(seen), **options).withColumn("file_hash", F.lit(None).cast("string")).drop("file_hash").join(seen.select("file_path", F.col("hash").alias("file_hash")), "file_path"))
+        return store.write(as_chunks(S.markdown_chunks(seen), **options).join(seen.select("file_path", F.col("hash").alias("file_hash")), "file_path"))
     stored = old.filter("source_kind = 'curated'").select("file_path", F.col("file_hash").alias("hash")).distinct()
     diff = J.changes(stored, seen)
     if diff.isEmpty():
@@ -148,6 +148,12 @@ def quantization_params(existing: DataFrame | None, model: str, dims: int, bits:
     return new if existing is None else J.replace_rows(existing, new, ["model_name", "dims", "bit_width"])
 
 
+def codes_match(rows: DataFrame, codes: DataFrame) -> bool:
+    """Whether a sidecar of codes has exactly one row for each vector: otherwise it is not used."""
+    n, m = rows.filter(F.col("embedding").isNotNull()).count(), codes.select("id").distinct().count()
+    return n == m == codes.count()
+
+
 def verify_quantized(rows: DataFrame, k: int = 10, queries: int = 20, floor: float = 0.90, vec: str = "embedding", id_col: str = "id") -> tuple[float, bool]:
     """Recall of two-stage search against exact cosine, over the first rows by hash; `queries` rows come to the driver."""
     asked = rows.filter(F.col(vec).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(queries).select(vec).collect()
@@ -178,6 +184,19 @@ def write_note(spark: SparkSession, root: str, file: str, content: str, append:
     return f"{root}/{file}"
 
 
+def write_and_index(spark: SparkSession, root: str, file: str, content: str, store: J.Versioned, append: bool = True, **options) -> int | None:
+    """A note written and the notes indexed by one holder of the store's lock; the note stays written where another holds it, for that one's
+    next run to take up."""
+    write_note(spark, root, file, content, append)
+    lock = J.FileLock(spark, store.root, "reindex.lock")
+    if not lock.acquire():
+        return None
+    try:
+        return index_curated(spark, root, store, **options)
+    finally:
+        lock.release()
+
+
 class StageTimer:
     """Seconds by stage of a job."""
 

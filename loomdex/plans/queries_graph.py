@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomdex.operators import graph as G
 from loomdex.plans import search as S
+from loomdex.plans.queries_retrieval import bm25_sql
 from loomdex.runtime import table
 
 QUERIES, SQL = {}, {}
@@ -81,10 +82,15 @@ def path_enum(spark, sf):
     return G.paths(edges(spark, sf), "p/7.java", max_depth=4).select("file", "depth", F.array_join("path", ">").alias("path"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, st AS (SELECT 'p/' || p_partkey || '.java' AS f FROM part WHERE p_name = (SELECT p_name FROM part WHERE p_partkey = 7)),
+r(f, p) AS (SELECT f, [f] FROM st UNION ALL SELECT t, list_append(p, t) FROM r JOIN e ON s = f WHERE len(p) <= 3 AND NOT list_contains(p, t)),
+b AS (SELECT f, p, row_number() OVER (PARTITION BY f ORDER BY len(p), p) AS k FROM r WHERE f NOT IN (SELECT f FROM st))
+SELECT 'repo' AS codebase, f AS file, (len(p) - 1)::INT AS depth, array_to_string(p, '>') AS path FROM b WHERE k = 1 ORDER BY depth, file LIMIT 50""")
 def graph_traverse(spark, sf):
+    """From all files that define a symbol of one name."""
     first = table(spark, sf, "part").filter("p_partkey = 7").first()["p_name"]
-    return G.graph_traverse(edges(spark, sf), symbols(spark, sf), first, "repo", max_depth=3, include_paths=True)
+    got = G.graph_traverse(edges(spark, sf), symbols(spark, sf), first, "repo", max_depth=3, include_paths=True)
+    return got.select("codebase", "file", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query(f"WITH {EDGES} SELECT 'repo' AS codebase, f AS file, count(*) AS degree FROM (SELECT s AS f FROM e UNION ALL SELECT t FROM e WHERE t <> s) GROUP BY f")
@@ -110,9 +116,54 @@ def dep_imports(spark, sf):
     return G.dependency_search(edges(spark, sf), "p/12.java", "repo").select("source_file", "target_file", "edge_type")
 
 
-@query(f"WITH {EDGES} SELECT s AS source_file, t AS target_file, k AS edge_type FROM e WHERE t = 's/12.java' AND k = 'import' ORDER BY 1, 2, 3 LIMIT 20")
+@query(f"WITH {EDGES} SELECT s AS source_file, t AS target_file, k AS edge_type FROM e WHERE t = 's/2.java' AND k = 'import' ORDER BY 1, 2, 3 LIMIT 20")
 def dep_imported_by(spark, sf):
-    return G.dependency_search(edges(spark, sf), "s/12.java", "repo", "imported_by", "import", 20).select("source_file", "target_file", "edge_type")
+    return G.dependency_search(edges(spark, sf), "s/2.java", "repo", "imported_by", "import", 20).select("source_file", "target_file", "edge_type")
+
+
+def builds(spark, sf):
+    """Each order as a dependency of its customer's repository: on a build artifact, or on another customer's repository."""
+    o = table(spark, sf, "orders")
+    build = F.col("o_orderkey") % 3 == 0
+    artifact = F.concat(F.lit("org.x:Lib-"), (F.col("o_orderkey") % 50).cast("string"), F.lit(":1"))
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("r"), (F.col("o_custkey") % 100).cast("string")).alias("codebase"), F.lit("pom.xml").alias("source_file"), F.when(~build, artifact).alias("target_file"), F.when(build, "build_dependency").otherwise("repo_dependency").alias("edge_type"), artifact.alias("metadata"), F.col("o_orderkey").alias("updated_at"))
+
+
+BUILDS = """o AS (SELECT 'r' || (o_custkey % 100) AS codebase, 'org.x:Lib-' || (o_orderkey % 50) || ':1' AS artifact, o_orderkey % 3 = 0 AS build FROM orders)"""
+
+
+@query(f"WITH {BUILDS} SELECT codebase, artifact AS metadata FROM o WHERE build AND artifact ILIKE '%lib-3%' ORDER BY 1, artifact LIMIT 40")
+def dep_depended_on_by(spark, sf):
+    """All rows of a codebase are alike but for the artifact, so the first 40 are taken by both."""
+    got = G.dependency_search(builds(spark, sf), "LIB-3", direction="depended_on_by", max_results=10**6)
+    return got.orderBy("codebase", "metadata").limit(40).select("codebase", "metadata")
+
+
+@query(f"WITH {BUILDS} SELECT codebase, artifact AS target_file FROM o WHERE NOT build AND codebase = 'r7' ORDER BY 2 LIMIT 50")
+def dep_repo_depends_on(spark, sf):
+    return G.dependency_search(builds(spark, sf), "r7", direction="repo_depends_on").select("codebase", "target_file")
+
+
+@query(f"WITH {BUILDS} SELECT codebase, artifact AS target_file FROM o WHERE NOT build AND artifact ILIKE '%lib-49:%' ORDER BY 1, 2 LIMIT 50")
+def dep_repo_depended_on_by(spark, sf):
+    return G.dependency_search(builds(spark, sf), "lib-49:", direction="repo_depended_on_by").select("codebase", "target_file")
+
+
+@query(f"WITH {BUILDS} SELECT codebase, count(*) AS edge_count FROM o WHERE NOT build GROUP BY 1")
+def repo_dependencies(spark, sf):
+    return G.repo_dependencies(builds(spark, sf))
+
+
+@query("""WITH m AS (SELECT 'r' || (p_partkey % 7) AS codebase, count(*) AS files, max(DATE '2024-01-01' + (p_size)::INT) AS last_indexed FROM part GROUP BY 1),
+d AS (SELECT 'r' || (doc_id % 5) AS codebase, count(*) AS chunks FROM documents GROUP BY 1)
+SELECT codebase, files, last_indexed, coalesce(chunks, 0) AS chunks FROM m LEFT JOIN d USING (codebase)""")
+def codebases(spark, sf):
+    """Documents as chunks of five codebases out of seven."""
+    p, d = table(spark, sf, "part"), table(spark, sf, "documents")
+    name = lambda c, n: F.concat(F.lit("r"), (F.col(c) % n).cast("string"))
+    meta = p.select(name("p_partkey", 7).alias("codebase"), F.col("p_partkey").cast("string").alias("file_path"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).alias("indexed_at"))
+    chunks = d.select(F.concat(F.lit("codebase:"), name("doc_id", 5), F.lit("/a.java")).alias("file_path"))
+    return S.codebases(meta, chunks)
 
 
 @query("SELECT p_partkey AS k, p_name AS name, p_brand AS label FROM part WHERE p_name ILIKE '%re%' ORDER BY 'p/' || p_partkey || '.java', p_size, p_name LIMIT 25")
@@ -192,6 +243,23 @@ def resolve_types(spark, sf):
     return G.resolve_types(e, there).select("source_file", "target_file")
 
 
+CALLS = """c AS (SELECT p_partkey AS call_id, 'm' || (p_partkey % 7) AS dir, p_name AS name, p_partkey % 50 = 0 AS odd FROM part),
+i AS (SELECT 'm' || (p_partkey % 7) AS dir, p_name AS name FROM part WHERE p_partkey % 11 = 0),
+s AS (SELECT DISTINCT p_name AS name, 'm' || (p_partkey % 9) AS dir, 'm' || (p_partkey % 9) || '/f' || p_partkey || '.java' AS target FROM part),
+u AS (SELECT name, min(target) AS target FROM s GROUP BY 1 HAVING count(DISTINCT target) = 1),
+h AS (SELECT call_id, 1 AS p, 'lib/x.java' AS t FROM c JOIN i USING (dir, name) WHERE NOT odd
+  UNION ALL SELECT call_id, 3, min(s.target) FROM c JOIN s USING (dir, name) WHERE NOT odd GROUP BY 1
+  UNION ALL SELECT call_id, 4, u.target FROM c JOIN u USING (name) WHERE NOT odd
+  UNION ALL SELECT call_id, 5, min(s.target) FROM c JOIN s USING (name) WHERE NOT odd GROUP BY 1)"""
+
+
+@query(f"""WITH {CALLS} SELECT call_id, arg_min(t, p) AS target_file, ['import_exact', '', 'same_module', 'unique_name', 'nearest'][min(p)] AS strategy FROM h GROUP BY 1""")
+def resolve_calls_by_name(spark, sf):
+    """The calls whose name is a symbol's own: all folders are one deep, so any folder but the caller's is as near."""
+    got = resolve_calls(spark, sf)
+    return got.filter("call_id % 50 <> 0").select("call_id", "target_file", "strategy")
+
+
 @query()
 def resolve_calls(spark, sf):
     p = table(spark, sf, "part")
@@ -201,8 +269,13 @@ def resolve_calls(spark, sf):
     return G.resolve_calls(calls, imports, symbols_)
 
 
-@query()
+@query(f"""WITH {bm25_sql(["the", "render"])}, {EDGES},
+k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 30),
+d AS (SELECT t, count(*) AS n FROM e GROUP BY t),
+x AS (SELECT k.id, rank, coalesce(n, 0) AS in_degree, 1.0::DOUBLE / (60 + rank) * (1 + ln(1 + coalesce(n, 0)) * 0.1) AS score, p_brand AS label FROM k LEFT JOIN d ON t = 'p/' || k.id || '.java' LEFT JOIN part ON p_partkey = k.id)
+SELECT id, 'p/' || id || '.java' AS rel_path, round(score, 9) AS score, in_degree, label FROM x ORDER BY x.score DESC, rank, id LIMIT 10""")
 def codebase_search(spark, sf):
     d = table(spark, sf, "documents")
     rows = d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("").alias("title"), F.concat(F.lit("codebase:repo/p/"), F.col("doc_id").cast("string"), F.lit(".java")).alias("file_path"))
-    return S.codebase_search(S.Catalog(rows, edges=edges(spark, sf), symbols=symbols(spark, sf)), "the render", "repo")
+    got = S.codebase_search(S.Catalog(rows, edges=edges(spark, sf), symbols=symbols(spark, sf)), "the render", "repo")
+    return got.select("id", "rel_path", F.round("score", 9).alias("score"), "in_degree", "label")

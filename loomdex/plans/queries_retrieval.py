@@ -43,14 +43,14 @@ def first_vector(spark: SparkSession, sf: str) -> list[float]:
 TOKENS = f"regexp_extract_all(translate(lower(coalesce(text, '')), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def bm25_sql(terms: list[str], rounding: int | None = 9) -> str:
+def bm25_sql(terms: list[str], tokens: str = TOKENS) -> str:
     """Terms without underscores; a repeated one counts again."""
     different = list(dict.fromkeys(terms))
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(different))
     df = ", ".join(f"sum((tf{i} > 0)::INT) AS df{i}" for i in range(len(different)))
     part = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for w in terms for i in [different.index(w)])
     some = " OR ".join(f"tf{i} > 0" for i in range(len(different)))
-    return f"""t AS (SELECT doc_id AS id, {TOKENS} AS t FROM documents),
+    return f"""t AS (SELECT doc_id AS id, {tokens} AS t FROM documents),
 c AS (SELECT id, len(t) AS dl, {tf} FROM t),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c),
 bm AS (SELECT id, {part} AS score FROM c, s WHERE {some})"""
@@ -72,8 +72,7 @@ def bm25_phrase(spark, sf):
 @query(f"WITH {bm25_sql(['the', 'render', 'of'])} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
 def bm25_inverted_index(spark, sf):
     rows = docs(spark, sf)
-    n, average = rows.agg(F.count("*"), F.avg(F.size(T.tokens(F.col("content"))))).first()
-    return R.top(R.bm25_indexed(R.postings(rows), (n, average), WORDS), 20).select("id", F.round("score", 6).alias("score"))
+    return R.top(R.bm25_indexed(R.postings(rows), R.lengths(rows), WORDS), 20).select("id", F.round("score", 6).alias("score"))
 
 
 COSINE = "list_sum(list_transform(list_zip(a.embedding, q.e), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q.e, lambda x: x::DOUBLE * x)))"
@@ -233,15 +232,37 @@ def search_filters(spark, sf):
     return got.select("id", F.round("score", 9).alias("score"))
 
 
-def catalog(spark, sf) -> S.Catalog:
-    first = first_vector(spark, sf)
-    rows = docs(spark, sf).join(vectors(spark, sf).select("id", "embedding"), "id", "left").withColumn("event_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")))
-    return S.Catalog(rows, entities=materialise(E.chunk_entities(rows, vocabulary=VOCABULARY), "entities"), embed=lambda q: first, vocabulary=VOCABULARY)
+_INDEXED: dict[tuple[str, str], S.Catalog] = {}
 
 
-@query()
+def catalog(spark, sf) -> S.Catalog:
+    """The documents as a store, with its index; built once a session and folder of tables, as a store's index is."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXED:
+        first = first_vector(spark, sf)
+        rows = docs(spark, sf).join(vectors(spark, sf).select("id", "embedding"), "id", "left").withColumn("event_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")))
+        _INDEXED[key] = S.indexed(S.Catalog(rows, embed=lambda q: first, vocabulary=VOCABULARY))
+    return _INDEXED[key]
+
+
+ASKED = "what the render of les did on 2024-01-20"
+TITLED = TOKENS.replace("coalesce(text, '')", "source || ' | ' || lang || ' ' || coalesce(text, '')")
+
+
+@query(f"""WITH {bm25_sql(["what", "the", "render", "of", "les", "did", "on", "2024", "01", "20"], TITLED)}, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+co AS (SELECT vec_id AS id, {COSINE} AS score FROM embeddings a, q WHERE {COSINE} > 0 AND vec_id IN (SELECT doc_id FROM documents)),
+te AS (SELECT doc_id AS id, abs(doc_id % 60 - 19) AS days FROM documents ORDER BY days, id LIMIT 180),
+en AS (SELECT chunk_id AS id, count(DISTINCT entity_value) / 3.0 AS score FROM ({TOOL_ROWS}) WHERE entity_value IN ('render', 'the', 'les') GROUP BY 1),
+u AS (SELECT id, 0 AS list_no, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 60
+  UNION ALL SELECT id, 1, row_number() OVER (ORDER BY score DESC, id) AS rank FROM co QUALIFY rank <= 60
+  UNION ALL SELECT id, 2, row_number() OVER (ORDER BY exp(-power(days, 2) / 98.0) DESC, id) AS rank FROM te WHERE exp(-power(days, 2) / 98.0) >= 0.01 QUALIFY rank <= 60
+  UNION ALL SELECT id, 3, row_number() OVER (ORDER BY score DESC, id) AS rank FROM en QUALIFY rank <= 60),
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list_no) AS list_no, arg_min(rank, list_no) AS rank FROM u GROUP BY id)
+SELECT row_number() OVER (ORDER BY round(f.score, 12) DESC, f.list_no, f.rank, f.id)::INT AS position, f.id, round(f.score, 9) AS score, d.source || ' | ' || d.lang AS title, 'curated' AS source, DATE '2024-01-01' + (f.id % 60)::INT AS entry_date
+FROM f JOIN documents d ON d.doc_id = f.id ORDER BY position LIMIT 10""")
 def memory_search(spark, sf):
-    return S.memory_search(catalog(spark, sf), "what the render of les did on 2024-01-20", 10)
+    got = S.memory_search(catalog(spark, sf), ASKED, 10)
+    return got.select("position", "id", F.round("score", 9).alias("score"), "title", "source", "entry_date")
 
 
 @query()
@@ -249,6 +270,39 @@ def deep_search(spark, sf):
     return S.memory_deep_search(catalog(spark, sf), "render on 2024-01-20", 10)
 
 
+@query()
+def deep_search_filtered(spark, sf):
+    """Both passes keep to the dates and the source."""
+    return S.memory_deep_search(catalog(spark, sf), "render on 2024-01-20", 10, after="2024-01-10", before="2024-02-05", source="curated")
+
+
+@query(f"""WITH {bm25_sql(["the", "render"], TITLED)}
+SELECT id, round(1 / (1 + bm.score), 9) AS score, 'keyword' AS match_type FROM bm ORDER BY round(1 / (1 + bm.score), 9) DESC, id LIMIT 15""")
+def keyword_mode(spark, sf):
+    """Scores of a full-text rank: 1 / (1 - rank), the rank being the negative score."""
+    got = S.search(catalog(spark, sf), "the render", "keyword", 10**6)
+    return got.select("id", F.round("score", 9).alias("score"), "match_type").orderBy(F.desc("score"), "id").limit(15)
+
+
+DISTANCE = "sqrt(list_sum(list_transform(list_zip(a.embedding, q.e), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))))"
+
+
+@query(f"""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
+SELECT vec_id AS id, round(1 - {DISTANCE}, 6) AS score, 'vector' AS match_type FROM embeddings a, q WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY {DISTANCE}, id LIMIT 10""")
+def vector_mode_by_distance(spark, sf):
+    got = S.search(catalog(spark, sf), "any", "vector", 10, min_score=-1e9, metric="l2")
+    return got.select("id", F.round("score", 6).alias("score"), "match_type")
+
+
+@query()
+def packed_search(spark, sf):
+    """Half of the vectors are packed codes; the rest, float vectors alone, are a list that is fused with theirs."""
+    own = catalog(spark, sf)
+    codes = vectors(spark, sf).filter("id % 2 = 0").select("id", V.quantize(F.col("embedding"), 64).alias("code4"))
+    got = S.memory_search(S.replace(own, codes=materialise(codes, "codes")), ASKED, 10, use=("vector",))
+    return got.select("position", "id", F.round("score", 9).alias("score"))
+
+
 @query("SELECT 'curated' AS source, count(*) AS chunks, count(DISTINCT doc_id) AS files, sum((doc_id NOT IN (SELECT vec_id FROM embeddings))::INT)::BIGINT AS without_embedding FROM documents")
 def store_status(spark, sf):
     return S.status(catalog(spark, sf))
@@ -260,9 +314,9 @@ SELECT ql AS category, count(DISTINCT qid) AS queries, round(avg((l = ql)::INT),
 def recall_at_k(spark, sf):
     """Labels as relevance; a stated query set against all rows."""
     v = vectors(spark, sf)
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("category"))
-    pairs = v.join(F.broadcast(q), F.col("id") != F.col("qid")).select("qid", "category", "id", "label", V.dot(F.col("q"), F.col("embedding")).alias("s"))
-    best = pairs.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "id"))).filter("k <= 10")
+    best = R.top_k_many(v, v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 10, 64)
+    side = lambda key, label: v.select(F.col("id").alias(key), F.col("label").alias(label))
+    best = best.withColumnRenamed("query_id", "qid").join(side("id", "label"), "id").join(side("qid", "category"), "qid")
     return best.groupBy("category").agg(F.count_distinct("qid").alias("queries"), F.round(F.avg((F.col("label") == F.col("category")).cast("int")), 6).alias("precision_at_10"))
 
 

@@ -149,7 +149,21 @@ def event_dates(spark, sf):
     return e.select("event_id", T.event_date(content, F.lit(None).cast("string"), path, F.col("d")).alias("day"))
 
 
-@query()
+@query("""SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN ts::DATE WHEN 1 THEN ts::DATE WHEN 2 THEN date_trunc('month', ts)::DATE + 14 ELSE NULL END AS day FROM events""")
 def matching_query_date(spark, sf):
-    q = F.element_at(F.array(*map(F.lit, ("what about 2024-02-03", "notes of March 5, 2024", "the april 2024 plan", "last monday", "nothing"))), (F.col("id") + 1).cast("int"))
-    return spark.range(5).select("id", T.query_date(q, F.lit("2024-05-15").cast("date")).alias("day"))
+    """Questions that name an event's day by ISO date or in English, its month alone, or none."""
+    e = table(spark, sf, "events").withColumn("d", F.col("ts").cast("date"))
+    n = F.col("event_id") % 4
+    q = F.when(n == 0, F.concat(F.lit("what about "), F.col("d").cast("string"), F.lit("?"))).when(n == 1, F.concat(F.lit("notes of "), F.date_format("d", "MMMM d, yyyy"))).when(n == 2, F.concat(F.lit("the "), F.lower(F.date_format("d", "MMMM yyyy")), F.lit(" plan"))).otherwise(F.lit("nothing"))
+    return e.select(F.col("event_id").alias("id"), T.query_date(q, F.lit("2024-05-15").cast("date")).alias("day"))
+
+
+@query(f"""WITH {EXCHANGES}, o AS (SELECT conv_id, exchange, (conv_id + exchange) % 6 AS v, a FROM k)
+SELECT conv_id, exchange::BIGINT AS exchange, v IN (0, 1) OR (v = 3 AND trim(a, ' ' || chr(10) || chr(9) || chr(13)) = '') OR v = 4 AS noise FROM o""")
+def session_noise(spark, sf):
+    """Exchanges with known openings and parts put in: opening; opening; opening after a space; part; part without an answer; none."""
+    x = S.exchanges(turns(spark, sf)).withColumn("v", (F.col("conv_id") + F.col("exchange")) % 6)
+    mark = F.element_at(F.array(*map(F.lit, ("Edit operation feedback ", "Write operation feedback: ", " Edit operation feedback ", "see PreToolUse ", "a local-command-caveat ", "so "))), (F.col("v") + 1).cast("int"))
+    user = F.concat(mark, "user")
+    answer = F.when(F.col("v") == 4, F.lit(" \n")).otherwise(F.col("assistant"))
+    return x.select("conv_id", F.col("exchange").cast("long").alias("exchange"), T.is_noise(user, answer).alias("noise"))

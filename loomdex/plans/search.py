@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomdex.functions import entities as E
 from loomdex.functions import text as T
 from loomdex.operators import retrieve as R
+from loomdex.runtime import materialise
 
 
 @dataclass
@@ -22,6 +23,9 @@ class Catalog:
     edges: DataFrame | None = None
     symbols: DataFrame | None = None
     files: DataFrame | None = None
+    postings: DataFrame | None = None  # term, id, tf, dl over title and content, with `stats`
+    stats: tuple[int, float] | None = None  # rows, mean length
+    codes: DataFrame | None = None  # id, code4: packed vectors; ids without one keep their float vector
     addons: dict[str, "Catalog"] = field(default_factory=dict)
     embed: Callable[[str], list[float]] | None = None
     vocabulary: list[str] | None = None
@@ -36,29 +40,89 @@ def query_literals(catalog: Catalog, query: str, as_of: str) -> tuple[str | None
     return row["d"], [(x["entity_type"], x["entity_value"]) for x in row["e"]]
 
 
-def signals(catalog: Catalog, rows: DataFrame, query: str, width: int, as_of: str, use: tuple[str, ...] = ("keyword", "vector", "temporal", "entity")) -> list[DataFrame]:
-    """Ranked lists of the signals that the query and the tables allow, in the order keyword, vector, temporal, entity."""
+def indexed(catalog: Catalog) -> Catalog:
+    """The same store with its tables of search: dated chunks, entities and postings, written once to the shared folder. Searches then
+    read a few columns of them: terms prune the postings, and only the texts that are shown are read."""
+    rows = materialise(_dated(catalog.chunks), "chunks")
+    found = catalog.entities if catalog.entities is not None else materialise(E.chunk_entities(rows, vocabulary=catalog.vocabulary), "entities")
+    index = materialise(R.postings(rows, columns=("title", "content")).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    n, average = R.lengths(rows, columns=("title", "content"))
+    return replace(catalog, chunks=rows, entities=found, postings=index, stats=(n, average))
+
+
+def keyword_scores(catalog: Catalog, rows: DataFrame, query: str, narrowed: bool = False) -> DataFrame:
+    """(id, score) of the keyword signal: from the postings where the store has them, else from the texts."""
+    if catalog.postings is None or any("_" in t for t in R.query_terms(query)):  # an index of single terms knows no phrases
+        return R.bm25(rows, query, columns={"content": 1.0, "title": 1.0})
+    scored = R.bm25_indexed(catalog.postings, catalog.stats, query)
+    return scored.join(rows.select("id"), "id", "left_semi") if narrowed else scored
+
+
+def vector_scores(catalog: Catalog, rows: DataFrame, query: list[float], width: int) -> list[DataFrame]:
+    """The vector signal's list, already ranked: cosine over float vectors; where the store has packed codes, their list fused
+    with that of the rows that have a float vector alone."""
+    if catalog.codes is None:
+        return [R.ranked(R.cosine_scores(rows, query), 1, width)]
+    packed = catalog.codes.join(rows.select("id"), "id", "left_semi")
+    coded = R.ranked(R.code_scores(packed, query, width), 0, width)
+    rest = R.ranked(R.cosine_scores(rows.join(catalog.codes.select("id"), "id", "left_anti"), query), 1, width)
+    both = R.fuse([coded, rest]).orderBy(*R.fused_order()).limit(width)
+    return [both.select("id", F.lit(1).alias("list_no"), F.row_number().over(Window.orderBy(*R.fused_order())).alias("rank"))]
+
+
+def signals(catalog: Catalog, rows: DataFrame, query: str, width: int, as_of: str, use: tuple[str, ...] = ("keyword", "vector", "temporal", "entity"), narrowed: bool = False) -> list[DataFrame]:
+    """Ranked lists of the signals that the query and the tables allow, in the order keyword, vector, temporal, entity.
+    `narrowed`: `rows` are some of the store's."""
     day, wanted = query_literals(catalog, query, as_of)
     lists = []
     if "keyword" in use and R.query_terms(query):
-        lists.append(R.ranked(R.bm25(rows, query, columns={"content": 1.0, "title": 1.0}), 0, width))
+        lists.append(R.ranked(keyword_scores(catalog, rows, query, narrowed), 0, width))
     if "vector" in use and catalog.embed is not None and "embedding" in rows.columns:
-        lists.append(R.ranked(R.cosine_scores(rows, catalog.embed(query)), 1, width))
+        lists += vector_scores(catalog, rows, catalog.embed(query), width)
     if "temporal" in use and day and "event_date" in rows.columns:
         lists.append(R.ranked(R.temporal_scores(rows, day, width), 2, width))
     if "entity" in use and wanted and catalog.entities is not None:
-        found = catalog.entities.join(rows.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+        found = catalog.entities.join(rows.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi") if narrowed else catalog.entities
         lists.append(R.ranked(R.entity_scores(found, wanted), 3, width))
     return lists
 
 
+MODES = {"vector": ("vector",), "keyword": ("keyword",), "hybrid": ("keyword", "vector")}
+
+
+def search(catalog: Catalog, query: str, mode: str = "hybrid", limit: int = 10, min_score: float = 0.0, metric: str = "cosine") -> DataFrame:
+    """(id, score, match_type) by one signal's own scores, or the two fused. `metric` "l2": the vector score is 1 - distance."""
+    if limit <= 0:
+        return catalog.chunks.select("id", F.lit(0.0).alias("score"), F.lit("").alias("match_type")).limit(0)
+    wanted = MODES[mode]
+    lists = {}
+    if "vector" in wanted and catalog.embed is not None:
+        q = catalog.embed(query)
+        lists["vector"] = R.distance_scores(catalog.chunks, q) if metric == "l2" else R.cosine_scores(catalog.chunks, q)
+    if "keyword" in wanted and R.query_terms(query):
+        scored = keyword_scores(catalog, catalog.chunks, query)
+        lists["keyword"] = scored.select("id", R.bm25_score(-F.col("score")).alias("score"))
+    if len(lists) == 2:
+        return R.hybrid(lists["vector"], lists["keyword"], limit, min_score)
+    for kind, scored in lists.items():
+        return R.top(scored.filter(F.col("score") >= min_score), limit).select("id", "score", F.lit(kind).alias("match_type"))
+    return search(catalog, query, mode, 0)
+
+
 def _dated(rows: DataFrame) -> DataFrame:
     """project and entry_date: columns where they are, else from the title, else from the path."""
+    if "entry_date" in rows.columns and "project" in rows.columns:
+        return rows
     project = F.col("project") if "project" in rows.columns else F.lit(None).cast("string")
     own = F.col("event_date") if "event_date" in rows.columns else F.lit(None).cast("date")
     return rows.withColumns({"project": F.coalesce(project, T.title_project(F.col("title"))), "entry_date": F.coalesce(T.day(T.title_date(F.col("title"))), T.day(T.date_from_path(F.col("file_path"))), own)})
 
 
+def narrowing(catalog: Catalog, after: str | None = None, before: str | None = None, project: str | None = None, source: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The filters of a search, on dated rows."""
+    return lambda d: R.by_project(R.by_date(R.by_source(d, source), after, before), project, user=catalog.user)
+
+
 def memory_search(catalog: Catalog, query: str, max_results: int = 10, min_score: float = 0.0, after: str | None = None, before: str | None = None, project: str | None = None, source: str | None = None, as_of: str = "2025-01-01", compat: bool = False, use: tuple[str, ...] = ("keyword", "vector", "temporal", "entity")) -> DataFrame:
     """Signals, fusion, filters, two results a conversation, and display columns.
 
@@ -67,10 +131,10 @@ def memory_search(catalog: Catalog, query: str, max_results: int = 10, min_score
     if source in catalog.addons:
         return addon_search(catalog.addons[source], source, query, max_results, min_score)
     rows = _dated(catalog.chunks)
-    narrow = lambda d: R.by_project(R.by_date(R.by_source(d, source), after, before), project, user=catalog.user)
+    narrow = narrowing(catalog, after, before, project, source)
     filtered = bool(after or before or project or source)
     width = max_results * (5 if filtered else 3) * 2
-    lists = signals(catalog, rows if compat else narrow(rows), query, width, as_of, use)
+    lists = signals(catalog, rows if compat else narrow(rows), query, width, as_of, use, narrowed=filtered and not compat)
     if not lists:
         return _shown(R.fuse([rows.select("id", F.lit(0).alias("list_no"), F.lit(0).alias("rank")).limit(0)]).join(rows, "id"), catalog, max_results)
     fused = R.fuse(lists).filter(F.col("score") >= min_score)
@@ -99,6 +163,16 @@ def addon_search(addon: Catalog, name: str, query: str, max_results: int = 10, m
     return _shown(F.broadcast(best).join(rows, "id"), addon, max_results).withColumn("source", F.lit(name))
 
 
+def codebases(meta: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(codebase, files, last_indexed, chunks) of each codebase, by name; `meta` has codebase, file_path, indexed_at."""
+    got = meta.groupBy("codebase").agg(F.count("*").alias("files"), F.max("indexed_at").alias("last_indexed"))
+    if chunks is None:
+        return got.withColumn("chunks", F.lit(0).cast("long")).orderBy("codebase")
+    own = F.regexp_extract("file_path", r"^codebase:([^/]+)/", 1)
+    n = chunks.filter(F.col("file_path").startswith("codebase:")).groupBy(own.alias("codebase")).agg(F.count("*").alias("chunks"))
+    return got.join(n, "codebase", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long"))).orderBy("codebase")
+
+
 def choose_addons(found: DataFrame, model: str) -> DataFrame:
     """(stem, path, precedence, model): of each stem the first by precedence, if its model fits or isn't told."""
     w = Window.partitionBy("stem").orderBy("precedence", "path")
@@ -112,26 +186,29 @@ def new_entities(results: DataFrame, known: list[tuple[str, str]], vocabulary: l
     return list(dict.fromkeys((r["entity_type"], r["entity_value"]) for r in rows if (r["entity_type"], r["entity_value"]) not in have))
 
 
-def memory_deep_search(catalog: Catalog, query: str, max_results: int = 10, min_score: float = 0.0, as_of: str = "2025-01-01", **filters) -> DataFrame:
-    """A second pass by the entities that the first pass's best results name: (hop, position, ...). Ranked on unrounded score, then hop, then id."""
-    first = memory_search(catalog, query, 2 * max_results, 0.0, as_of=as_of, **filters).cache()
-    _, known = query_literals(catalog, query, as_of)
-    full = first.join(catalog.chunks.select("id", "content"), "id")
-    fresh = new_entities(full, known, catalog.vocabulary)
-    hops = [first.withColumn("hop", F.lit(1))]
-    if fresh:
-        width = 2 * max_results
-        rows = _dated(catalog.chunks)
+def memory_deep_search(catalog: Catalog, query: str, max_results: int = 10, min_score: float = 0.0, as_of: str = "2025-01-01", max_hops: int = 1, after: str | None = None, before: str | None = None, project: str | None = None, source: str | None = None) -> DataFrame:
+    """A second pass by the entities that the snippets of the first pass's five best results name and the query doesn't; both passes keep
+    to the filters. (hop, position, ...), hop 0 or 1. Ranked on unrounded score, then hop, then id. Without hops, or new entities, the
+    first pass stands alone."""
+    filters = {"after": after, "before": before, "project": project, "source": source}
+    first = materialise(memory_search(catalog, query, 2 * max_results, 0.0, as_of=as_of, **filters).withColumn("hop", F.lit(0)), "first-pass")
+    every = first
+    if max_hops > 0 and source not in catalog.addons:
+        _, known = query_literals(catalog, query, as_of)
+        fresh = new_entities(first.withColumn("content", F.col("snippet")), known, catalog.vocabulary)
+        width = 3 * max_results
+        rows = narrowing(catalog, **filters)(_dated(catalog.chunks))
+        narrowed = any(filters.values())
         lists = []
-        if catalog.entities is not None:
-            lists.append(R.ranked(R.entity_scores(catalog.entities, fresh), 0, width))
+        if fresh and catalog.entities is not None:
+            found = catalog.entities.join(rows.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi") if narrowed else catalog.entities
+            lists.append(R.ranked(R.entity_scores(found, fresh), 0, width))
         terms = " ".join(v for _, v in fresh[:10])
         if R.query_terms(terms):
-            lists.append(R.ranked(R.bm25(rows, terms, columns={"content": 1.0, "title": 1.0}), 1, width))
+            lists.append(R.ranked(keyword_scores(catalog, rows, terms, narrowed), 1, width))
         if lists:
             more = F.broadcast(R.fuse(lists)).join(rows, "id").join(F.broadcast(first.select("id")), "id", "left_anti")
-            hops.append(_shown(more, catalog, width).withColumn("hop", F.lit(2)))
-    every = hops[0] if len(hops) == 1 else hops[0].unionByName(hops[1])
+            every = first.unionByName(_shown(more, catalog, 2 * width).withColumn("hop", F.lit(1)))
     order = [F.desc("score"), F.col("hop"), F.col("id")]
     every = R.session_cap(every.filter(F.col("score") >= min_score), order=order)
     return every.orderBy(*order).limit(max_results).withColumn("position", F.row_number().over(Window.orderBy(*order)))
@@ -140,7 +217,7 @@ def memory_deep_search(catalog: Catalog, query: str, max_results: int = 10, min_
 def codebase_search(catalog: Catalog, query: str, codebase: str | None = None, max_results: int = 10) -> DataFrame:
     """Keyword and vector over code chunks of one codebase, boosted by in-degree, with a label of the file's symbol."""
     rows = catalog.chunks.filter(F.col("file_path").startswith(f"codebase:{codebase}/" if codebase else "codebase:"))
-    lists = signals(catalog, rows, query, max_results * 3, "2025-01-01", ("keyword", "vector"))
+    lists = signals(catalog, rows, query, max_results * 3, "2025-01-01", ("keyword", "vector"), narrowed=True)
     empty = rows.select("id", F.lit(0).alias("list_no"), F.lit(0).alias("rank")).limit(0)
     got = F.broadcast(R.fuse(lists or [empty])).join(rows.select("id", "file_path", "title", "content"), "id")
     got = got.withColumns({"codebase": F.regexp_extract("file_path", r"^codebase:([^/]+)/", 1), "rel_path": F.regexp_extract("file_path", r"^codebase:[^/]+/(.*)$", 1)})

@@ -136,3 +136,16 @@ def rendered(rows: DataFrame) -> DataFrame:
     got = rows.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("exchange", part.alias("text")))).alias("x"), F.min("session").alias("session"), F.min("cwd").alias("cwd"), F.min("ts").alias("ts"))
     head = F.concat(F.lit("Session: "), F.coalesce("session", F.lit("")), F.lit("\nProject: "), F.coalesce("cwd", F.lit("")), F.lit("\nDate: "), F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("")))
     return got.select("file_path", F.concat(head, F.lit("\n\n"), F.array_join(F.transform("x", lambda i: i["text"]), "\n\n")).alias("content"))
+
+
+def short_exchanges(rows: DataFrame, most: int = 500) -> DataFrame:
+    """The validator's reading of records: a user record with text opens an exchange, the next assistant record with text closes it; a user
+    nobody answers has an empty answer. Text blocks are joined by a space; both sides are stripped, then cut."""
+    blocks = F.from_json("content", schema.BLOCKS)
+    joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), " ")
+    text = T.strip(F.when(F.ltrim(F.col("content")).startswith("["), F.coalesce(joined, F.lit(""))).otherwise(F.coalesce("content", F.lit(""))))
+    said = rows.select("file_path", "line", "type", text.alias("text")).filter(F.col("type").isin("user", "assistant") & (F.col("text") != ""))
+    w = Window.partitionBy("file_path").orderBy("line")
+    said = said.withColumns({"exchange": F.sum((F.col("type") == "user").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead(F.struct("type", "text")).over(w)})
+    cut = lambda c: F.substr(c, F.lit(1), F.lit(most))
+    return said.filter("type = 'user'").select("file_path", "exchange", cut(F.col("text")).alias("user"), F.when(F.col("next.type") == "assistant", cut(F.col("next.text"))).otherwise(F.lit("")).alias("assistant"))

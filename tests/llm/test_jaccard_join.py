@@ -50,7 +50,7 @@ def corpus(rng, groups=6, copies=14):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 4, "unit_sets": 5, "block_bytes": 4000, "slice_bytes": 900}, {"unit_sets": 2}, {"rows_per_bucket": 3, "hot": 2}])
+@pytest.mark.parametrize("options", [{}, {"hot": 4, "unit_sets": 5, "meet_sets": 3, "block_bytes": 4000, "slice_bytes": 900}, {"unit_sets": 2}, {"rows_per_bucket": 3, "hot": 2}])
 def test_classes_equal_brute_force(spark, docs, options):
     for seed in range(2):
         texts = corpus(random.Random(seed))

@@ -1,7 +1,9 @@
 import hashlib
 import hmac
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomdex.runtime import shared_path
@@ -34,6 +36,96 @@ def test_versions(spark):
     assert store.version() == 3 and store.backups(2) == [2, 3] and store.read().count() == 3
 
 
+def test_writers_claim_versions(spark):
+    rows = lambda n: spark.createDataFrame([("a", n)], "k string, v int")
+    store = J.Versioned(spark, shared_path(spark, "t"))
+    assert store.write(rows(1)) == 1 and store.write(rows(2), base=1) == 2
+    with pytest.raises(J.Conflict):
+        store.write(rows(3), base=1)  # made for version 1, which another writer has moved on from
+    store.folder.put("claims/3", "x")  # a writer that is at work
+    with pytest.raises(J.Conflict):
+        store.write(rows(4))
+    store.stale = -1.0  # or has died
+    rows(9).write.parquet(f"{store.root}/v3")
+    assert store.write(rows(4)) == 3 and store.read().first()["v"] == 4
+    lock = J.FileLock(spark, store.root)
+    with lock:
+        assert not J.FileLock(spark, store.root).acquire() and J.FileLock(spark, store.root, stale=-1.0).acquire()
+    assert lock.acquire()
+    assert spark.read.parquet(store.backup(shared_path(spark, "backup"), "2025-01-01")).first()["v"] == 4
+
+
+def test_buckets_rewrite_only_what_changes(spark):
+    store = J.Bucketed(spark, shared_path(spark, "b"), "file_path", buckets=8)
+    rows = lambda d: spark.createDataFrame(list(d.items()), "file_path string, v int")
+    want = {f"f{i}": i for i in range(40)}
+    assert store.read() is None and store.write(rows(want)) == 1
+    first = store.places(1)
+    store.replace(rows({"f3": 0}).select("file_path"), rows({"f5": 50, "new": 1}), "file_path")
+    want = {k: v for k, v in want.items() if k != "f3"} | {"f5": 50, "new": 1}
+    assert {r["file_path"]: r["v"] for r in store.read().collect()} == want
+    second = store.places(2)
+    assert 0 < sum(second[b] != first[b] for b in first) <= 3
+    store.upsert(rows({"f7": 70}).withColumn("extra", F.lit("x")), "file_path")
+    want["f7"] = 70
+    assert {r["file_path"]: r["v"] for r in store.read().collect()} == want and "extra" in store.read().columns
+    assert store.backups(1) == [3] and {r["file_path"]: r["v"] for r in store.read().collect()} == want
+    store.replace(rows(want).select("file_path"), rows(want).limit(0), "file_path")
+    assert store.places(4) == {} and store.read() is None
+
+
+def test_reindex_and_cascades(spark):
+    store = J.Bucketed(spark, shared_path(spark, "chunks"), "file_path", buckets=4)
+    trees = {"s1": {"a.py": "1", "b.py": "2"}, "s2": {"a.py": "9", "c.py": "3"}}
+    snapshot = lambda repo, sha: spark.createDataFrame(list(trees[sha].items()), "file_path string, content string")
+    changed = lambda repo, a, b: spark.createDataFrame([("M", "a.py"), ("D", "b.py"), ("A", "c.py")], "status string, path string")
+    job = {"repo_name": "r", "before_sha": J.NULL_SHA, "after_sha": "s1"}
+    for repo in ("other", "r"):
+        assert J.reindex(store, snapshot, lambda d: d, job | {"repo_name": repo}, changed) == "full"
+    assert J.reindex(store, snapshot, lambda d: d, job | {"before_sha": "s1", "after_sha": "s2"}, changed) == "incremental"
+    want = {"codebase:other/a.py": "1", "codebase:other/b.py": "2", "codebase:r/a.py": "9", "codebase:r/c.py": "3"}
+    assert {r["file_path"]: r["content"] for r in store.read().collect()} == want
+    chunks = spark.createDataFrame([("1", "x.md"), ("2", "x.md"), ("3", "y.md")], "id string, file_path string")
+    hang = spark.createDataFrame([("1", "e"), ("3", "f")], "chunk_id string, v string")
+    got = J.delete_files(chunks.filter("file_path = 'x.md'"), chunks, hang, hang, chunks.select("id"))
+    assert {k: [r["chunk_id" if "chunk_id" in v.columns else "id"] for r in v.collect()] for k, v in got.items()} == {"chunks": ["3"], "entities": ["3"], "relations": ["3"], "index": ["3"]}
+    files = spark.createDataFrame([("m.md", "h", None)], "file_path string, content_hash string, summary string")
+    assert J.stored_revision(files, "r") is None
+    files = J.store_revision(J.store_revision(files, "r", "s1"), "r", "s2")
+    assert J.stored_revision(files, "r") == "s2" and files.count() == 2
+
+
+def test_mirrors(spark, tmp_path):
+    from loomdex.sources import mirrors as M
+
+    origin = tmp_path / "origin"
+    origin.mkdir()
+    run = lambda *a: M.git("-c", "user.name=t", "-c", "user.email=t@example.org", *a, cwd=str(origin))
+    run("init", "-q", "-b", "main")
+    (origin / "a.py").write_text("x = 1\n")
+    (origin / "old.py").write_text("one\ntwo\nthree\n")
+    (origin / "b.bin").write_bytes(b"\0\1")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    mirrors = M.Mirrors(spark, str(tmp_path / "mirrors"))
+    mirrors.ensure("r", str(origin))
+    first = mirrors.revision("r", "main")
+    (origin / "old.py").rename(origin / "new.py")
+    (origin / "a.py").write_text("x = 2 é\n")
+    run("add", "-A")
+    run("commit", "-qm", "two")
+    mirrors.ensure("r", str(origin))
+    second = mirrors.revision("r", "main")
+    assert {r["file_path"]: r["content"] for r in mirrors.snapshot("r", first).collect()} == {"a.py": "x = 1\n", "old.py": "one\ntwo\nthree\n"}
+    assert {tuple(r) for r in mirrors.changed("r", first, second).collect()} == {("M", "a.py"), ("D", "old.py"), ("A", "new.py")}
+    assert {r["file_path"] for r in mirrors.tree("r", second).collect()} == {"a.py", "b.bin", "new.py"}
+    with pytest.raises(ValueError):
+        mirrors.path("../x")
+    assert mirrors.evict() == []
+    os.utime(f"{mirrors.path('r')}/HEAD", (0, 0))
+    assert mirrors.evict() == ["r"] and not os.path.exists(mirrors.path("r"))
+
+
 def push(repo, before, after, ref="refs/heads/main"):
     return json.dumps({"ref": ref, "before": before, "after": after, "repository": {"name": repo, "clone_url": "u"}})
 
@@ -49,8 +141,18 @@ def test_push_queue(spark):
     src, done = shared_path(spark, "in"), []
     events.write.parquet(src)
     queue = J.Versioned(spark, shared_path(spark, "queue"))
-    J.run_queue(spark.readStream.schema(events.schema).parquet(src), queue, shared_path(spark, "cp"), work=lambda job: done.append(job["repo_name"])).awaitTermination()
-    assert sorted(done) == ["r", "t"] and queue.read().filter("status = 'done'").count() == 2
+
+    def work(job):
+        state = queue.read().filter(F.col("repo_name") == job["repo_name"]).first()
+        done.append((job["repo_name"], state["status"], state["attempts"]))
+        if job["repo_name"] == "r":
+            raise ValueError("no such revision")
+        return {"diff": 1.5}
+
+    J.run_queue(spark.readStream.schema(events.schema).parquet(src), queue, shared_path(spark, "cp"), work=work, retries=1).awaitTermination()
+    assert done == [("r", "processing", 1), ("r", "processing", 2), ("t", "processing", 1)]
+    got = {r["repo_name"]: (r["status"], r["error"], r["timing"]) for r in queue.read().collect()}
+    assert got == {"r": ("failed", "ValueError: no such revision", None), "t": ("done", None, {"diff": 1.5})}
 
 
 def test_health(spark):
@@ -64,6 +166,31 @@ def test_health(spark):
     assert tuple(spark.range(1).select(J.slowest_stage(timing), J.total_time(timing)).first()) == ("b", 4.0)
 
 
+def test_percentile_equals_sorting(spark):
+    import random
+
+    rng = random.Random(2)
+    for n in (1, 2, 19, 20, 21, 40, 100, 3000):
+        spent = [rng.choice([rng.random(), 0.25]) for _ in range(n)]
+        jobs = spark.createDataFrame([("done", 100.0 - s, 100.0) for s in spent], "status string, a double, b double").select("status", F.timestamp_micros((F.col("a") * 1e6).cast("long")).alias("created_at"), F.timestamp_micros((F.col("b") * 1e6).cast("long")).alias("completed_at"))
+        assert abs(J.health(jobs, F.timestamp_seconds(F.lit(200))).first()["p95_ms"] - 1000 * sorted(spent)[min(int(0.95 * n), n - 1)]) < 0.01
+
+
+def test_short_exchanges_and_scored_windows(spark, tmp_path):
+    from loomdex.operators import evaluate
+
+    record = lambda kind, content: json.dumps({"type": kind, "message": {"content": content}})
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/s.jsonl").write_text("\n".join([record("assistant", "too early"), record("user", " one "), record("assistant", ""), record("assistant", [{"type": "text", "text": "first"}, {"type": "tool_use", "name": "X"}, {"type": "text", "text": "answer"}]), record("assistant", "second"), record("user", "two"), record("user", "x" * 900), record("assistant", "y" * 900)]))
+    got = scan.short_exchanges(scan.records(scan.conversation_files(spark, str(tmp_path)))).orderBy("exchange").collect()
+    assert [(r["user"], r["assistant"]) for r in got] == [("one", "first answer"), ("two", ""), ("x" * 500, "y" * 500)]
+    rows = spark.createDataFrame([(1, i, f"user {i}", "") for i in range(1, 21)] + [(2, i, "u", "a") for i in range(1, 3)], "conv_id long, exchange long, user string, assistant string")
+    marks = evaluate.scored_window(rows, lambda w: [9.0, 2.0, 0.5, -1.0])
+    seen = {r["boundary"]: (r["score"], r["label"], r["preview"]) for r in marks.collect()}
+    assert len(seen) == 15 and seen[0] == (3.0, "strong", "user 2") and seen[1] == (2.0, "moderate", "user 3") and seen[2] == (0.5, "no break", "user 4") and seen[14][0] == 0.0
+    assert tuple(evaluate.score_summary(marks).first()) == (1, 0.37, 1, 1, 1, 12)
+
+
 def test_scans(spark, tmp_path):
     def put(name, text):
         p = tmp_path / name

@@ -29,7 +29,7 @@ def test_notes(spark, tmp_path):
 def test_sessions(spark, tmp_path):
     record = lambda kind, text: json.dumps({"type": kind, "sessionId": "s", "timestamp": "2025-03-01T00:00:00Z", "message": {"content": text}})
     (tmp_path / "proj").mkdir()
-    (tmp_path / "proj/s1.jsonl").write_text("\n".join([record("user", "Fix Jira bug"), record("assistant", "done"), record("user", "<command-name>x"), record("assistant", "y")]))
+    (tmp_path / "proj/s1.jsonl").write_text("\n".join([record("user", "Fix Jira bug"), record("assistant", "done"), record("user", "Edit operation feedback: x"), record("assistant", "y"), record("user", "Base directory for this skill: z"), record("assistant", " ")]))
     store = J.Versioned(spark, shared_path(spark, "talks"))
     assert P.index_sessions(spark, str(tmp_path), store) == 1 and P.index_sessions(spark, str(tmp_path), store) is None
     r = store.read().first()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomdex.functions import entities as E
 from loomdex.functions import vectors as V
 from loomdex.operators import evaluate, retrieve as R
 from loomdex.plans import search as S
@@ -97,3 +98,93 @@ def test_refinement(spark):
     judge = lambda t, s: F.concat(F.lit("SCORE: "), F.when(s.contains("better") | (t == "t2"), "9").otherwise("5"), F.lit("/10\nFEEDBACK: better"))
     got = {r["transcript"]: (r["summary"], r["score"], r["rounds"]) for r in evaluate.refined(rows, lambda t: t, judge, lambda t, s, f: F.concat(s, F.lit(" "), f)).collect()}
     assert got == {"t1": ("t1 better", 9.0, 1), "t2": ("t2", 9.0, 0)}
+
+
+def store(spark):
+    """Chunks whose first pass names people that lead to others, over dates, projects and kinds of source."""
+    rows = [
+        ("a", "memory/2024-01-10.md", "n", "alpha plan by Ann Lee"),
+        ("b", "memory/2024-01-12.md", "n", "Ann Lee likes tea"),
+        ("c", "memory/2023-05-01.md", "n", "Ann Lee of old"),
+        ("d", "conversations/p/1.jsonl", "proj1 | 2024-01-11", "Ann Lee spoke"),
+        ("e", "conversations/q/2.jsonl", "proj2 | 2024-01-11", "Ann Lee again"),
+        ("f", "codebase:x/y.py", "y", "Ann Lee in code"),
+        ("g", "memory/2024-01-15.md", "z", "nothing of note"),
+    ]
+    chunks = spark.createDataFrame(rows, "id string, file_path string, title string, content string")
+    return S.Catalog(chunks, entities=E.chunk_entities(chunks))
+
+
+@pytest.mark.parametrize("ready", [False, True])
+def test_deep_search_keeps_to_its_filters(spark, ready):
+    catalog = S.indexed(store(spark)) if ready else store(spark)
+    hops = lambda **k: {r["id"]: r["hop"] for r in S.memory_deep_search(catalog, "alpha", 10, **k).collect()}
+    assert hops() == {"a": 0, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1}
+    assert hops(max_hops=0) == {"a": 0}
+    assert hops(after="2024-01-01", before="2024-01-11") == {"a": 0, "d": 1, "e": 1}
+    assert hops(source="curated") == {"a": 0, "b": 1, "c": 1}
+    assert hops(project="proj1") == {"a": 0, "b": 1, "c": 1, "d": 1, "f": 1}
+    assert hops(after="2025-01-01") == {}
+    assert hops(min_score=0.5) == {}
+
+
+def test_deep_search_takes_entities_from_the_snippet(spark):
+    chunks = spark.createDataFrame([("a", "memory/a.md", "n", "alpha " + "x " * 600 + "Ann Lee"), ("b", "memory/b.md", "z", "Ann Lee")], "id string, file_path string, title string, content string")
+    got = S.memory_deep_search(S.Catalog(chunks, entities=E.chunk_entities(chunks)), "alpha", 10).collect()
+    assert [r["id"] for r in got] == ["a"]
+
+
+def test_index_gives_the_same_scores(spark):
+    rows = spark.createDataFrame([(i, x, f"t{i} fox") for i, x in enumerate(TEXTS)], "id long, content string, title string")
+    index, stats = R.postings(rows, columns=("title", "content")), R.lengths(rows, columns=("title", "content"))
+    for q in ("quick fox", "the the", "foo bar foo", "zzz"):
+        a, b = ({r["id"]: r["score"] for r in df.collect()} for df in (R.bm25(rows, q, columns={"content": 1.0, "title": 1.0}), R.bm25_indexed(index, stats, q)))
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_modes(spark):
+    rng = np.random.RandomState(5)
+    rows = [(i, f"word{i % 3} text", "t", rng.randn(8).tolist()) for i in range(30)]
+    catalog = S.Catalog(spark.createDataFrame(rows, "id long, content string, title string, embedding array<double>"), embed=lambda q: rows[4][3])
+    assert {r["match_type"] for r in S.search(catalog, "word1", "keyword", 50).collect()} == {"keyword"}
+    near = [(r["id"], r["score"]) for r in S.search(catalog, "word1", "vector", 5, min_score=-99.0, metric="l2").collect()]
+    gaps = sorted((float(np.linalg.norm(np.array(v) - rows[4][3])), i) for i, _, _, v in rows)[:5]
+    assert [i for i, _ in near] == [i for _, i in gaps] and all(abs(s - (1 - g)) < 1e-9 for (_, s), (g, _) in zip(near, gaps))
+    both = S.search(catalog, "word1", "hybrid", 10).collect()
+    assert both[0]["id"] == 4 and both[0]["match_type"] == "hybrid" and len(both) == 10
+    assert S.search(catalog, "word1", "hybrid", 0).count() == 0 and S.search(catalog, "!!", "keyword").count() == 0
+
+
+def test_codes_and_float_vectors_are_fused(spark):
+    rng = np.random.RandomState(8)
+    x = rng.randn(60, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, "c", "t", v.tolist()) for i, v in enumerate(x)], "id long, content string, title string, embedding array<double>")
+    codes = rows.filter("id % 2 = 0").select("id", V.quantize(F.col("embedding"), 64).alias("code4"))
+    q = x[7].tolist()
+    (got,) = S.vector_scores(S.Catalog(rows, codes=codes), rows, q, 10)
+    ranks = {r["id"]: r["rank"] for r in got.collect()}
+    back = np.array([list(r["v"]) for r in codes.orderBy("id").select(V.dequantize(F.col("code4"), 64).alias("v")).collect()])
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    lists = [sorted(((s, i) for s, i in zip(-(unit(back) @ x[7]), range(0, 60, 2)) if s < 0))[:10], sorted((s, i) for s, i in zip(-(x[1::2] @ x[7]), range(1, 60, 2)) if s < 0)[:10]]
+    fused = {}
+    for no, own in enumerate(lists):
+        for rank, (_, i) in enumerate(own, 1):
+            fused[i] = (-1 / (60 + rank), no, rank, i)
+    assert ranks == {i: n for n, i in enumerate(sorted(fused, key=fused.get)[:10], 1)}
+
+
+def test_any_encoding(spark):
+    x = np.random.RandomState(1).randn(64)
+    x /= np.linalg.norm(x)
+    blobs = [(3 * x).astype("<f4").tobytes(), V.Quantizer(64, 4).encode(x[None])[0].tobytes(), str((2 * x).tolist()).encode(), b"[1, 2]", b"abc", None, np.zeros(64, "<f4").tobytes()]
+    got = [r["v"] for r in spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "id int, b binary").orderBy("id").select(V.any_encoding(F.col("b"), 64).alias("v")).collect()]
+    assert np.allclose(got[0], x, atol=1e-6) and np.dot(got[1], x) > 0.98 and np.allclose(got[2], x) and got[3:] == [None] * 4
+
+
+def test_top_k_many_equals_brute_force(spark):
+    x = np.random.RandomState(3).randint(-3, 4, (90, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = R.top_k_many(rows, rows.filter("id % 9 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 4, 4, query_rows=3, part_rows=20)
+    want = {(q, i, k) for q in range(0, 90, 9) for k, (_, i) in enumerate(sorted((-(x[q] @ x[i]), i) for i in range(90) if i != q)[:4], 1)}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want
