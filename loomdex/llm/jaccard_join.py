@@ -364,7 +364,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return set_classes(rows, ["doc_id"], **bounds).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 256, unit_bytes: int = 8 << 20, meet_sets: int = 1500, meet_bytes: int = 16 << 20) -> DataFrame:
+def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 1024, unit_bytes: int = 16 << 20) -> DataFrame:
     """The `passed` columns (whole numbers), n (set size), class (a number of the row's class of links, null without a set) and
     least (the class's smallest value of the first passed column), for every row. Bounds are of memory alone: no pair is lost to them."""
     spark = on_workers(rows.sparkSession)
@@ -397,7 +397,7 @@ def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows
     again = large.select("leader", part(F.col("parts"), 1).alias("i"), F.lit(1).alias("j"), "dk", F.col("dk").alias("label"))
     roots = components(forest(whole.unionByName(again)))
     if not large.isEmpty():
-        roots = across(large, roots, forest, fits(meet_sets, meet_bytes), part)
+        roots = across(large, roots, forest, fits(unit_sets, unit_bytes), part)
 
     placed = classes.join(roots.select(F.col("u").alias("dk"), F.col("v").alias("root")), "dk", "left").select("sig_a", "sig_b", "n", "least_id", F.coalesce("root", "dk").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("least"))
