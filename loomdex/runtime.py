@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,18 +42,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and driver and executors are one process, a
+    folder of our own; on a cluster that would be a folder of one machine, so it is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="loomdex-")
+        atexit.register(shutil.rmtree, got[len("file://") :], True)
         spark.conf.set("spark.checkpoint.dir", got)
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh folder name under the shared root."""
-    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared root; `release` removes it."""
+    path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Removes the folders that this application's operators have made, but for the first `since`; their results can't be read any more.
+    A long-lived session calls it once it has written a query's result. Returns how many are left."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in made[since:]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del made[since:]
+    return len(made)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
