@@ -97,10 +97,15 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path
 
 def redacted(text: Column, findings: Column, sign: str = "[SECRET]") -> Column:
     """The text with each finding, or run of overlapping findings, replaced."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(sign))).otherwise(a["out"]).alias("out"))
-    done = F.aggregate(F.sort_array(F.transform(findings, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), zero, step)
-    return F.concat(done["out"], F.substr(text, done["at"] + 1))
+    places = F.transform(findings, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    runs = F.transform(S.clusters(places), lambda c: F.struct(c[0]["start"].alias("start"), F.array_max(F.transform(c, lambda s: s["end"])).alias("end")))
+
+    def joined(parts: Column, r: Column) -> Column:
+        before = F.transform(r, lambda x, i: F.concat(S.cut(parts, F.when(i > 0, F.get(r, i - 1)["end"]).otherwise(0), x["start"]), F.lit(sign)))
+        rest = S.cut(parts, F.coalesce(F.try_element_at(r, F.lit(-1))["end"], F.lit(0)), F.size(parts) * S.BLOCK)
+        return F.concat(F.array_join(before, ""), rest)
+
+    return S.let(S.blocks(text), lambda parts: S.let(runs, lambda r: joined(parts, r)))
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
