@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.llm import spans as S
+
 SIGN = "␛"
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 #: In the order of their digits, from 1.
@@ -72,13 +74,10 @@ def read_back(chats: DataFrame) -> DataFrame:
     message = F.filter(F.split("formatted", r"\Q" + END + r"\E", -1), lambda m: m != "")
     body = F.transform(message, lambda m: F.struct(unescaped_role(F.substring_index(F.substr(m, F.lit(len(START) + 1)), "\n", 1)).alias("role"), F.split(F.substr(m, F.instr(m, "\n") + 1), F.lit(r"\Q" + SEP + r"\E"), F.lit(-1)).alias("texts")))
     turns = F.flatten(F.transform(body, lambda m: F.transform(m["texts"], lambda t: F.struct(m["role"].alias("role"), unescaped(t).alias("text")))))
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("texts"))
-    under = F.aggregate(
-        "mask",
-        zero,
-        lambda a, m: F.struct((a["at"] + m["chars"]).alias("at"), F.when(m["loss"], F.concat(a["texts"], F.array(F.substr(F.col("formatted"), a["at"], m["chars"])))).otherwise(a["texts"]).alias("texts")),
-        lambda a: a["texts"],
-    )
+    # Where each run ends, and the text under those that count, cut from blocks: a long conversation costs what its text is long.
+    ends = S.running(F.transform("mask", lambda m: m["chars"]), lambda a, b: a + b)
+    runs = F.filter(F.arrays_zip(F.col("mask").alias("m"), ends.alias("end")), lambda r: r["m"]["loss"])
+    under = S.let(S.blocks(F.col("formatted")), lambda parts: F.transform(runs, lambda r: S.cut(parts, r["end"] - r["m"]["chars"], r["end"])))
     return chats.select("conv_id", "formatted", turns.alias("turns"), F.transform(under, unescaped).alias("loss_texts"))
 
 

@@ -8,7 +8,12 @@ also inverts the transform, upsamples chroma and converts to RGB.
 
 Cases. Null text counts as empty: 64 zero bytes. Equal texts give equal files, tensors and features (all arithmetic is in whole numbers).
 Texts too long for one image (65535 lines: 24 MB) go on in further images, one after another in the media column.
-An empty table gives an empty result. Other columns are not read.
+Repeated rows and null ids are rows like others. An empty table gives an empty result. Kept columns are passed on by place, whatever
+their names; others are not read.
+
+The query writes the media column to the shared folder (Parquet with zstd), reads it back from there, and computes its figures from the
+bytes read. Tensors are what `to_tensors` stores where they are wanted; the query keeps of each a feature alone, as three samples a
+pixel of text would be three times the input on disk.
 """
 
 from __future__ import annotations
@@ -20,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from loomdex.llm import files
 from loomdex.llm import progressive as P
-from loomdex.runtime import on_workers
+from loomdex.runtime import on_workers, shared_path
 
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 MOST = 4095  # MCUs to an image
@@ -124,60 +130,80 @@ def feature(x: np.ndarray) -> str:
     return f"{x.shape[0]}x{x.shape[1]}:{means}:{zlib.crc32(np.ascontiguousarray(x)):08x}"
 
 
+def passed(rows: DataFrame, keep: list[str], value: Column, made: list[K.StructField]) -> tuple[DataFrame, K.StructType]:
+    """Kept columns by place and a value, and the schema of the kept columns with what is made of it."""
+    names = [f"c{i}" for i in range(len(keep))]
+    got = rows.select(*(F.col(files.quoted(c)).alias(n) for c, n in zip(keep, names)), value.alias("v"))
+    return got, K.StructType([*(K.StructField(n, got.schema[n].dataType) for n in names), *made])
+
+
 def to_media(docs: DataFrame, keep: list[str], text_col: str = "text", chunk_bytes: int = 2 << 20) -> DataFrame:
     """`keep` columns and media (binary)."""
+    on_workers(docs.sparkSession)
+    rows, schema = passed(docs, keep, F.col(files.quoted(text_col)).cast("string"), [K.StructField("media", K.BinaryType())])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = files.plain(batch.column(batch.num_columns - 1))
             for a, b in files.slices(np.diff(files.buffers(text)[1]), chunk_bytes):
                 media = store(*files.buffers(text.slice(a, b - a)))
-                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + [pa.array(media, pa.binary())], names=[*batch.schema.names[:-1], "media"])
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + [pa.array(media, pa.binary())], names=names)
 
-    on_workers(docs.sparkSession)
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, media binary")
+    return rows.mapInArrow(run, schema).toDF(*keep, "media")
 
 
-def to_tensors(media: DataFrame, keep: list[str], media_col: str = "media", at_once: int = 64) -> DataFrame:
-    """`keep` columns, height, width and rgb (binary, row by row) of each media value."""
+def each_chunk(names: list[str], chunk_bytes: int, columns):
+    """Rows whose last column is media, in slices of about `chunk_bytes`: the other columns, and what `columns` makes of the media read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, at_once):
-                some = batch.slice(a, at_once)
-                full = Read(some.column(batch.num_columns - 1).to_pylist()).tensors()
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array([x.shape[0] for x in full], pa.int32()), pa.array([x.shape[1] for x in full], pa.int32()), pa.array([x.tobytes() for x in full], pa.binary())], names=[*batch.schema.names[:-1], "height", "width", "rgb"])
+            media = batch.column(batch.num_columns - 1)
+            sizes = np.array([len(m) for m in media.to_pylist()], np.int64)
+            for a, b in files.slices(sizes, chunk_bytes):
+                some = media.slice(a, b - a).to_pylist()
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *columns(some, Read(some))], names=names)
 
+    return run
+
+
+def to_tensors(media: DataFrame, keep: list[str], media_col: str = "media", chunk_bytes: int = 2 << 20) -> DataFrame:
+    """`keep` columns, height, width and rgb (binary, row by row) of each media value: the column of full-resolution tensors."""
     on_workers(media.sparkSession)
-    rows = media.filter(F.col(f"`{media_col}`").isNotNull()).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{media_col}`").alias("_media"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, height int, width int, rgb binary")
+    made = [K.StructField("height", K.IntegerType()), K.StructField("width", K.IntegerType()), K.StructField("rgb", K.BinaryType())]
+    rows, schema = passed(media.filter(F.col(files.quoted(media_col)).isNotNull()), keep, F.col(files.quoted(media_col)), made)
+
+    def tensors(some: list[bytes], back: Read) -> list[pa.Array]:
+        full = back.tensors()
+        return [pa.array([x.shape[0] for x in full], pa.int32()), pa.array([x.shape[1] for x in full], pa.int32()), pa.array([x.tobytes() for x in full], pa.binary())]
+
+    return rows.mapInArrow(each_chunk(schema.names, chunk_bytes, tensors), schema).toDF(*keep, "height", "width", "rgb")
+
+
+def write_media(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The media column as files in the shared folder, read back from them."""
+    path = shared_path(docs.sparkSession, "media")
+    media = to_media(docs, keep, text_col)
+    media.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(media.schema).parquet(path)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digests(chunk_bytes: int):
-    """Store and read back in one task, a chunk at a time; every figure comes from the stored bytes."""
+def digests(chunk_bytes: int = 2 << 20):
+    """(doc_id, media) to its figures, all from the stored bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = files.plain(batch.column(1))
-            for a, b in files.slices(np.diff(files.buffers(text)[1]), chunk_bytes):
-                media = store(*files.buffers(text.slice(a, b - a)))
-                back = Read(media)
-                payloads = back.payloads()
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                columns = [back.n_bytes, [len(p) for p in payloads], map(sha, payloads), [zlib.crc32(p[-64:]) for p in payloads], map(len, media), map(sha, media), map(feature, back.tensors())]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = [c.split()[0] for c in DIGEST.split(", ")]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=names)
+    def columns(media: list[bytes], back: Read) -> list[pa.Array]:
+        payloads = back.payloads()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        got = [back.n_bytes, [len(p) for p in payloads], map(sha, payloads), [zlib.crc32(p[-64:]) for p in payloads], map(len, media), map(sha, media), map(feature, back.tensors())]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return [pa.array(list(c), k) for c, k in zip(got, kinds)]
 
-    return run
+    return each_chunk([c.split()[0] for c in DIGEST.split(", ")], chunk_bytes, columns)
 
 
 def op3_progressive_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(digests(2 << 20), DIGEST)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return write_media(docs, ["doc_id"]).select("doc_id", "media").mapInArrow(digests(), DIGEST)

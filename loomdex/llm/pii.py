@@ -170,11 +170,13 @@ def fit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     real = sample.select("id", S.let(spans["phone"], lambda p: F.transform(candidates(text), lambda c: F.struct(label(c, p).cast("int").alias("wanted"), c.alias("c")))).alias("x"))
     order = F.xxhash64("id", "x.c.start", "x.c.rank")
     real = real.select("id", F.explode("x").alias("x")).filter("x.wanted is not null").orderBy(order, "id", "x.c.start").limit(most).select((F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(4)) == 0).alias("held"), F.col("x.c.rank").alias("rank"), "x.wanted", *(F.col(f"x.c.{k}") for k in FEATURES))
-    words = spark.range(PLANTED).withColumn("n", F.pmod("id", F.lit(max(1, sample.count()))))
+    # One context a document: 28 signs before and 12 after the place where a planted number goes.
     at = F.pmod(F.xxhash64("id", F.lit("at")), F.greatest(F.length("text") - 40, F.lit(1))).cast("int")
-    numbered = sample.select("text", (F.row_number().over(Window.orderBy(F.xxhash64("id"), "text")) - 1).alias("n")).filter(F.col("n") < PLANTED).select("n", F.substr("text", F.lit(1), F.lit(4000)).alias("text"))
     side = lambda start, size: F.coalesce(F.regexp_replace(F.substr("text", start, F.lit(size)), "[0-9@+()\\[\\]-]", ""), F.lit(""))
-    contexts = words.join(F.broadcast(numbered), "n", "left").select("id", side(at + 1, 28).alias("left"), side(at + 29, 12).alias("right"))
+    order = Window.orderBy(F.xxhash64("id"), "left", "right")
+    sides = materialise(sample.select("id", side(at + 1, 28).alias("left"), side(at + 29, 12).alias("right")).withColumn("n", F.row_number().over(order) - 1).select("n", "left", "right"), "pii-contexts")
+    places = spark.range(PLANTED).withColumn("n", F.pmod("id", F.lit(max(1, sides.count()))))
+    contexts = places.join(F.broadcast(sides.filter(F.col("n") < PLANTED)), "n", "left").select("id", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"))
     own = planted(contexts).select("id", "wanted", "rank", F.explode(candidates(text)).alias("c")).select((F.pmod("id", F.lit(4)) == 0).alias("held"), "c.rank", F.when(F.col("c.rank") == F.col("rank"), F.col("wanted")).otherwise(0).alias("wanted"), *(F.col(f"c.{k}") for k in FEATURES))
     return real.unionByName(own)
 

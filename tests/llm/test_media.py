@@ -52,16 +52,37 @@ def payload(t):
     return b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
 
 
-def test_query(spark, docs, odd):
+def slow_feature(media):
+    """The feature by the textbook: each block's inverse transform as a sum of cosines, chroma repeated, RGB by the JFIF formula, in
+    whole numbers as the codec rounds them; here from the general path, an image at a time."""
+    read = M.Read([media])
+    full = np.concatenate([P.tensor(read.coefs[b : b + x.layout.blocks], x) for b, x in zip(read.base, read.images)])
+    means = [int(full[:, :, c].astype(np.int64).sum()) * 100 // (full.shape[0] * full.shape[1]) for c in range(3)]
+    return f"{full.shape[0]}x{full.shape[1]}:{','.join(map(str, means))}:{zlib.crc32(full.tobytes()):08x}"
+
+
+def test_query(spark, docs, odd, tmp_path):
     texts = [*odd, "\x7f\x81あいう" * 100]
-    df = docs(texts).select("doc_id", "text").repartition(2)
-    got = {r["doc_id"]: r for r in df.mapInArrow(M.digests(1 << 12), M.DIGEST).collect()}
-    for i, t in enumerate(texts):
+    ids = [None, *range(1, len(texts))]
+    docs(texts, ids).repartition(2).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in M.op3_progressive_media(spark, f"file://{tmp_path}").collect()}
+    assert len(got) == len(texts) and list(got[1].asDict())[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    stored = {r["doc_id"]: r["media"] for r in M.to_media(docs(texts, ids), ["doc_id"]).collect()}
+    for i, t in zip(ids, texts):
         p, r = payload(t), got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len((t or "").encode()), len(p), zlib.crc32(p[-64:]))
-        assert r["payload_sha256"] == hashlib.sha256(p).hexdigest()
-    assert got[8][1:] == got[9][1:] and got[0][1:] == got[1][1:]
-    assert docs([]).select("doc_id", "text").mapInArrow(M.digests(1 << 12), M.DIGEST).count() == 0
+        assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["media_sha256"] == hashlib.sha256(stored[i]).hexdigest()
+        assert r["media_bytes"] == len(stored[i]) and r["feature"] == slow_feature(stored[i])
+    assert got[8][1:] == got[9][1:] and got[None][1:] == got[1][1:]
+    docs([]).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    assert M.op3_progressive_media(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_columns_of_any_name(spark, docs):
+    d = docs(["x" * 500]).withColumnsRenamed({"score": "v", "lang": "media", "source": "c0"})
+    media = M.to_media(d, ["doc_id", "v", "c0", "media"]).toDF("doc_id", "v", "c0", "rgb", "bytes")
+    got = M.to_tensors(media, ["v", "rgb"], "bytes").collect()
+    assert got[0][0] == "clash" and got[0][1] == "en" and len(got[0][4]) == got[0][2] * got[0][3] * 3
 
 
 def test_tensors_and_many_images(spark, docs):
