@@ -1,11 +1,14 @@
 """Secret scans over a ledger of content-addressed blobs.
 
 Every historical version of a path is a blob named by its SHA-256. The ledger has a row for each blob and
-rule version that has been scanned, with its findings. A scan takes the distinct blobs, drops the pairs the ledger
-knows, runs only what is left, appends it, and joins findings back to all paths that hold the blob, old or
+rule version that has been scanned, with its findings. A scan takes the distinct addresses, drops the pairs the ledger
+knows, fetches the texts of what is left alone, runs it, appends it, and joins findings back to all paths that hold the blob, old or
 new. Only DataFrame functions run. Copies meet first in each map task (partial aggregation), so a blob that holds a
 third of all rows is one row a task; the join back splits a hot blob's paths, whose other side has one row.
 
+The query scans in two steps, as a store does that has been scanned before: blobs of half the addresses into a new ledger, then all
+versions against that ledger, which fetches and scans the other half alone.
+
 Cases. Null text is the empty blob; so is empty text. Null paths stay. Repeated versions give a row each. An
 empty table gives an empty result and adds nothing. Offsets are code points. Only the two named columns are
 read, so extra columns may have any name. Texts are scanned whole.
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm import spans as S
-from loomdex.runtime import shared_path
+from loomdex.runtime import materialise, shared_path
 
 #: Fixed patterns. For the first three: leftmost matches, those too short are dropped without a second try.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -57,19 +60,22 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: dict | None = None, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(added, by_blob): the ledger rows this scan adds, written to the shared folder, and for each blob that the whole
     ledger has findings of: blob, findings = array<struct<rule,start,end>> by start, then rule as listed."""
     rules = RULES if rules is None else rules
     spark = versions.sparkSession
-    rows = versions.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    blobs = rows.groupBy(address(F.col("text")).alias("blob")).agg(F.first("text").alias("text"))
+    rows = versions.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     current = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version")) for r, (v, _) in rules.items()))
     if ledger is None:
-        work = blobs.withColumn("todo", current)
+        work = rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", current)
     else:
         done = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
-        work = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(current, F.coalesce("done", F.array().cast("array<struct<rule:string,version:int>>")))).filter(F.size("todo") > 0)
+        asked = rows.select("blob").distinct().join(done, "blob", "left")
+        left = F.array_except(current, F.coalesce("done", F.array().cast("array<struct<rule:string,version:int>>")))
+        unseen = materialise(asked.select("blob", left.alias("todo")).filter(F.size("todo") > 0), "secret-work")
+        few = F.broadcast(unseen) if unseen.count() <= broadcast_rows else unseen
+        work = rows.join(few, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
     due = lambda r, v: F.array_contains("todo", F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version")))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     each = [F.when(due(r, v), F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version"), bare(f(F.col("text"))).alias("findings"))) for r, (v, f) in rules.items()]
@@ -109,7 +115,9 @@ def redacted(text: Column, findings: Column, sign: str = "[SECRET]") -> Column:
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, back = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), path="doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before, _ = scan_blobs(docs.filter(address(F.col("text")) < "8"))
+    _, back = scan(docs, before, path="doc_id")
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["rule"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("findings", lambda s: s["rule"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("findings", lambda s: s["rule"].isin(*BASE))

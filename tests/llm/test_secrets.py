@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -40,6 +41,28 @@ def test_ledger(spark, docs):
     assert S.scan(docs([]), path="doc_id")[1].count() == 0
 
 
+def test_query_equals_plain_search(spark, docs, odd, tmp_path):
+    """The registered query's columns, from both steps of its scan, over repeated and null ids too."""
+    texts = [*odd, "token = abcdefgh1", "token = abcdefgh1", "x AKIAABCDEFGH1234 " + "0f" * 16, "é secret: 'longvalue123'"]
+    ids = [None, *range(1, len(texts) - 1), 1]
+    docs(texts, ids).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted((tuple(r)[:6] for r in S.op7_secret_ledger(spark, f"file://{tmp_path}").collect()), key=repr)
+    want = []
+    for i, t in zip(ids, texts):
+        found = base(t or "")
+        count = lambda k: sum(x[0] == k for x in found)  # noqa: B023, E731
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
+        want.append((i, count("assign"), count("access"), count("hex"), digest))
+    assert [x[:5] for x in got] == sorted(want, key=repr)
+
+
+def test_only_unseen_texts_are_fetched(spark, docs):
+    first, _ = S.scan_blobs(docs(["a", "token = abcdefgh1"]))
+    for rows in (200_000, 0):
+        added, by_blob = S.scan_blobs(docs(["a", "token = abcdefgh1", "password=12345678", "password=12345678"]), first, broadcast_rows=rows)
+        assert added.select("blob").distinct().count() == 1 and by_blob.count() == 2
+
+
 def test_redaction(spark, docs):
     t = "a password=12345678 b AKIAABCDEFGH1234 c"
     _, found = S.scan_blobs(docs([t]))
