@@ -162,9 +162,12 @@ def collapsed(edges: DataFrame, edge_types: tuple[str, ...] = CALL_TYPES) -> Dat
     return rows.select("codebase", F.least("source_file", "target_file").alias("a"), F.greatest("source_file", "target_file").alias("b")).distinct().withColumn("w", F.lit(1.0))
 
 
-def communities(edges: DataFrame, edge_types: tuple[str, ...] = CALL_TYPES) -> DataFrame:
-    """(codebase, file_path, community_id, modularity): a codebase's graph is one group, as a repository's files are bounded.
-    `label_propagation` serves graphs beyond that."""
+def communities(edges: DataFrame, edge_types: tuple[str, ...] = CALL_TYPES, most: int = 1_000_000) -> DataFrame:
+    """(codebase, file_path, community_id, modularity). A codebase of up to `most` pairs of files is one task's graph; larger ones, by count,
+    are moved in rounds of joins."""
+    pairs = materialise(collapsed(edges, edge_types), "pairs")
+    sizes = pairs.groupBy("codebase").agg(F.count("*").alias("n"))
+    large = materialise(sizes.filter(F.col("n") > most).select("codebase"), "large")
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(df["a"]) | set(df["b"]))
@@ -176,7 +179,62 @@ def communities(edges: DataFrame, edge_types: tuple[str, ...] = CALL_TYPES) -> D
             first.setdefault(c, len(first))
         return pd.DataFrame({"codebase": df["codebase"].iloc[0], "file_path": names, "community_id": np.array([first[c] for c in label], "int32"), "modularity": round(modularity(pairs, label), 4)})
 
-    return collapsed(edges, edge_types).groupBy("codebase").applyInPandas(one, "codebase string, file_path string, community_id int, modularity double")
+    small = pairs.join(large, "codebase", "left_anti").groupBy("codebase").applyInPandas(one, "codebase string, file_path string, community_id int, modularity double")
+    if large.isEmpty():
+        return small
+    return small.unionByName(moved_in_rounds(pairs.join(large, "codebase", "left_semi")))
+
+
+def moved_in_rounds(pairs: DataFrame, levels: int = 8, rounds: int = 12, least: float = 1e-9) -> DataFrame:
+    """Greedy modularity moves over tables: in a round every vertex of one half (by a hash that changes) joins the community around it that
+    gains most, by two aggregates, the links of (vertex, community) and the weight of each community; a round that does not
+    raise modularity is undone and ends the level. Then communities become vertices. No vertex, community or graph is gathered."""
+    both = lambda p: p.filter("a <> b").select("codebase", "a", "b", "w").unionByName(p.filter("a <> b").select("codebase", F.col("b").alias("a"), F.col("a").alias("b"), "w")).unionByName(p.filter("a = b").select("codebase", "a", "b", (2 * F.col("w")).alias("w")))
+    key = ["codebase", "a"]
+    graph = materialise(both(pairs.select("codebase", "a", "b", "w")), "graph")
+    total = graph.groupBy("codebase").agg(F.sum("w").alias("m2"))  # twice the weight of all edges
+    member = graph.select("codebase", F.col("a").alias("file_path")).distinct().withColumn("a", F.col("file_path"))
+
+    def worth(state: DataFrame) -> DataFrame:
+        """(codebase, q): modularity of (codebase, a, c) labels."""
+        ends = state.withColumnsRenamed({"a": "b", "c": "d"})
+        inside = graph.join(state.select(*key, "c"), key).join(ends.select("codebase", "b", "d"), ["codebase", "b"]).groupBy("codebase").agg(F.sum(F.when(F.col("c") == F.col("d"), F.col("w")).otherwise(0.0)).alias("inside"))
+        spread = state.groupBy("codebase", "c").agg(F.sum("k").alias("t")).join(total, "codebase").groupBy("codebase").agg(F.sum((F.col("t") / F.col("m2")) ** 2).alias("spread"))
+        return inside.join(spread, "codebase").join(total, "codebase").select("codebase", (F.col("inside") / F.col("m2") - F.col("spread")).alias("q"))
+
+    quality = None
+    for level in range(levels):
+        state = materialise(graph.groupBy(*key).agg(F.sum("w").alias("k")).withColumn("c", F.col("a")), "labels")
+        start = before = {r["codebase"]: r["q"] for r in worth(state).collect()}  # a row a codebase beyond `most` pairs
+        idle = 0
+        for n in range(rounds):
+            around = graph.filter("a <> b").join(state.select("codebase", F.col("a").alias("b"), "c"), ["codebase", "b"]).groupBy(*key, "c").agg(F.sum("w").alias("links"))
+            own = state.select(*key, "c", F.lit(0.0).alias("links"))
+            weight = state.groupBy("codebase", "c").agg(F.sum("k").alias("t"))
+            offers = around.unionByName(own).groupBy(*key, "c").agg(F.sum("links").alias("links")).join(weight, ["codebase", "c"]).join(state.select(*key, "k", F.col("c").alias("now")), key).join(total, "codebase")
+            gain = F.col("links") - (F.col("t") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) * F.col("k") / F.col("m2")
+            best = offers.withColumn("gain", F.round(gain, 12)).groupBy(*key).agg(F.min_by(F.struct("c", "gain"), F.struct(-F.col("gain"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"))
+            turn = F.pmod(F.xxhash64("a", F.lit(level * rounds + n)), F.lit(2)) == 0
+            go = turn & (F.col("best.gain") > F.col("stay") + least)
+            moved = materialise(state.join(best, key).select(*key, "k", F.when(go, F.col("best.c")).otherwise(F.col("c")).alias("c")), "labels")
+            now = {r["codebase"]: r["q"] for r in worth(moved).collect()}
+            better = [c for c in now if now[c] > before[c] + least]
+            kept = F.col("codebase").isin(better)
+            state = moved.filter(kept).unionByName(state.filter(~kept))
+            before = {c: max(now[c], before[c]) for c in now}
+            idle = 0 if better else idle + 1
+            if idle == 2:  # both halves have had their turn
+                break
+        member = materialise(member.join(state.select(*key, "c"), key).select("codebase", "file_path", F.col("c").alias("a")), "members")
+        quality = before
+        if all(before[c] <= start[c] + least for c in before):
+            break
+        names = state.select(*key, "c")
+        joined = graph.join(names, key).join(names.select("codebase", F.col("a").alias("b"), F.col("c").alias("d")), ["codebase", "b"])
+        graph = materialise(joined.groupBy("codebase", F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w")), "graph")
+    value = F.coalesce(*(F.when(F.col("codebase") == c, F.lit(round(q, 4))) for c, q in quality.items()), F.lit(0.0)) if quality else F.lit(0.0)
+    number = member.select("codebase", "a").distinct().withColumn("community_id", F.row_number().over(Window.partitionBy("codebase").orderBy("a")) - 1)
+    return member.join(number, ["codebase", "a"]).select("codebase", "file_path", "community_id", value.alias("modularity"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10, edge_types: tuple[str, ...] = CALL_TYPES) -> DataFrame:

@@ -201,7 +201,12 @@ def louvain(spark, sf):
     return G.communities(edges(spark, sf))
 
 
-@query()
+def _votes(n: int) -> str:
+    return f"""v{n} AS (SELECT v, arg_min(label, (-n, label)) AS label FROM (SELECT v, label, sum(n) AS n FROM (SELECT p.a AS v, l.label, 1 AS n FROM p JOIN v{n - 1} l ON l.v = p.b UNION ALL SELECT v, label, 1 FROM v{n - 1}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {EDGES}, h AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b FROM e WHERE s <> t), p AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+v0 AS (SELECT DISTINCT a AS v, a AS label FROM p), {", ".join(map(_votes, range(1, 5)))} SELECT 'repo' AS codebase, v AS file_path, label FROM v4""")
 def label_propagation(spark, sf):
     return G.label_propagation(edges(spark, sf), 4)
 

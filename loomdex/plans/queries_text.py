@@ -57,7 +57,9 @@ def dp_segments(spark, sf):
     return S.conversation_segments(x, S.boundary_scores(x))
 
 
-@query()
+@query(f"""WITH {EXCHANGES}, t AS (SELECT conv_id, exchange, 6 + length(u) + CASE WHEN a <> '' THEN 13 + length(a) ELSE 0 END AS n FROM k),
+l AS (SELECT *, lag(n) OVER (PARTITION BY conv_id ORDER BY exchange) AS p FROM t)
+SELECT conv_id, exchange::BIGINT AS exchange, (CASE WHEN abs(n - p) > 0.5 * greatest(n, p) THEN 3.0 ELSE 0.0 END)::DOUBLE AS score FROM l WHERE p IS NOT NULL""")
 def boundary_model_windows(spark, sf):
     """The windowed scorer with a stand-in model: a break where lengths differ by half."""
     x = S.exchanges(turns(spark, sf)).withColumn("exchange", F.col("exchange").cast("long"))
