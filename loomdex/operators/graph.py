@@ -492,20 +492,95 @@ def enclosing_symbol(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(best, ["file_path", "line"], "left")
 
 
-def import_candidates(files: DataFrame, imports: DataFrame, roots: tuple[str, ...] = ("src/main/java/", "src/main/kotlin/", "src/", "")) -> DataFrame:
+def import_map(edges: DataFrame) -> DataFrame:
+    """(source_file, name, target_file) of resolved imports, by their whole name and, but for wildcards, its last part; of equal names in
+    a file the last row by id holds."""
+    rows = edges.filter(F.col("edge_type").isin("import", "static_import", "wildcard_import") & F.col("target_file").isNotNull() & (F.coalesce("metadata", F.lit("")) != ""))
+    short = F.regexp_extract("metadata", r"([^.]+)$", 1)
+    names = F.array_distinct(F.when(short == "*", F.array("metadata")).otherwise(F.array(F.col("metadata"), short)))
+    return rows.select("id", "source_file", "target_file", F.explode(names).alias("name")).groupBy("source_file", "name").agg(F.max_by("target_file", "id").alias("target_file"))
+
+
+def symbol_table(symbols: DataFrame, codebase: str) -> DataFrame:
+    """(name, entries) of one codebase: where each name is defined, in order of place."""
+    entry = F.struct("file_path", "start_line", "end_line", "kind")
+    return symbols.filter(F.col("codebase") == codebase).groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+def store_dependencies(edges: DataFrame, found: DataFrame, codebase: str, edge_type: str) -> DataFrame:
+    """All edges, a codebase's dependencies of that type replaced by the ones now found."""
+    return without_dependencies(edges, codebase, edge_type).unionByName(found.filter(F.col("edge_type") == edge_type), allowMissingColumns=True)
+
+
+def normal_path(path: Column) -> Column:
+    """Without `.` and `..` segments; null where it would climb out of the repository."""
+    step = lambda a, s: F.when(a.isNull() | (s == "") | (s == "."), a).when(s == "..", F.when(F.size(a) > 0, F.slice(a, 1, F.size(a) - 1))).otherwise(F.concat(a, F.array(s)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+CONFIG = "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"
+
+
+def path_aliases(configs: DataFrame) -> DataFrame:
+    """(pattern, nth, base, target, at) of the path aliases in the repository's own tsconfig.json, in their order."""
+    rows = configs.filter(F.col("file_path") == "tsconfig.json").select(F.from_json("content", CONFIG)["compilerOptions"].alias("o")).filter("o.paths is not null")
+    each = rows.select(F.coalesce("o.baseUrl", F.lit("")).alias("base"), F.posexplode(F.map_entries("o.paths")).alias("nth", "e"))
+    return each.select("base", "nth", F.col("e.key").alias("pattern"), F.posexplode("e.value").alias("at", "target"))
+
+
+SOURCE_ROOT = r"^(?:(.*)/)?src/main/(java|kotlin)/(.+)\.(java|kt)$"
+
+
+def import_candidates(files: DataFrame, imports: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """imports (source_file, name, language) to (source_file, name, target_file): each way a name can be a file is a candidate
-    path with a priority, joined to the files there are."""
-    dotted = F.replace("name", F.lit("."), F.lit("/"))
+    path with a priority, joined to the files there are.
+
+    Java and Kotlin: below every src/main/java and src/main/kotlin of the repository, then src/, then its top; the class, or the class
+    whose member is named. Python: from the top where a setup file says so, then src/. TypeScript: relative paths, aliases
+    of `configs` (file_path, content of tsconfig.json; the first pattern that fits decides), else `@/` as src/; then extensions and index files."""
+    there = files.select("file_path")
+    name = F.col("name")
+    dotted = F.replace(F.regexp_replace(name, r"[.*]+$", ""), F.lit("."), F.lit("/"))
     cut = F.regexp_replace(dotted, "/[^/]+$", "")
-    folder = T.directory(F.col("source_file"))
-    bare = F.regexp_replace("name", r"^(?:\./|@/)", "")
-    relative = F.when(F.col("name").startswith("@/"), F.concat(F.lit("src/"), bare)).when(F.col("name").startswith("../"), F.concat_ws("/", F.nullif(T.directory(folder), F.lit("")), F.regexp_replace("name", r"^\.\./", ""))).otherwise(F.concat_ws("/", F.nullif(folder, F.lit("")), bare))
-    ways = {
-        "java": [F.concat(F.lit(r), stem, F.lit(e)) for stem in (dotted, cut) for r in roots for e in (".java", ".kt")],
-        "kotlin": [F.concat(F.lit(r), stem, F.lit(e)) for stem in (dotted, cut) for r in roots for e in (".kt", ".java")],
-        "python": [F.concat(F.lit(r), stem, F.lit(e)) for stem in (dotted, cut) for r in ("", "src/") for e in (".py", "/__init__.py")],
-        "typescript": [F.concat(relative, F.lit(e)) for e in ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")],
-    }
-    candidates = F.coalesce(*(F.when(F.col("language") == k, F.array(*v)) for k, v in ways.items()))
-    asked = imports.select("source_file", "name", F.posexplode(candidates).alias("p", "target_file"))
-    return asked.join(files.select(F.col("file_path").alias("target_file")), "target_file").groupBy("source_file", "name").agg(F.min_by("target_file", "p").alias("target_file"))
+
+    # Files by the name they would be imported by: the roots come from the files themselves.
+    jvm = imports.filter(F.col("language").isin("java", "kotlin"))
+    in_root = F.regexp_extract("file_path", SOURCE_ROOT, 2) != ""
+    kind = lambda c: F.when(c == "java", 0).otherwise(1)
+    rooted = there.filter(in_root).select("file_path", F.regexp_extract("file_path", SOURCE_ROOT, 3).alias("stem"), kind(F.regexp_extract("file_path", SOURCE_ROOT, 2)).alias("r"), F.regexp_extract("file_path", SOURCE_ROOT, 1).alias("root"), F.regexp_extract("file_path", SOURCE_ROOT, 4).alias("ext"))
+    plain = there.filter(F.col("file_path").rlike(r"\.(?:java|kt)$")).select("file_path", F.regexp_replace("file_path", r"\.(?:java|kt)$", "").alias("whole"), F.regexp_extract("file_path", r"\.(java|kt)$", 1).alias("ext"))
+    loose = plain.select("file_path", F.explode(F.array(F.struct(F.lit(3).alias("r"), F.col("whole").alias("stem")), F.struct(F.lit(2).alias("r"), F.when(F.col("whole").startswith("src/"), F.substr("whole", F.lit(5))).alias("stem")))).alias("x"), "ext").select("file_path", "x.stem", "x.r", F.lit("").alias("root"), "ext").filter("stem is not null")
+    stems = F.array_distinct(F.array(dotted, cut))
+    asked = jvm.select("source_file", "name", F.posexplode(stems).alias("member", "stem"))
+    found = asked.join(rooted.unionByName(loose), "stem").select("source_file", "name", F.col("file_path").alias("target_file"), F.struct("r", "root", "member", (F.col("ext") != "java").cast("int").alias("e"), F.col("file_path").alias("f")).alias("p"))
+    got = found.groupBy("source_file", "name").agg(F.min_by("target_file", "p").alias("target_file"))
+
+    python = imports.filter((F.col("language") == "python") & ~name.startswith("."))
+    setup = not there.filter(F.col("file_path").isin("setup.py", "pyproject.toml")).isEmpty()
+    ways = [F.concat(F.lit(r), x, F.lit(e)) for r in (("", "src/") if setup else ("src/",)) for x, e in ((dotted, ".py"), (dotted, "/__init__.py"), (cut, ".py"), (cut, "/__init__.py"))]
+    candidates = python.select("source_file", "name", F.posexplode(F.array(*ways)).alias("p", "target_file"))
+
+    script = imports.filter(F.col("language") == "typescript")
+    near = script.filter(name.rlike(r"^\.\.?/")).select("source_file", "name", F.lit(0).alias("at"), F.concat_ws("/", T.directory(F.col("source_file")), name).alias("base"))
+    rest = script.filter(~name.startswith("."))
+    home = rest.filter(name.startswith("@/")).select("source_file", "name", F.lit(0).alias("at"), F.concat(F.lit("src/"), F.substr("name", F.lit(3))).alias("base"))
+    bases = near
+    if configs is None:
+        bases = bases.unionByName(home)
+    else:
+        rules = path_aliases(configs)
+        star = F.col("pattern").endswith("/*")
+        rules = rules.withColumns({"star": star, "head": F.regexp_replace("pattern", r"/\*$", "")})
+        parts = F.split("name", "/")
+        heads = rest.select("source_file", "name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("head"), (n < F.size(parts)).alias("star")))).alias("h")).select("source_file", "name", "h.head", "h.star")
+        fits = materialise(heads.join(rules, ["head", "star"]), "aliases")
+        first = fits.groupBy("source_file", "name").agg(F.min("nth").alias("nth"))
+        tail = F.when(F.col("star"), F.substr("name", F.length("head") + 2)).otherwise(F.lit(""))
+        to = F.concat_ws("/", F.nullif(F.col("base"), F.lit("")), F.regexp_replace("target", r"/\*$", ""), F.nullif(tail, F.lit("")))
+        fits = fits.join(first, ["source_file", "name", "nth"]).filter(~F.col("star") | F.col("target").endswith("/*"))
+        bases = bases.unionByName(fits.select("source_file", "name", "at", to.alias("base"))).unionByName(home.join(first, ["source_file", "name"], "left_anti"))
+    base = normal_path(F.col("base"))
+    probes = F.array(F.when(base.rlike(r"\.(?:ts|tsx|js|jsx|mjs|cjs)$"), base), *(F.concat(base, F.lit(e)) for e in (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")))
+    tried = bases.select("source_file", "name", "at", F.posexplode(probes).alias("q", "target_file")).select("source_file", "name", (F.col("at") * 100 + F.col("q")).alias("p"), "target_file")
+    both = candidates.unionByName(tried).filter("target_file is not null").join(there.select(F.col("file_path").alias("target_file")), "target_file")
+    return got.unionByName(both.groupBy("source_file", "name").agg(F.min_by("target_file", "p").alias("target_file")))

@@ -93,7 +93,7 @@ def index_code(files: DataFrame, codebase: str) -> dict[str, DataFrame]:
     language = F.coalesce(*(F.when(F.col("file_path").endswith(ext), lang) for ext, lang in S.LANGUAGES.items()))
     symbols = C.symbol_rows(C.symbols(files), codebase)
     found = C.imports(files).select(F.col("file_path").alias("source_file"), "name", "edge_type", language.alias("language"))
-    targets = G.import_candidates(names, found.select("source_file", "name", "language").distinct())
+    targets = G.import_candidates(names, found.select("source_file", "name", "language").distinct(), files)
     imports = found.join(targets, ["source_file", "name"], "left").select("source_file", "target_file", "edge_type", F.col("name").alias("metadata"), F.lit(None).cast("double").alias("confidence"))
     types = C.hierarchy(files).select(F.col("file_path").alias("source_file"), F.lit(None).cast("string").alias("target_file"), "edge_type", F.col("parent").alias("metadata"), F.lit(None).cast("double").alias("confidence"))
     calls = C.call_sites(files).select(F.xxhash64("file_path", "line", "callee", "receiver").alias("call_id"), F.col("file_path").alias("source_file"), "callee", "receiver").dropDuplicates(["call_id"])
@@ -105,6 +105,13 @@ def index_code(files: DataFrame, codebase: str) -> dict[str, DataFrame]:
     return {"chunks": chunks, "symbols": symbols, "edges": edges}
 
 
+def fill_vectors(chunks: DataFrame, path: str | None = None, embed: Callable[[Column], Column] = default_embed) -> DataFrame:
+    """Vectors where they are missing, of one file or of all."""
+    text = F.concat("file_path", F.lit(" | "), F.coalesce("title", F.lit("")), F.lit("\n"), "content")
+    here = F.col("embedding").isNull() if path is None else F.col("embedding").isNull() & (F.col("file_path") == path)
+    return chunks.withColumn("embedding", F.when(here, embed(text)).otherwise(F.col("embedding")))
+
+
 def needs_rebuild(meta: DataFrame | None, config: dict[str, str]) -> bool:
     """Whether a stored setting (model, dims, sizes) differs: then everything is built anew."""
     if meta is None:

@@ -214,6 +214,37 @@ def memory_deep_search(catalog: Catalog, query: str, max_results: int = 10, min_
     return every.orderBy(*order).limit(max_results).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
+def search_with_signals(catalog: Catalog, query: str, use: tuple[str, ...], limit: int = 10, as_of: str = "2025-01-01") -> DataFrame:
+    """(id, score, rank) of any combination of signals, for comparisons; with "deep_search" among them the lists of a second pass, by the
+    entities of the first one's five best, are fused with the first pass's."""
+    rows = _dated(catalog.chunks)
+    width = 3 * limit
+    lists = signals(catalog, rows, query, width, as_of, use)
+    if not lists:
+        return rows.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    order = F.row_number().over(Window.orderBy(*R.fused_order()))
+    best = materialise(R.fuse(lists).orderBy(*R.fused_order()).limit(width).withColumn("rank", order), "combination")
+    if "deep_search" in use:
+        top = best.filter("rank <= 5").join(rows.select("id", "title", "content"), "id").withColumn("position", F.col("rank"))
+        fresh = new_entities(top, query_literals(catalog, query, as_of)[1], catalog.vocabulary)
+        second = []
+        if fresh and catalog.entities is not None:
+            second.append(R.ranked(R.entity_scores(catalog.entities, fresh), 0, width))
+        terms = " ".join(v for _, v in fresh[:10])
+        if R.query_terms(terms):
+            second.append(R.ranked(keyword_scores(catalog, rows, terms), 1, width))
+        if second:
+            more = R.fuse(second).orderBy(*R.fused_order()).limit(width).withColumn("rank", order)
+            passes = [df.select("id", F.lit(i).alias("list_no"), "rank") for i, df in enumerate((best, more))]
+            best = R.fuse(passes).orderBy(*R.fused_order()).limit(limit).withColumn("rank", order)
+    return best.filter(F.col("rank") <= limit).select("id", "score", "rank")
+
+
+def file_record(files: DataFrame, path: str) -> DataFrame:
+    """A file's row, by its path; its `summary` is the file's."""
+    return files.filter(F.col("file_path") == path).limit(1)
+
+
 def codebase_search(catalog: Catalog, query: str, codebase: str | None = None, max_results: int = 10) -> DataFrame:
     """Keyword and vector over code chunks of one codebase, boosted by in-degree, with a label of the file's symbol."""
     rows = catalog.chunks.filter(F.col("file_path").startswith(f"codebase:{codebase}/" if codebase else "codebase:"))

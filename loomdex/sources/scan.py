@@ -67,8 +67,14 @@ def glob_pattern(glob: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
-def build_files(spark: SparkSession, root: str) -> DataFrame:
-    return as_text(files(spark, root).filter(F.col("file_path").rlike(BUILD_FILES) & ~F.col("file_path").rlike(SKIPPED)))
+# Names of build files whose dependencies are those of a whole repository.
+REPO_BUILD_FILES = ("build.gradle", "build.gradle.kts", "pom.xml", "package.json", "requirements.txt", "pyproject.toml")
+
+
+def build_files(spark: SparkSession, root: str, names: tuple[str, ...] | None = None) -> DataFrame:
+    """Build files by pattern, or by exact name."""
+    fits = F.col("file_path").rlike(BUILD_FILES) if names is None else F.element_at(F.split("file_path", "/"), -1).isin(*names)
+    return as_text(files(spark, root).filter(fits & ~F.col("file_path").rlike(SKIPPED)))
 
 
 def reference_files(spark: SparkSession, root: str) -> DataFrame:

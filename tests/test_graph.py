@@ -98,3 +98,92 @@ def test_symbol_index(spark):
     got = G.index_edges(index(("src/Service.java", [("a#doWork().", 1)]), ("src/Controller.java", [("a#doWork().", 0)]))).collect()
     assert [(r["source_file"], r["target_file"], r["edge_type"], r["confidence"]) for r in got] == [("src/Controller.java", "src/Service.java", "calls", 0.95)]
     assert G.index_edges(index(("a.java", [("s#", 1), ("s#", 0)]))).count() == 0
+
+
+def test_imports_by_roots_and_aliases(spark):
+    files = ["app/src/main/java/com/x/Foo.java", "lib/src/main/kotlin/com/x/Bar.kt", "lib/src/main/java/com/x/Foo.java", "pyproject.toml", "pkg/mod.py", "pkg/sub/__init__.py", "src/tool.py", "web/a.ts", "web/b/index.tsx", "src/ui/c.tsx", "lib2/d.js", "one.ts", "tsconfig.json", "src/e.ts"]
+    config = '{"compilerOptions": {"baseUrl": "", "paths": {"@ui/*": ["nowhere/*", "src/ui/*"], "one": ["one"], "@/bad/*": ["lib2/*"]}}}'
+    rows = spark.createDataFrame([(f, config if f == "tsconfig.json" else "") for f in files], "file_path string, content string")
+    asked = [
+        ("X.java", "com.x.Foo", "java", "app/src/main/java/com/x/Foo.java"),
+        ("X.java", "com.x.Foo.member", "java", "app/src/main/java/com/x/Foo.java"),
+        ("X.java", "com.x.Bar", "java", "lib/src/main/kotlin/com/x/Bar.kt"),
+        ("X.java", "com.y.Foo", "java", None),
+        ("p.py", "pkg.mod", "python", "pkg/mod.py"),
+        ("p.py", "pkg.mod.name", "python", "pkg/mod.py"),
+        ("p.py", "pkg.sub", "python", "pkg/sub/__init__.py"),
+        ("p.py", "tool", "python", "src/tool.py"),
+        ("p.py", ".mod", "python", None),
+        ("web/b/x.ts", "../a", "typescript", "web/a.ts"),
+        ("web/b/x.ts", "./../b", "typescript", "web/b/index.tsx"),
+        ("web/x.ts", "../../a", "typescript", None),
+        ("web/x.ts", "@ui/c", "typescript", "src/ui/c.tsx"),
+        ("web/x.ts", "one", "typescript", "one.ts"),
+        ("web/x.ts", "@/e", "typescript", "src/e.ts"),
+        ("web/x.ts", "@/bad/e", "typescript", None),
+        ("web/x.ts", "@/bad/d", "typescript", "lib2/d.js"),
+        ("web/x.ts", "react", "typescript", None),
+    ]
+    imports = spark.createDataFrame([x[:3] for x in asked], "source_file string, name string, language string")
+    got = {(r["source_file"], r["name"]): r["target_file"] for r in G.import_candidates(rows, imports, rows).collect()}
+    for source, name, _, want in asked:
+        assert got.get((source, name)) == want, name
+
+
+def test_tables_of_names_and_dependencies(spark):
+    rows = [(1, "r", "a.java", "x/T.java", "import", "p.T"), (2, "r", "a.java", "y/T.java", "import", "q.T"), (3, "r", "a.java", "z/Z.java", "wildcard_import", "z.*"), (4, "r", "a.java", None, "import", "n.N"), (5, "r", "b", "g:a", "repo_dependency", "g:a"), (6, "s", "b", "g:b", "repo_dependency", "g:b")]
+    e = spark.createDataFrame(rows, "id long, codebase string, source_file string, target_file string, edge_type string, metadata string")
+    got = {(r["source_file"], r["name"]): r["target_file"] for r in G.import_map(e).collect()}
+    assert got == {("a.java", "p.T"): "x/T.java", ("a.java", "q.T"): "y/T.java", ("a.java", "T"): "y/T.java", ("a.java", "z.*"): "z/Z.java"}
+    now = G.store_dependencies(e, e.filter("id = 6").withColumns({"id": F.lit(7).cast("long"), "codebase": F.lit("r")}), "r", "repo_dependency")
+    assert {r["id"] for r in now.collect()} == {1, 2, 3, 4, 6, 7}
+    assert [tuple(r) for r in G.repo_dependencies(now).collect()] == [("r", 1), ("s", 1)]
+    symbols = spark.createDataFrame([("r", "T", "b.java", 9, 10, "class"), ("r", "T", "a.java", 1, 2, "class"), ("s", "T", "c.java", 1, 2, "class")], "codebase string, name string, file_path string, start_line int, end_line int, kind string")
+    assert [[x["file_path"] for x in r["entries"]] for r in G.symbol_table(symbols, "r").collect()] == [["a.java", "b.java"]]
+
+
+def test_rounds_find_the_clusters(spark):
+    e = clusters(spark)
+    one, many = (G.communities(e, most=m).collect() for m in (10**6, 0))
+    groups = lambda rows: {frozenset(r["file_path"] for r in rows if r["community_id"] == c) for c in {r["community_id"] for r in rows}}
+    assert groups(one) == groups(many) and abs(one[0]["modularity"] - many[0]["modularity"]) < 1e-4
+
+
+def test_paths_from_many_starts(spark):
+    """All files of a name are starts, however many."""
+    rows = [(f"s{i}.java", f"t{i}.java", "calls", None) for i in range(45)] + [("s3.java", "shared.java", "calls", None), ("s1.java", "shared.java", "calls", None)]
+    symbols = spark.createDataFrame([("repo", f"s{i}.java", "Same") for i in range(45)], "codebase string, file_path string, name string")
+    got = {r["file"]: r["path"] for r in G.graph_traverse(edges(spark, rows), symbols, "Same", include_paths=True, max_results=200).collect()}
+    assert got == {f"t{i}.java": [f"s{i}.java", f"t{i}.java"] for i in range(45)} | {"shared.java": ["s1.java", "shared.java"]}
+
+
+def test_nearest_folder_and_similar_names_equal_all_pairs(spark):
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    folder = lambda: "/".join(rng.choice("abc") for _ in range(rng.randint(0, 3)))
+    place = lambda f, n: f"{f}/{n}" if f else n
+    defs = sorted({("run", place(folder(), f"d{i}.java")) for i in range(25)} | {("".join(rng.choice("abcdeRST") for _ in range(rng.randint(1, 9))), f"z/n{i}.java") for i in range(60)})
+    calls = [(i, place(folder(), "x.java"), "run", "") for i in range(25)] + [(100 + i, "q/q/x.java", "".join(rng.choice("abcdeRST") for _ in range(rng.randint(1, 9))), "") for i in range(60)]
+    got = {r["call_id"]: r for r in G.resolve_calls(spark.createDataFrame(calls, "call_id long, source_file string, callee string, receiver string"), spark.createDataFrame([], "source_file string, name string, target_file string"), spark.createDataFrame(defs, "short string, file_path string")).collect()}
+    split = lambda p: p.split("/")[:-1]
+
+    def away(p, q):
+        x, y = split(p), split(q)
+        same = next((i for i, (m, n) in enumerate(zip(x, y)) if m != n), min(len(x), len(y)))
+        return len(x) + len(y) - 2 * same
+
+    files = {}
+    for name, path in defs:
+        files.setdefault(name, []).append(path)
+    for i, source, name, _ in calls:
+        r = got[i]
+        if name == "run" and r["strategy"] == "nearest":
+            assert r["target_file"] == min(files["run"], key=lambda p: (away(source, p), p))
+        elif name not in files:
+            ratio = {n: difflib.SequenceMatcher(None, name.lower(), n.lower()).ratio() for n in files}
+            top = max(ratio.values())
+            assert (r["strategy"] == "fuzzy") == (top >= 0.7), (name, top)
+            if top >= 0.7:
+                assert abs(r["confidence"] - (0.30 + (top - 0.7) / 3)) < 1e-9
