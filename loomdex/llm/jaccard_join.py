@@ -5,7 +5,8 @@ A set links with another when 100 * |intersection| >= 75 * |union|. The plan:
 1. One pass over the texts. Each block (an Arrow batch's rows) turns its texts to sorted 64-bit shingle keys, keeps one of
    each group of equal sets, and sends keys, with their sets' places beside them, to buckets by their leading bits, byte-packed.
 2. A bucket counts each key. Keys of one set alone can't make a pair; for the others it answers every block with
-   (key, frequency, leader), the leader being the smallest set that holds the key.
+   (key, frequency, leader), the leader being the smallest set that holds the key. Beyond 2^`one_step_bits` buckets keys and answers go
+   in two steps (`Routes`), so that the rows that are shuffled stay large at any size.
 3. A block orders each set's keys by (frequency, key). Linked sets share a key among the first n - ceil(0.75 n) + 1, and
    private keys come first, so a set whose private keys fill that prefix links with nothing and is done. Passages that
    many documents share therefore cost nothing. The leaders of the prefix's shared keys are the set's groups: linked
@@ -44,9 +45,9 @@ from loomdex.llm import files
 from loomdex.llm.shingles import mixed, shingle_keys
 from loomdex.runtime import materialise, on_workers
 
-COLD, HOT, DOCS, LISTS = 0, 1, 2, 3
-SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+COLD, HOT, DOCS, LISTS, WIDE = range(5)
+SENT = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+ANSWER = pa.schema([("to", pa.int64()), ("part", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -86,7 +87,34 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------- 1: texts to keys
-def send_keys(bits: int, hot: int, block_bytes: int, slice_bytes: int):
+class Routes:
+    """How keys get to their bucket and answers back to their block. With few buckets a block sends to each and each answers every block.
+    With more, such rows would hold a few keys each, so both ways go in two steps: blocks send to `coarse` leading bits in
+    shards of blocks, where a task sorts what it got and sends it on by all bits; buckets answer to groups of blocks in parts, where a
+    task sorts by block."""
+
+    def __init__(self, rows: int, rows_per_bucket: int, one_step_bits: int, rows_a_task: int = 10_000, blocks_a_group: int = 1024, rows_a_block: int = 5000):
+        self.bits = max(4, (-(-rows // rows_per_bucket) - 1).bit_length())
+        self.two = self.bits > one_step_bits
+        self.coarse = max(1, min(one_step_bits, self.bits) - 2) if self.two else self.bits
+        self.shards = -(-rows // (rows_a_task << self.coarse)) if self.two else 1
+        self.group_bits = max(0, (rows // (rows_a_block * blocks_a_group)).bit_length())
+        self.parts = -(-rows // (2 * rows_a_task << self.group_bits))
+
+    def group_of(self, blocks: np.ndarray) -> np.ndarray:
+        return bucket_of(mixed(blocks.astype(np.uint64)), self.group_bits) if self.group_bits else np.zeros(len(blocks), np.int64)
+
+    def home(self, block: int, bits: int) -> int:
+        """The bucket that a block's own rows go by."""
+        return int(bucket_of(mixed(np.array([block], np.uint64)), bits)[0])
+
+    def to(self, block: int, bucket: int) -> tuple[int, int]:
+        return (int(self.group_of(np.array([block]))[0]), bucket % self.parts) if self.two else (block, 0)
+
+
+def send_keys(routes: Routes, hot: int, block_bytes: int, slice_bytes: int):
+    bits = routes.coarse
+
     def block_rows(batch: pa.RecordBatch, text: pa.Array, block: int) -> list[tuple]:
         rows = len(text)
         parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint16))]
@@ -119,13 +147,13 @@ def send_keys(bits: int, hot: int, block_bytes: int, slice_bytes: int):
         many = lengths >= hot
         whole = np.repeat(many, lengths)
         passed = [x for c in batch.columns[:-1] for x in (np.asarray(c.fill_null(0)), np.asarray(c.is_valid()).astype(np.uint8))]
-        home = bucket_of(np.uint64(mixed(np.array([block], np.uint64))[0]), bits)
-        out = [(int(home), block, DOCS, packed(n.astype(np.uint32), sigs[0].view(np.int64), sigs[1].view(np.int64), *passed))]
+        home, shard = routes.home(block, bits), block % routes.shards
+        out = [(home, shard, block, DOCS, packed(n.astype(np.uint32), sigs[0].view(np.int64), sigs[1].view(np.int64), *passed))]
         if many.any():
-            out.append((int(home), block, LISTS, packed(keys[whole], owner[whole])))
+            out.append((home, shard, block, LISTS, packed(keys[whole], owner[whole])))
         for kind, columns in ((COLD, (keys[~whole], owner[~whole])), (HOT, (keys[starts[many]], owner[starts[many]], lengths[many].astype(np.uint32)))):
             at, size = runs(bucket_of(columns[0], bits))
-            out += [(int(bucket_of(columns[0][s], bits)), block, kind, packed(*(c[s : s + k] for c in columns))) for s, k in zip(at.tolist(), size.tolist())]
+            out += [(int(bucket_of(columns[0][s], bits)), shard, block, kind, packed(*(c[s : s + k] for c in columns))) for s, k in zip(at.tolist(), size.tolist())]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,36 +171,89 @@ def send_keys(bits: int, hot: int, block_bytes: int, slice_bytes: int):
     return run
 
 
-# ---------------------------------------------------------------- 2: a bucket's answer
-def answer_bucket(table: pa.Table) -> pa.Table:
-    out: list[tuple] = []
-    tokens, sets, weights = [], [], []
+def gathered(table: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """What only passes through, as (block, kind, payload), and all keys with their sets and weights."""
+    passing, parts = [], [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for block, kind, payload in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "payload"))):
         if kind in (DOCS, LISTS):
-            out.append((block, kind, payload))
+            passing.append((block, kind, payload))
             continue
-        keys, owner, *rest = unpacked(payload)
-        tokens.append(keys)
-        sets.append(owner.astype(np.int64) + (block << 16))
-        weights.append(rest[0].astype(np.int64) if rest else np.ones(len(keys), np.int64))
-    if tokens:
-        token, dk, weight = map(np.concatenate, (tokens, sets, weights))
-        order = np.argsort(token, kind="stable")
-        token, dk, weight = token[order], dk[order], weight[order]
-        starts, lengths = runs(token)
-        count = np.add.reduceat(weight, starts)
-        leader = np.minimum.reduceat(dk, starts)
-        shared = count >= 2
-        on = np.repeat(shared, lengths)
-        token, dk = token[on], dk[on]
-        count, leader = (np.repeat(x[shared], lengths[shared]) for x in (count, leader))
-        order = np.argsort(dk >> 16, kind="stable")
-        token, dk, count, leader = token[order], dk[order], count[order], leader[order]
-        starts, lengths = runs(dk >> 16)
-        for s, k in zip(starts.tolist(), lengths.tolist()):
-            some = slice(s, s + k)
-            out.append((int(dk[s] >> 16), COLD, packed(token[some], (dk[some] & 0xFFFF).astype(np.uint16), np.minimum(count[some], (1 << 32) - 1).astype(np.uint32), leader[some])))
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ANSWER)], schema=ANSWER)
+        keys, sets, *weight = unpacked(payload)
+        if kind != WIDE:
+            sets = sets.astype(np.int64) + (block << 16)
+        parts.append((keys, sets, weight[0].astype(np.int64) if weight else np.ones(len(keys), np.int64)))
+    return passing, *map(np.concatenate, zip(*parts))
+
+
+def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def send_on(routes: Routes):
+    """The second step of a key's way: a coarse bucket's shard, sorted, goes on in a row a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        passing, keys, sets, weight = gathered(table)
+        out = [(routes.home(block, routes.bits), 0, block, kind, payload) for block, kind, payload in passing]
+        order = np.argsort(keys, kind="stable")
+        keys, sets, weight = keys[order], sets[order], np.minimum(weight[order], (1 << 32) - 1).astype(np.uint32)
+        at, size = runs(bucket_of(keys, routes.bits))
+        out += [(int(bucket_of(keys[s], routes.bits)), 0, -1, WIDE, packed(keys[s : s + k], sets[s : s + k], weight[s : s + k])) for s, k in zip(at.tolist(), size.tolist())]
+        return as_table(out, SENT)
+
+    return run
+
+
+# ---------------------------------------------------------------- 2: a bucket's answer
+def answer_bucket(routes: Routes):
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        passing, token, dk, weight = gathered(table)
+        out = [(*routes.to(block, bucket), block, kind, payload) for block, kind, payload in passing]
+        if len(token):
+            order = np.argsort(token, kind="stable")
+            token, dk, weight = token[order], dk[order], weight[order]
+            starts, lengths = runs(token)
+            count = np.add.reduceat(weight, starts)
+            leader = np.minimum.reduceat(dk, starts)
+            shared = count >= 2
+            on = np.repeat(shared, lengths)
+            token, dk = token[on], dk[on]
+            count, leader = (np.repeat(x[shared], lengths[shared]) for x in (np.minimum(count, (1 << 32) - 1).astype(np.uint32), leader))
+            out += answers(routes, bucket, token, dk, count, leader)
+        return as_table(out, ANSWER)
+
+    return run
+
+
+def answers(routes: Routes, bucket: int, token: np.ndarray, dk: np.ndarray, count: np.ndarray, leader: np.ndarray) -> list[tuple]:
+    """A row for each block, or for each group of blocks."""
+    if routes.two:
+        group = routes.group_of(dk >> 16)
+        order = np.argsort(group, kind="stable")
+        at, size = runs(group[order])
+        return [(int(group[order[s]]), bucket % routes.parts, -1, WIDE, packed(*(x[order[s : s + k]] for x in (token, dk, count, leader)))) for s, k in zip(at.tolist(), size.tolist())]
+    return by_block(token, dk, count, leader)
+
+
+def by_block(token: np.ndarray, dk: np.ndarray, count: np.ndarray, leader: np.ndarray) -> list[tuple]:
+    order = np.argsort(dk >> 16, kind="stable")
+    token, dk, count, leader = token[order], dk[order], count[order], leader[order]
+    at, size = runs(dk >> 16)
+    return [(int(dk[s] >> 16), 0, int(dk[s] >> 16), COLD, packed(token[s : s + k], (dk[s : s + k] & 0xFFFF).astype(np.uint16), count[s : s + k], leader[s : s + k])) for s, k in zip(at.tolist(), size.tolist())]
+
+
+def spread(table: pa.Table) -> pa.Table:
+    """The second step of an answer's way: a group's part, sorted, goes on in a row a block."""
+    out, parts = [], []
+    for block, kind, payload in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "payload"))):
+        if kind == WIDE:
+            parts.append(unpacked(payload))
+        else:
+            out.append((block, 0, block, kind, payload))
+    if parts:
+        out += by_block(*map(np.concatenate, zip(*parts)))
+    return as_table(out, ANSWER)
 
 
 # ---------------------------------------------------------------- 3: a block's prefixes
@@ -364,17 +445,22 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return set_classes(rows, ["doc_id"], **bounds).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 1024, unit_bytes: int = 16 << 20) -> DataFrame:
+def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 1024, unit_bytes: int = 16 << 20, one_step_bits: int = 12) -> DataFrame:
     """The `passed` columns (whole numbers), n (set size), class (a number of the row's class of links, null without a set) and
     least (the class's smallest value of the first passed column), for every row. Bounds are of memory alone: no pair is lost to them."""
     spark = on_workers(rows.sparkSession)
     rows = rows.select(*(F.col(c).cast("long").alias(f"p{i}") for i, c in enumerate(passed)), F.col(text_col).alias("text"))
     carried = [f"p{i}" for i in range(len(passed))]
-    bits = max(4, (-(-rows.count() // rows_per_bucket) - 1).bit_length())
-    sent = rows.mapInArrow(send_keys(bits, hot, block_bytes, slice_bytes), "bucket long, block long, kind int, payload binary")
-    answered = sent.groupBy("bucket").applyInArrow(answer_bucket, "block long, kind int, payload binary")
+    routes = Routes(rows.count(), rows_per_bucket, one_step_bits)
+    key_rows, answer_rows = "bucket long, shard long, block long, kind int, payload binary", "to long, part long, block long, kind int, payload binary"
+    sent = rows.mapInArrow(send_keys(routes, hot, block_bytes, slice_bytes), key_rows)
+    if routes.two:
+        sent = sent.groupBy("bucket", "shard").applyInArrow(send_on(routes), key_rows)
+    answered = sent.groupBy("bucket").applyInArrow(answer_bucket(routes), answer_rows)
+    if routes.two:
+        answered = answered.groupBy("to", "part").applyInArrow(spread, answer_rows)
     kinds = "n long, dk long, sig_a long, sig_b long, leaders array<long>, keys binary, " + ", ".join(f"{c} long" for c in carried)
-    sets = materialise(answered.groupBy("block").applyInArrow(settle_block(len(passed)), kinds), "sets")
+    sets = materialise(answered.groupBy("to").applyInArrow(settle_block(len(passed)), kinds), "sets")
 
     full = sets.filter("n > 0")
     classes = full.groupBy("sig_a", "sig_b", "n").agg(F.min(F.when(F.col("leaders").isNotNull(), F.col("dk"))).alias("dk"), F.min("p0").alias("least_id"), F.min("dk").alias("any_dk"))

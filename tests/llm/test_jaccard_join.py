@@ -68,6 +68,14 @@ def test_odd_rows(spark, docs, odd):
     assert J.similar_sets(docs(["a b", "a b", "c"], [None, 4, None])).filter("component_id = 4").count() == 2
 
 
+def test_routes_in_two_steps():
+    r = J.Routes(5 * 10**10, 1000, 12)  # as many rows as 100 TB hold
+    assert r.two and r.coarse == 10 and r.bits == 26 and r.shards << r.coarse >= 10**6 and r.parts << r.group_bits >= 10**6
+    assert len(set(r.group_of(np.arange(10**5)).tolist())) > 5000
+    one = J.Routes(250_000, 1000, 12)
+    assert not one.two and one.coarse == one.bits == 8 and one.to(7, 3) == (7, 0)
+
+
 def test_unit_forest():
     rng = np.random.RandomState(3)
     for _ in range(30):
