@@ -152,20 +152,28 @@ def hamming_scores(rows: DataFrame, query: list[float], id_col: str = "id", vec_
     return rows.select(F.col(id_col).alias("id"), V.hamming(V.sign_code(F.col(vec_col)), q).alias("distance"))
 
 
-def two_stage(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding", bits: int = 4) -> DataFrame:
-    """4-bit inner products over all rows, then cosine of the decoded best max(30, 3k). Codes are made on the way; a store that is searched
-    often keeps them (`plans.jobs.quantized`) and asks `code_scores`."""
-    coded = rows.select(F.col(id_col).alias("id"), V.quantize(F.col(vec_col), len(query), bits).alias("code4"))
-    return top(code_scores(coded, query, k, bits), k)
+def coded(rows: DataFrame, dims: int, id_col: str = "id", vec_col: str = "embedding", bits: int = 4) -> DataFrame:
+    """(id, code1, code4): sign bits and packed levels of vectors of that size. A store writes them once; searches read them."""
+    fits = rows.filter(F.col(vec_col).isNotNull() & (F.size(vec_col) == dims))
+    return fits.select(F.col(id_col).alias("id"), V.sign_code(F.col(vec_col)).alias("code1"), V.quantize(F.col(vec_col), dims, bits).alias("code4"))
 
 
-def three_stage(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding", coarse: int = 1000, middle: int = 50, bits: int = 4) -> DataFrame:
-    """Hamming to `coarse`, 4-bit inner product to `middle`, cosine of the full vectors to k."""
+def two_stage(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding", bits: int = 4, codes: DataFrame | None = None) -> DataFrame:
+    """4-bit inner products over all rows, then cosine of the decoded best max(30, 3k). Without stored `codes` they are made on the way."""
+    return top(code_scores(codes if codes is not None else coded(rows, len(query), id_col, vec_col, bits), query, k, bits), k)
+
+
+def three_stage(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "embedding", coarse: int = 1000, middle: int = 50, bits: int = 4, codes: DataFrame | None = None) -> DataFrame:
+    """Hamming to `coarse`, 4-bit inner product to `middle`, cosine of the full vectors to k. With stored `codes` the first two read no
+    vector; without, only the `coarse` rows are packed."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    near = base.withColumn("distance", V.hamming(V.sign_code(F.col("v")), V.sign_code(q)))
-    few = near.orderBy("distance", "id").limit(coarse)
-    fewer = top(few.select("id", "v", V.code_dot(V.quantize(F.col("v"), len(query), bits), query, bits).alias("score")), middle)
+    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")) if codes is None else codes.select("id", "code1", "code4")
+    sign = V.sign_code(F.col("v")) if codes is None else F.col("code1")
+    few = base.withColumn("distance", V.hamming(sign, V.sign_code(q))).orderBy("distance", "id").limit(coarse)
+    packed = V.quantize(F.col("v"), len(query), bits) if codes is None else F.col("code4")
+    fewer = top(few.select(*(c for c in ("id", "v") if c in few.columns), V.code_dot(packed, query, bits).alias("score")), middle)
+    if codes is not None:
+        fewer = F.broadcast(fewer.select("id")).join(rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "id")  # `middle` rows
     return top(fewer.select("id", V.cosine(F.col("v"), q).alias("score")).filter("score > 0"), k)
 
 

@@ -95,14 +95,25 @@ def hamming_topk(spark, sf):
     return R.hamming_scores(vectors(spark, sf), first_vector(spark, sf)).orderBy("distance", "id").limit(25)
 
 
+_CODED: dict[tuple[str, str], DataFrame] = {}
+
+
+def codes(spark, sf) -> DataFrame:
+    """The vectors' codes, written once a session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CODED:
+        _CODED[key] = materialise(R.coded(vectors(spark, sf), 64), "codes")
+    return _CODED[key]
+
+
 @query()
 def two_stage_topk(spark, sf):
-    return R.two_stage(vectors(spark, sf), first_vector(spark, sf), 10)
+    return R.two_stage(vectors(spark, sf), first_vector(spark, sf), 10, codes=codes(spark, sf))
 
 
 @query()
 def three_stage_topk(spark, sf):
-    return R.three_stage(vectors(spark, sf), first_vector(spark, sf), 10)
+    return R.three_stage(vectors(spark, sf), first_vector(spark, sf), 10, codes=codes(spark, sf))
 
 
 @query()
@@ -298,8 +309,7 @@ def vector_mode_by_distance(spark, sf):
 def packed_search(spark, sf):
     """Half of the vectors are packed codes; the rest, float vectors alone, are a list that is fused with theirs."""
     own = catalog(spark, sf)
-    codes = vectors(spark, sf).filter("id % 2 = 0").select("id", V.quantize(F.col("embedding"), 64).alias("code4"))
-    got = S.memory_search(S.replace(own, codes=materialise(codes, "codes")), ASKED, 10, use=("vector",))
+    got = S.memory_search(S.replace(own, codes=codes(spark, sf).filter("id % 2 = 0").select("id", "code4")), ASKED, 10, use=("vector",))
     return got.select("position", "id", F.round("score", 9).alias("score"))
 
 
