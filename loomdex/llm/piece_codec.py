@@ -108,7 +108,7 @@ class Automaton:
             todo, state = todo[on], self.fail[state[on]].astype(np.int64)
         return out
 
-    def encode(self, strings: list[str], at_once: int = 40_000, long: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, strings: list[str], at_once: int = 25_000, long: int = 1000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each string, laid end to end, and their counts. Strings of more than `long` characters go one by one."""
         order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
         n_long = next((k for k, i in enumerate(order) if len(strings[i]) <= long), len(order))
@@ -333,7 +333,7 @@ def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool, names:
     return run
 
 
-def encode_docs(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", scores: str = "zipf", with_ids: bool = True, chunk_bytes: int = 4 << 20) -> DataFrame:
+def encode_docs(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", scores: str = "zipf", with_ids: bool = True, chunk_bytes: int = 3 << 20) -> DataFrame:
     """`keep` columns, n_tokens, ids_crc32, lossless (decoding gave the text back), and ids; a map without a shuffle."""
     on_workers(docs.sparkSession)
     held = [f"c{i}" for i in range(len(keep))]
