@@ -57,8 +57,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, names = _keyed(docs)
     rows = keyed.select(*(F.col(n).alias(k) for n, k in zip(names, KEYS)), F.col("text").cast("string").alias("text"))
     found = materialise(jaccard_join.set_classes(rows, list(KEYS)).filter("n > 0").groupBy("class", *KEYS).agg(F.count("*").alias("rows")), "classes")
-    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *KEYS)).alias("best"))
-    marked = found.join(first, "class").withColumn("stays", F.struct(*KEYS).eqNullSafe(F.struct(*(F.col(f"best.{k}").alias(k) for k in KEYS))))
+    first = materialise(found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *KEYS)).alias("best")), "first")
+    marked = found.join(_small(first), "class").withColumn("stays", F.struct(*KEYS).eqNullSafe(F.struct(*(F.col(f"best.{k}").alias(k) for k in KEYS))))
     marked = materialise(marked.filter(~F.col("stays") | (F.col("rows") > 1)).select(*KEYS, "stays"), "removed")
     gone, repeated = (marked.filter(x).select(*KEYS) for x in ("not stays", "stays"))
     left = keyed.join(_small(gone), _same(names, gone), "left_anti")
