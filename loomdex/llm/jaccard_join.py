@@ -167,6 +167,8 @@ def send_keys(routes: Routes, hot: int, block_bytes: int, slice_bytes: int):
                     block += 1
                     for r in range(0, len(rows), 512):
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[r : r + 512]), SENT)], schema=SENT)
+                    rows = None
+        files.give_back()
 
     return run
 
@@ -395,6 +397,7 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     close()
     yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], schema=EDGES)
+    files.give_back()
 
 
 # ---------------------------------------------------------------- 6: components
@@ -445,7 +448,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return set_classes(rows, ["doc_id"], **bounds).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 12 << 20, slice_bytes: int = 2 << 20, unit_sets: int = 1024, unit_bytes: int = 16 << 20, one_step_bits: int = 12) -> DataFrame:
+def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows_per_bucket: int = 1000, hot: int = 64, block_bytes: int = 8 << 20, slice_bytes: int = 1 << 20, unit_sets: int = 1024, unit_bytes: int = 16 << 20, one_step_bits: int = 12) -> DataFrame:
     """The `passed` columns (whole numbers), n (set size), class (a number of the row's class of links, null without a set) and
     least (the class's smallest value of the first passed column), for every row. Bounds are of memory alone: no pair is lost to them."""
     spark = on_workers(rows.sparkSession)
@@ -486,7 +489,7 @@ def set_classes(rows: DataFrame, passed: list[str], text_col: str = "text", rows
         roots = across(large, roots, forest, fits(unit_sets, unit_bytes), part)
 
     placed = classes.join(roots.select(F.col("u").alias("dk"), F.col("v").alias("root")), "dk", "left").select("sig_a", "sig_b", "n", "least_id", F.coalesce("root", "dk").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("least"))
+    least = materialise(placed.groupBy("root").agg(F.min("least_id").alias("least")), "least")  # apart, so that a hot root's join can be split
     by_set = placed.join(least, "root").select("sig_a", "sig_b", "n", F.col("root").alias("class"), "least")
     keyed = sets.select(*carried, "n", "sig_a", "sig_b")
     some = keyed.filter("n > 0").join(by_set, ["sig_a", "sig_b", "n"], "left").select(*carried, "n", "class", "least")

@@ -126,23 +126,20 @@ class Automaton:
         starts = np.cumsum(n) - n
         return pool[files.gather(starts[back], n[back])], n[back]
 
-    def steps(self) -> tuple[dict, list, list, list, list]:
+    def steps(self) -> tuple:
         """The automaton for one string at a time: edges by state and code (moves found by failure links are added, up to a bound),
-        failure links, output chains, lengths and scores as plain lists."""
+        failure and output links, lengths and scores as plain lists."""
         if self._steps is None:
-            chains = [[] for _ in self.first]
-            for s in np.argsort(self.length, kind="stable").tolist():
-                link = int(self.link[s])
-                chains[s] = ([s] if self.at_end[s] else []) + (chains[link] if link else [])
-            self._steps = (dict(zip(self.keys.tolist(), self.next.tolist())), self.fail.tolist(), chains, self.length.tolist(), self.score.tolist())
+            edges = dict(zip(self.keys.tolist(), self.next.tolist()))
+            self._steps = (edges, len(edges) + 50_000, *(x.tolist() for x in (self.fail, self.first, self.link, self.length, self.score)))
         return self._steps
 
     def walk(self, string: str) -> np.ndarray:
         """Ids of one string: the same path as `_advance`, in time in proportion to its length."""
-        edges, fail, chains, length, score = self.steps()
+        edges, room, fail, first, link, length, score = self.steps()
         text = np.frombuffer(string.encode("utf-32-le", "surrogatepass"), np.uint32)
         code = self.lookup[np.minimum(text, len(self.lookup) - 1)].tolist()
-        width, fallback, room = self.width, self.fallback, 4 * len(self.keys)
+        width, fallback = self.width, self.fallback
         best, by, state = [0.0] * (len(code) + 1), [0] * (len(code) + 1), 0
         for at, c in enumerate(code, 1):
             if c:
@@ -158,13 +155,14 @@ class Automaton:
                 state = to
             else:
                 state = 0
-            top, how, single = -math.inf, 0, False
-            for s in chains[state]:
+            top, how, single, s = -math.inf, 0, False, first[state]
+            while s:
                 n = length[s]
                 value = best[at - n] + score[s]
                 if value > top:
                     top, how = value, s
                 single = single or n == 1
+                s = link[s]
             if not single and best[at - 1] + fallback > top:
                 top, how = best[at - 1] + fallback, 0
             best[at], by[at] = top, how
@@ -329,6 +327,7 @@ def encode_rows(path: str, scores: str, chunk_bytes: int, with_ids: bool, names:
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        files.give_back()
 
     return run
 

@@ -203,6 +203,7 @@ def context_sums(slice_bytes: int):
                 add_contexts(total, buckets, counts, index)
                 often += np.bincount(buckets.ravel(), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary())], names=["total", "often"])
+        files.give_back()
 
     return run
 
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows
     if f < 20 or f1 in (0, f):
         return Model(share)
     total, often = np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)
-    for r in rows.coalesce(FIT_TASKS).mapInArrow(context_sums(slice_bytes), "total binary, often binary").toLocalIterator():
+    for r in rows.coalesce(FIT_TASKS).mapInArrow(context_sums(slice_bytes), "total binary, often binary").collect():  # FIT_TASKS tables at most
         total += np.frombuffer(r["total"], np.int32).reshape(BUCKETS, DIMS)
         often += np.frombuffer(r["often"], np.int64)
     context = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) * np.log1p(often)[:, None] / 4
@@ -253,6 +254,7 @@ def score_rows(model, names: list[str], slice_bytes: int):
             text = files.plain(batch.column(batch.num_columns - 1))
             scores = [own.scores(*files.buffers(text.slice(a, b - a))) for a, b in files.slices(np.diff(files.buffers(text)[1]), slice_bytes)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=names)
+        files.give_back()
 
     return run
 
