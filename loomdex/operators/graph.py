@@ -33,7 +33,7 @@ def directed(edges: DataFrame, direction: str = "downstream", edge_types: list[s
 
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", edge_types: list[str] | None = None, codebase: str | None = None, max_depth: int = 5, max_results: int | None = None) -> DataFrame:
     """(codebase, file, depth): least depth of each file that a start (codebase, file) reaches; starts are left out."""
-    steps = directed(edges, direction, edge_types, codebase).select("codebase", "a", "b").distinct()
+    steps = materialise(directed(edges, direction, edge_types, codebase).select("codebase", "a", "b").distinct(), "steps")
     seen = frontier = materialise(starts.select("codebase", "file").distinct().withColumn("depth", F.lit(0)), "hop")
     for depth in range(1, clamp(max_depth, 1, 10) + 1):
         nxt = frontier.join(steps, (steps["codebase"] == frontier["codebase"]) & (steps["a"] == frontier["file"])).select(steps["codebase"], F.col("b").alias("file")).distinct()
@@ -48,7 +48,7 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", ed
 def paths(edges: DataFrame, start: str | DataFrame, direction: str = "downstream", edge_types: list[str] | None = None, codebase: str | None = None, max_depth: int = 5) -> DataFrame:
     """(codebase, file, depth, path): a shortest path to each file from any start, the least of equals; no file twice on a path.
     `start`: a file, or any number of starts (codebase, file), which are all the first frontier's seed."""
-    steps = directed(edges, direction, edge_types, codebase).select("codebase", "a", "b").distinct()
+    steps = materialise(directed(edges, direction, edge_types, codebase).select("codebase", "a", "b").distinct(), "steps")
     starts = steps.filter(F.col("a") == start).select("codebase", F.col("a").alias("file")) if isinstance(start, str) else start.select("codebase", "file")
     level = best = materialise(starts.distinct().withColumn("path", F.array("file")), "paths")
     for _ in range(clamp(max_depth, 1, 10)):
@@ -289,6 +289,14 @@ def newest_edges(edges: DataFrame, most: int) -> DataFrame:
     return edges.orderBy(F.desc("updated_at"), F.desc("id")).limit(most)
 
 
+def load_graph(edges: DataFrame, most: int = 10_000_000, codebase: str | None = None) -> tuple[DataFrame, int]:
+    """The edges that a graph is built from (those with a target; beyond `most` the newest), written once so that a rebuild never shows in
+    part, and how many there were: what `drifted` compares later."""
+    rows = edges.filter(F.col("target_file").isNotNull() if codebase is None else F.col("target_file").isNotNull() & (F.col("codebase") == codebase))
+    n = rows.count()
+    return materialise(newest_edges(rows, most) if n > most else rows, "loaded-graph"), n
+
+
 # ---- lookups ------------------------------------------------------------------------------------
 
 

@@ -78,6 +78,12 @@ def test_call_cascade(spark):
     assert got[7] == ("import_suffix", "lib/S.java", "calls")
 
 
+def test_load_graph(spark):
+    e = edges(spark, CHAIN).withColumn("updated_at", F.col("id")).unionByName(edges(spark, [("p.gradle", None, "build_dependency", "x")]))
+    got, n = G.load_graph(e, most=2)
+    assert n == 5 and {r["id"] for r in got.collect()} == {3, 4} and G.load_graph(e)[0].count() == 5 and G.load_graph(e, codebase="other")[1] == 0
+
+
 def test_lookups(spark):
     e = edges(spark, [*CHAIN, ("p.gradle", None, "build_dependency", "org:My_Lib:1"), ("r", "org:core:2", "repo_dependency", "org:core:2")])
     names = lambda d, f, **k: {r["source_file"] for r in G.dependency_search(e, f, direction=d, **k).collect()}
