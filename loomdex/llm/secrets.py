@@ -60,7 +60,7 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: dict | None = None, broadcast_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: dict | None = None, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(added, by_blob): the ledger rows this scan adds, written to the shared folder, and for each blob that the whole
     ledger has findings of: blob, findings = array<struct<rule,start,end>> by start, then rule as listed."""
     rules = RULES if rules is None else rules
@@ -75,7 +75,7 @@ def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, text: str =
         left = F.array_except(current, F.coalesce("done", F.array().cast("array<struct<rule:string,version:int>>")))
         unseen = materialise(asked.select("blob", left.alias("todo")).filter(F.size("todo") > 0), "secret-work")
         if unseen.count() <= broadcast_rows:  # then the texts of these alone travel
-            rows = rows.join(F.broadcast(unseen.select("blob")), "blob", "left_semi")
+            rows = rows.join(F.broadcast(unseen.select(F.unhex("blob").alias("due"))), F.unhex("blob") == F.col("due"), "left_semi")
         work = rows.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob")
     due = lambda r, v: F.array_contains("todo", F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version")))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
