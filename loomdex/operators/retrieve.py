@@ -81,14 +81,10 @@ def _all_tokens(columns: tuple[str, ...]) -> Column:
 
 
 def postings(rows: DataFrame, id_col: str = "id", columns: tuple[str, ...] = ("content",)) -> DataFrame:
-    """The inverted index (term, id, tf, dl), for tables that are searched often; write it sorted by term. A text's terms are counted in its
-    own row, so nothing is shuffled."""
-    t = rows.select(F.col(id_col).alias("id"), F.array_sort(_all_tokens(columns)).alias("t"))
-    # Of a sorted array, a term's count is the distance between the starts of its run and the next.
-    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
-    t = t.filter(F.size("t") > 0).select("id", F.size("t").alias("dl"), "t", starts.alias("s"))
-    runs = F.transform("s", lambda i, k: F.struct(F.element_at("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl") + 1) - i).cast("long").alias("tf")))
-    return t.select("id", "dl", F.inline(runs)).select("term", "id", "tf", "dl")
+    """The inverted index (term, id, tf, dl), for tables that are searched often; write it sorted by term within files. A text's
+    terms meet in its own task first, so a row a term and text is what is shuffled."""
+    t = rows.select(F.col(id_col).alias("id"), _all_tokens(columns).alias("t"))
+    return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def lengths(rows: DataFrame, columns: tuple[str, ...] = ("content",)) -> tuple[int, float]:
