@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -41,6 +44,40 @@ def give_back() -> None:
         pass  # another C library
 
 
+def driver_gives_back(spark: SparkSession) -> None:
+    """The driver drops what finished steps leave (plans, broadcasts, compiled code) and returns freed memory to the system: Python's, the
+    heap's beyond the JVM's least share of free room, and what native code freed in the arenas of hundreds of threads. Results stay."""
+    gc.collect()
+    give_back()
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, values):
+        out = new(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    def call(bean: str, operation: str, *args: str):
+        """By the interface: the server's own class is not exported to Py4J."""
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        kinds = array(jvm.java.lang.String, ["java.lang.String"] * len(args))
+        name = jvm.javax.management.ObjectName(f"com.sun.management:type={bean}")
+        return invoke.invoke(server, array(jvm.java.lang.Object, [name, operation, array(jvm.java.lang.Object, args), kinds]))
+
+    free = "MaxHeapFreeRatio"
+    try:
+        least, most = (call("HotSpotDiagnostic", "getVMOption", x).get("value") for x in ("MinHeapFreeRatio", free))
+        call("HotSpotDiagnostic", "setVMOption", free, least)
+        try:
+            jvm.System.gc()
+        finally:
+            call("HotSpotDiagnostic", "setVMOption", free, most)
+        call("DiagnosticCommand", "systemTrimNativeHeap")
+    except Py4JError:
+        pass  # another JVM
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever signs it holds."""
     return "`" + name.replace("`", "``") + "`"

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
-from loomdex.llm import secrets
+from loomdex.llm import files, secrets
 from loomdex.llm.jaccard_join import similar_sets
 
 
@@ -91,3 +91,27 @@ def test_one_of_each_equals_brute_force(spark, sf):
         if n:
             least.setdefault(c, []).append(i)
     assert sorted(map(repr, kept)) == sorted(repr((c, min((i for i in x if i is not None), default=None))) for c, x in least.items())
+
+
+def test_the_driver_returns_freed_memory_before_each_stage(spark, sf, monkeypatch):
+    """Native memory that is freed stays in the JVM's arenas, and free heap stays with it, until the driver gives them back."""
+    jvm = spark.sparkContext._jvm
+    status = f"/proc/{jvm.java.io.File('/proc/self').getCanonicalFile().getName()}/status"
+    held_mb = lambda: next(int(x.split()[1]) / 1024 for x in open(status) if x.startswith("RssAnon"))
+    give_back, fell = files.driver_gives_back, []
+
+    def measured(session):
+        native = [jvm.java.util.zip.Deflater() for _ in range(600)]
+        for x in native[:-1]:  # the last one keeps the arena's top
+            x.end()
+        before = held_mb()
+        give_back(session)
+        fell.append(before - held_mb())
+        native[-1].end()
+
+    monkeypatch.setattr(files, "driver_gives_back", measured)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        done = len(fell)
+        stage(spark, docs, sf)
+        assert len(fell) > done and min(fell[done:]) > 20
