@@ -82,9 +82,18 @@ def _all_tokens(columns: tuple[str, ...]) -> Column:
 
 def postings(rows: DataFrame, id_col: str = "id", columns: tuple[str, ...] = ("content",)) -> DataFrame:
     """The inverted index (term, id, tf, dl), for tables that are searched often; write it sorted by term within files. A text's
-    terms meet in its own task first, so a row a term and text is what is shuffled."""
-    t = rows.select(F.col(id_col).alias("id"), _all_tokens(columns).alias("t"))
-    return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    postings are the runs of its sorted tokens, found in its own row (ids differ), so nothing is shuffled."""
+    t = rows.select(F.col(id_col).alias("id"), F.sort_array(_all_tokens(columns)).alias("t"))
+    opens = F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get(F.col("t"), i - 1)), i))
+    p = t.select("id", "t", F.array_compact(opens).alias("p"))
+    runs = F.transform("p", lambda i, k: F.struct(F.get(F.col("t"), i).alias("term"), (F.coalesce(F.get(F.col("p"), k + 1), F.size("t")) - i).cast("long").alias("tf")))
+    return p.select("id", F.size("t").alias("dl"), F.inline(runs)).select("term", "id", "tf", "dl")
+
+
+def index_stats(rows: DataFrame, index: DataFrame) -> tuple[int, float]:
+    """`lengths` without another pass over the texts: a row's length is the sum of its postings."""
+    n, tokens = rows.count(), index.agg(F.sum("tf")).first()[0] or 0
+    return n, tokens / n if tokens else 1.0
 
 
 def lengths(rows: DataFrame, columns: tuple[str, ...] = ("content",)) -> tuple[int, float]:

@@ -73,7 +73,7 @@ def bm25_phrase(spark, sf):
 def bm25_inverted_index(spark, sf):
     rows = docs(spark, sf)
     index = materialise(R.postings(rows), "postings")
-    return R.top(R.bm25_indexed(index, R.lengths(rows), WORDS), 20).select("id", F.round("score", 6).alias("score"))
+    return R.top(R.bm25_indexed(index, R.index_stats(rows, index), WORDS), 20).select("id", F.round("score", 6).alias("score"))
 
 
 COSINE = "list_sum(list_transform(list_zip(a.embedding, q.e), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q.e, lambda x: x::DOUBLE * x)))"
@@ -247,13 +247,18 @@ def search_filters(spark, sf):
 _INDEXED: dict[tuple[str, str], S.Catalog] = {}
 
 
+def store(spark, sf) -> S.Catalog:
+    """The documents as a store without an index: what reads no texts needs none."""
+    first = first_vector(spark, sf)
+    rows = docs(spark, sf).join(vectors(spark, sf).select("id", "embedding"), "id", "left").withColumn("event_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")))
+    return S.Catalog(rows, embed=lambda q: first, vocabulary=VOCABULARY)
+
+
 def catalog(spark, sf) -> S.Catalog:
-    """The documents as a store, with its index; built once a session and folder of tables, as a store's index is."""
+    """The store with its index; built once a session and folder of tables, as a store's index is."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXED:
-        first = first_vector(spark, sf)
-        rows = docs(spark, sf).join(vectors(spark, sf).select("id", "embedding"), "id", "left").withColumn("event_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")))
-        _INDEXED[key] = S.indexed(S.Catalog(rows, embed=lambda q: first, vocabulary=VOCABULARY))
+        _INDEXED[key] = S.indexed(store(spark, sf))
     return _INDEXED[key]
 
 
@@ -302,21 +307,21 @@ DISTANCE = "sqrt(list_sum(list_transform(list_zip(a.embedding, q.e), lambda z: (
 @query(f"""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
 SELECT vec_id AS id, round(1 - {DISTANCE}, 6) AS score, 'vector' AS match_type FROM embeddings a, q WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY {DISTANCE}, id LIMIT 10""")
 def vector_mode_by_distance(spark, sf):
-    got = S.search(catalog(spark, sf), "any", "vector", 10, min_score=-1e9, metric="l2")
+    got = S.search(store(spark, sf), "any", "vector", 10, min_score=-1e9, metric="l2")
     return got.select("id", F.round("score", 6).alias("score"), "match_type")
 
 
 @query()
 def packed_search(spark, sf):
     """Half of the vectors are packed codes; the rest, float vectors alone, are a list that is fused with theirs."""
-    own = catalog(spark, sf)
+    own = store(spark, sf)
     got = S.memory_search(S.replace(own, codes=codes(spark, sf).filter("id % 2 = 0").select("id", "code4")), ASKED, 10, use=("vector",))
     return got.select("position", "id", F.round("score", 9).alias("score"))
 
 
 @query("SELECT 'curated' AS source, count(*) AS chunks, count(DISTINCT doc_id) AS files, sum((doc_id NOT IN (SELECT vec_id FROM embeddings))::INT)::BIGINT AS without_embedding FROM documents")
 def store_status(spark, sf):
-    return S.status(catalog(spark, sf))
+    return S.status(store(spark, sf))
 
 
 @query("""WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0),

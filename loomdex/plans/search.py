@@ -46,8 +46,7 @@ def indexed(catalog: Catalog) -> Catalog:
     rows = materialise(_dated(catalog.chunks), "chunks")
     found = catalog.entities if catalog.entities is not None else materialise(E.chunk_entities(rows, vocabulary=catalog.vocabulary), "entities")
     index = materialise(R.postings(rows, columns=("title", "content")).sortWithinPartitions("term"), "postings")
-    n, tokens = rows.count(), index.agg(F.sum("tf")).first()[0] or 0
-    return replace(catalog, chunks=rows, entities=found, postings=index, stats=(n, tokens / n if tokens else 1.0))
+    return replace(catalog, chunks=rows, entities=found, postings=index, stats=R.index_stats(rows, index))
 
 
 def keyword_scores(catalog: Catalog, rows: DataFrame, query: str, narrowed: bool = False) -> DataFrame:
