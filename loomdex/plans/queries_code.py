@@ -22,9 +22,14 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(rows):
+    """Rows of a few bytes that become files to parse, dealt over all cores: a small table is one file, and would be one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def java(spark, sf):
     """A class for each part: it imports its supplier's class, extends the class of its size and calls its neighbour."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size"))
     k = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     body = F.concat(F.lit("package app;\n\nimport lib.S"), k(F.col("p_partkey") % 40), F.lit(";\nimport java.util.*;\n\n/** class Hidden { } */\npublic class P"), k("p_partkey"), F.lit(" extends Base"), k("p_size"), F.lit(" implements Sold, Kept<String> {\n    private int n = 0;\n\n    public int run(int x) {\n        helper.step"), k(F.col("p_partkey") + 1), F.lit("(x);\n        return n + x;\n    }\n\n    protected String name() {\n        return \"p()\";\n    }\n}\n"))
     return p.select(F.concat(F.lit("src/main/java/app/P"), k("p_partkey"), F.lit(".java")).alias("file_path"), body.alias("content"))
@@ -47,8 +52,7 @@ def code_hierarchy(spark, sf):
 
 @query("SELECT 'src/main/java/app/P' || p_partkey || '.java' AS file_path, 'step' || (p_partkey + 1) AS callee, 'helper' AS receiver, 'P' || p_partkey || '.run' AS symbol FROM part")
 def code_calls(spark, sf):
-    calls, symbols = C.call_sites(java(spark, sf)), C.symbols(java(spark, sf))
-    return G.enclosing_symbol(calls, symbols).select("file_path", "callee", "receiver", "symbol")
+    return C.enclosed_calls(java(spark, sf)).select("file_path", "callee", "receiver", "symbol")
 
 
 @query("SELECT 'src/main/java/app/P' || p_partkey || '.java' AS file_path, 0 AS chunk_index, 'class P' || p_partkey AS title, 7 AS start_line FROM part")
@@ -67,7 +71,7 @@ def import_resolution(spark, sf):
 UNION ALL SELECT 's/' || s_suppkey || '/build.gradle.kts', '', ':core:n' || s_nationkey, '', 'implementation', true, 'project::core:n' || s_nationkey FROM supplier
 UNION ALL SELECT 's/' || s_suppkey || '/build.gradle.kts', 'org.lib', 'x', '2.0', 'testImplementation', false, 'org.lib:x:2.0' FROM supplier""")
 def build_dependencies(spark, sf):
-    s = table(spark, sf, "supplier")
+    s = spread(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"))
     k = lambda c: F.col(c).cast("string")
     gradle = s.select(F.concat(F.lit("s/"), k("s_suppkey"), F.lit("/build.gradle.kts")).alias("file_path"), F.concat(F.lit('dependencies {\n  api("com.acme:nation'), k("s_nationkey"), F.lit(":1."), k("s_suppkey"), F.lit('")\n  implementation(project(":core:n'), k("s_nationkey"), F.lit('"))\n  testImplementation(libs.x.y)\n}')).alias("content"))
     versions = spark.range(1).select(F.lit("gradle/libs.versions.toml").alias("file_path"), F.lit('[versions]\nv = "2.0"\n[libraries]\nx-y = { module = "org.lib:x", version.ref = "v" }\n').alias("content"))

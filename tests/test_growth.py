@@ -45,3 +45,13 @@ def test_a_parser_gives_blocks_of_bounded_size():
     assert [(p, n) for p, n, _ in rows] == [(p, i) for p in ("a", "b", None) for i in range(10)] and rows[-1][2] == "y" * 10_000
     many = list(S.blocks(batch, lambda c, p: ((i, "") for i in range(3 * S.BLOCK_ROWS)), fields))
     assert max(b.num_rows for b in many) == S.BLOCK_ROWS and sum(b.num_rows for b in many) == 9 * S.BLOCK_ROWS
+
+
+def test_calls_know_their_symbol_without_a_join(spark, sf):
+    got = QC.code_calls(spark, sf)
+    assert "Join" not in plan_of(got) and got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    source = "import a\n\nclass A:\n    def f(self):\n        g(1)\n        def h():\n            k.l()\n        h()\n\nm()\n"
+    rows = spark.createDataFrame([("x.py", source), ("y.java", "class B {\n  int f() {\n    a.b();\n  }\n}\n"), ("z.txt", "f()")], "file_path string, content string")
+    joined = G.enclosing_symbol(C.call_sites(rows), C.symbols(rows)).select("file_path", "callee", "receiver", "line", "symbol")
+    one = C.enclosed_calls(rows)
+    assert sorted(map(str, one.collect())) == sorted(map(str, joined.collect())) and one.count() == 6
