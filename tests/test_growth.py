@@ -55,3 +55,10 @@ def test_calls_know_their_symbol_without_a_join(spark, sf):
     joined = G.enclosing_symbol(C.call_sites(rows), C.symbols(rows)).select("file_path", "callee", "receiver", "line", "symbol")
     one = C.enclosed_calls(rows)
     assert sorted(map(str, one.collect())) == sorted(map(str, joined.collect())) and one.count() == 6
+
+
+def test_segments_are_dealt_over_the_cores(spark):
+    x = spark.range(400).selectExpr("id div 10 conv_id", "id % 10 exchange", "'a question' user", "'an answer' assistant")
+    got = S.conversation_segments(x, x.selectExpr("conv_id", "exchange", "0.0D score"))
+    spread = got.withColumn("part", F.spark_partition_id()).select("part").distinct().count()
+    assert spread > spark.sparkContext.defaultParallelism and got.select("conv_id").distinct().count() == 40
