@@ -62,3 +62,19 @@ def test_segments_are_dealt_over_the_cores(spark):
     got = S.conversation_segments(x, x.selectExpr("conv_id", "exchange", "0.0D score"))
     spread = got.withColumn("part", F.spark_partition_id()).select("part").distinct().count()
     assert spread > spark.sparkContext.defaultParallelism and got.select("conv_id").distinct().count() == 40
+
+
+def test_rounds_broadcast_no_vertices(spark, monkeypatch):
+    """One broadcast a level, of a row a codebase."""
+    plans, write = [], G.materialise
+
+    def seen(df, what):
+        plans.append((what, plan_of(df)))
+        return write(df, what)
+
+    monkeypatch.setattr(G, "materialise", seen)
+    rows = [("repo", f"{c}{i}", f"{c}{j}", "calls") for c in "ab" for i in range(4) for j in range(i)] + [("repo", "a0", "b0", "calls")]
+    e = spark.createDataFrame(rows, "codebase string, source_file string, target_file string, edge_type string")
+    got = {r["file_path"]: r["community_id"] for r in G.moved_in_rounds(G.collapsed(e), levels=2).collect()}
+    assert len(set(got.values())) == 2 and all(got[f"{c}0"] == got[f"{c}{i}"] for c in "ab" for i in range(4))
+    assert sum(p.count("BroadcastExchange") for _, p in plans) <= sum(w == "labels" for w, _ in plans)
